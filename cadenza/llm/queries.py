@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import bpe, packing, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
