@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, token_files
+from . import bpe, packing, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_token_files": token_files.op10_token_files,
 }
