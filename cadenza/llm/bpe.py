@@ -75,7 +75,7 @@ class PairIndexBpe:
         self.keys, self.ranks = keys[order], order
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.pattern = regex.compile(PATTERN)
-        self.words = tokens.WordEncoder(tokens.SPACED_WORD.findall, self._has_special, self.encode_words, self._encode_around_specials)
+        self.words = tokens.WordEncoder(tokens.spaced_keys, self._has_special, lambda keys: self.encode_words([*map(tokens.spaced_word, keys)]), self._encode_around_specials)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, -1 where there is none."""

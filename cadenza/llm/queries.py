@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, simhash, token_files
+from . import bpe, packing, quality_classifier, quality_rules, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op9_bpe": bpe.op9_bpe,
     "op10_token_files": token_files.op10_token_files,
 }

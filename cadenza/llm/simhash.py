@@ -273,6 +273,34 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
 
 
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each near-duplicate component one row, whole and with the input's columns: that of the least id.
+
+    Ids compare before fingerprints, null ids last. Rows of equal id and fingerprint are one; which of them stays
+    is open. ``docs`` is read twice: hand over a stored table.
+    """
+    names = docs.columns
+    data = docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col)})
+    schema = data.drop("__text").schema.add("__fp", "long")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(x) for _, texts in common.text_slices(batch, "__text") for x in texts]
+            keep = [c for c in batch.schema.names if c != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[*keep, "__fp"])
+
+    key = ["__none", "__id", "__fp"]
+    marked = data.mapInArrow(make, schema).withColumn("__none", F.col("__id").isNull())
+    ids = common.cut(fingerprints(docs, id_col, text_col), "fingerprints")
+    classes = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least"))
+    classes = common.cut(classes, "classes")
+    roots = common.cut(connected_components(links(classes, threshold)), "roots")
+    classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    stay = classes.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.none").alias("w_none"), F.col("w.doc_id").alias("w_id"), F.col("w.fp").alias("w_fp"))
+    same = (F.col("__none") == F.col("w_none")) & F.col("__id").eqNullSafe(F.col("w_id")) & (F.col("__fp") == F.col("w_fp"))
+    return marked.join(stay, same, "left_semi").dropDuplicates(key).select(*names)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

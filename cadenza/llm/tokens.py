@@ -14,12 +14,14 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words that a worker process remembers, and the longest word that it does.
-MOST_WORDS, LONGEST_WORD = 400_000, 100
+MOST_WORDS, LONGEST_WORD = 1_000_000, 100
 #: New words that go to the library in one call.
 AT_ONCE = 2_000
 #: A word with the white space before it. A cut is made only before a single space between two
 #: other characters, where byte-level pre-tokenizers always cut; longer runs of white space stay inside.
 SPACED_WORD = re.compile(r"(?:\A\s+| )?\S+(?:(?! \S)\s+\S+)*(?:\s+\Z)?|\A\s+\Z")
+#: A text without these is cut at each of its spaces.
+LONG_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 #: These are white space to Python but not to the library: such texts are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -40,11 +42,27 @@ def load(path: str):
     return tokenizer
 
 
+def spaced_keys(text: str) -> list[str]:
+    """A text's words as keys: a word that follows a space without it, any other after a line feed."""
+    if not text:
+        return []
+    if LONG_SPACE.search(text) is None:
+        keys = text.split(" ")
+        keys[0] = "\n" + keys[0]
+        return keys
+    return [w[1:] if w[0] == " " and w[1:2].strip() else "\n" + w for w in SPACED_WORD.findall(text)]
+
+
+def spaced_word(key: str) -> str:
+    """The word that a key stands for."""
+    return key[1:] if key[0] == "\n" else " " + key
+
+
 class WordEncoder:
     """Texts to ids (little-endian unsigned 32-bit, as bytes) by way of their distinct words."""
 
     def __init__(self, split: Callable[[str], list[str]], whole: Callable[[str], bool], encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes]):
-        """split: a text's words. whole: whether a text must go to ``encode_text`` as it is."""
+        """split: a text's words, or keys for them. whole: whether a text must go to ``encode_text`` as it is."""
         self.split, self.whole, self.encode_words, self.encode_text = split, whole, encode_words, encode_text
         self.known: dict[str, bytes] = {}
 
@@ -53,10 +71,10 @@ class WordEncoder:
         if len(known) > MOST_WORDS:
             known.clear()
         words = [None if self.whole(x) else self.split(x) for x in texts]
-        new = list(dict.fromkeys(w for ws in words if ws for w in ws if w not in known))
-        ids = dict(zip(new, self.encode_words(new))) if new else {}
-        known.update(ids)
-        out = [self.encode_text(x) if ws is None else b"".join([known[w] for w in ws]) for x, ws in zip(texts, words)]
+        new = list(set().union(*filter(None, words)).difference(known))
+        known.update(zip(new, self.encode_words(new)))
+        get = known.__getitem__
+        out = [self.encode_text(x) if ws is None else b"".join(map(get, ws)) for x, ws in zip(texts, words)]
         for w in new:
             if len(w) > LONGEST_WORD:
                 del known[w]
@@ -78,6 +96,8 @@ def library_encoder(path: str, byte_level: bool) -> WordEncoder:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode_words(words: list[str]) -> list[bytes]:
+        if byte_level:
+            words = [*map(spaced_word, words)]
         out: list[bytes] = []
         for i in range(0, len(words), AT_ONCE):
             some = words[i : i + AT_ONCE]
@@ -95,7 +115,7 @@ def library_encoder(path: str, byte_level: bool) -> WordEncoder:
     def whole(text: str) -> bool:
         return ("<|" in text and any(s in text for s in specials)) or (not byte_level and ODD_SPACE.search(text) is not None)
 
-    return WordEncoder(SPACED_WORD.findall if byte_level else str.split, whole, encode_words, encode_text)
+    return WordEncoder(spaced_keys if byte_level else str.split, whole, encode_words, encode_text)
 
 
 _encoders: dict[tuple, WordEncoder] = {}
