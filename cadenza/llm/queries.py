@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_classifier, quality_rules, simhash, token_files, toxicity
+from . import bpe, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_warc": warc.op3_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,
