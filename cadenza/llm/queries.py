@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, warc
+from . import bpe, packing, quality_classifier, quality_rules, simhash, spotsigs, token_files, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_bpe": bpe.op9_bpe,
     "op10_token_files": token_files.op10_token_files,
 }
