@@ -215,7 +215,7 @@ def compare_sorted(batches: Iterator[tuple[np.ndarray, np.ndarray]], threshold:
         last, held = int(place[end]), value[end : end + homes[-1]]
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = THRESHOLD, most_homes: int = MOST_HOMES) -> DataFrame:
     """Edges (a, b) that connect exactly the values of ``distinct`` (column fp: distinct longs, no null) that differ
     in at most ``threshold`` bits, directly or through others. ``distinct`` is read twice: hand over a stored table."""
 
@@ -224,7 +224,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchors_for(threshold).home(batch.column("fp").to_numpy()))], names=["anchor"])
 
     homes = distinct.select("fp").mapInArrow(home, "anchor long").groupBy("anchor").count()
-    most = max(MOST_HOMES, distinct.count() // MOST_SPLIT_ANCHORS)
+    most = max(most_homes, distinct.count() // MOST_SPLIT_ANCHORS)
     split = {r["anchor"]: min(65_535, -(-r["count"] // most)) for r in homes.filter(F.col("count") > most).collect()}  # at most MOST_SPLIT_ANCHORS rows
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -227,7 +227,7 @@ def write_run(lines: list[bytes], path: str) -> tuple[str, int, list[bytes], lis
     return path, len(lines), keys, offsets, out.size
 
 
-def index_runs(manifest: DataFrame, folder: str) -> DataFrame:
+def index_runs(manifest: DataFrame, folder: str, run_captures: int = RUN_CAPTURES) -> DataFrame:
     """Read the archives and leave each task's captures as sorted runs; the stored table of runs: path, captures,
     keys and offsets (the sparse index), bytes."""
     fs, at = common.filesystem(folder)
@@ -248,7 +248,7 @@ def index_runs(manifest: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_stream(at, compression=None) as stream:
                     for offset, length, data in members(stream):
                         lines.append(capture_line(path, offset, length, data))
-                        if len(lines) >= RUN_CAPTURES:
+                        if len(lines) >= run_captures:
                             leave()
         if lines:
             leave()
@@ -311,16 +311,16 @@ class LoserTree:
             self.winner = leaf
 
 
-def range_bounds(runs: DataFrame) -> list[bytes]:
-    """Keys that cut the captures into ranges of about RANGE_CAPTURES, from a bounded sample of the runs' index keys."""
+def range_bounds(runs: DataFrame, range_captures: int = RANGE_CAPTURES) -> list[bytes]:
+    """Keys that cut the captures into ranges of about ``range_captures``, from a bounded sample of the runs' index keys."""
     total = runs.agg(F.sum("captures")).first()[0] or 0
     keys = runs.select(F.explode("keys").alias("key"))
     sample = sorted(bytes(r["key"]) for r in keys.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect())
-    want = max(2, min(len(sample), -(-total // RANGE_CAPTURES)))
+    want = max(2, min(len(sample), -(-total // range_captures)))
     return sorted({sample[i * len(sample) // want] for i in range(1, want)}) if sample else []
 
 
-def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
+def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
     """All captures of the runs (``index_runs``), in the order of their lines: partition after partition, and within
     each. Columns: see CAPTURE."""
     fs, at = common.filesystem(folder)
@@ -344,7 +344,7 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
     slices = runs.select("path", "keys", "offsets", "bytes").mapInArrow(cut_up, "range long, path string, start long, end long")
 
     def grouped(slices: DataFrame, groups: int) -> DataFrame:
-        """A row per range and group of runs, with its slices: about FAN_IN of them."""
+        """A row per range and group of runs, with its slices: about ``fan_in`` of them."""
         group = F.pmod(F.xxhash64("path"), F.lit(groups)) if groups > 1 else F.lit(0)
         rows = slices.groupBy("range", group.alias("grp")).agg(F.sort_array(F.collect_list(F.struct("path", "start", "end"))).alias("slices"))
         return rows.repartitionByRange(max(1, len(bounds) + 1), "range", "grp").sortWithinPartitions("range", "grp")
@@ -369,8 +369,8 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
         return write
 
     level = 0
-    while n_runs > FAN_IN:
-        n_runs = -(-2 * n_runs // FAN_IN)  # groups of half the fan-in on average, as hashing deals unevenly
+    while n_runs > fan_in:
+        n_runs = -(-2 * n_runs // fan_in)  # groups of half the fan-in on average, as hashing deals unevenly
         slices = common.cut(grouped(slices, n_runs).mapInArrow(to_runs(level), "range long, path string, start long, end long"), "slices")
         level += 1
 
