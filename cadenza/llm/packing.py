@@ -1,11 +1,12 @@
 """Packing of tokenised documents into windows by minimum bin slack.
 
-Token counts, not texts, decide the packing. Documents are cut into pieces of at most one window; the
-histogram of piece lengths (at most ``capacity`` rows, whatever the input) goes to the driver, which
-plans windows: the longest remaining piece opens a window, and a bitset subset-sum picks from the
-remaining lengths the multiset that leaves least slack. A plan step is repeated as often as the counts
-allow, so the plan too is bounded by the window, not by the input. Spark then gives each piece its
-place: the rank among pieces of its length says which repetition of which step holds it.
+Token counts, not texts, decide the packing. Documents are cut into windows and a remainder, and a remainder
+of over half a window at its half, so that no length, however common, is hard to complete. The histogram of
+piece lengths (at most ``capacity`` rows, whatever the input) goes to the driver, which plans windows: the
+longest remaining piece opens a window, and a bitset subset-sum picks from the remaining lengths the multiset
+that leaves least slack. A plan step is repeated as often as the counts allow, so the plan too is bounded by
+the window, not by the input. Spark then gives each piece its place: the rank among pieces of its length says
+which repetition of which step holds it.
 
 Pieces of one length may be any share of the rows (copies, full windows), so ranks are counted per
 length and salt, and the salts' first ranks come from a small table of counts.
@@ -139,8 +140,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
     return ranked.mapInArrow(place, schema)
 
 
+def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
+    """Where a document of n tokens is cut."""
+    last = n // capacity * capacity
+    cuts = [*range(0, last + 1, capacity), *([last + capacity // 2] if n - last > capacity // 2 else []), n]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, byte_level: bool = True, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents as token pieces of at most ``capacity``: full windows and a remainder.
+    """Documents as token pieces of at most ``capacity``: full windows and a remainder (in two if over half a window).
 
     Null text is empty; ``end_id`` follows each document's ids, so each has a piece at least. Returns doc_id,
     start, length (long), ids_crc32 (long; of the ids as little-endian unsigned 32-bit), doc_tokens (long) and,
@@ -158,8 +166,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
                 for i, data in enumerate(encode(texts)):
                     data += end
                     n = len(data) // 4
-                    for a in range(0, n, capacity):
-                        own = data[4 * a : 4 * (a + capacity)]
+                    for a, b in piece_bounds(n, capacity):
+                        own = data[4 * a : 4 * b]
                         row.append(i)
                         start.append(a)
                         length.append(len(own) // 4)
