@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common, tokens
 
@@ -136,7 +137,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
             names = [c for c in batch.schema.names if c != "__rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(window), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema]).add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(place, schema)
 
 
