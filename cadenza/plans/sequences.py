@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import rules
 from cadenza.operators import estimate, sampling, timeline
+from cadenza.streaming import live
 
 ORDER = ["ts", "event_id"]
 #: Ticks of ten minutes, so that the display limit is out of reach.
@@ -321,6 +322,19 @@ def natural_sort(spark, sf_dir):
 
 NATURAL_SQL = "select p_partkey, row_number() over (partition by p_brand order by p_partkey) as place from part"
 
+def live_debounce(spark, sf_dir):
+    """The last event of each burst of a user's events: nothing follows within six hours."""
+    events = _read(spark, sf_dir, "events", "user_id", F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return live.debounced(events, "user_id", quiet=21_600).select("user_id", "request_id", "requests")
+
+
+DEBOUNCE_SQL = """with g as (select *, case when ts - lag(ts) over w <= interval 6 hour then 0 else 1 end as opens from events
+    window w as (partition by user_id order by ts, event_id)),
+  b as (select *, sum(opens) over (partition by user_id order by ts, event_id) as burst from g),
+  k as (select *, row_number() over (partition by user_id, burst order by ts desc, event_id desc) as r, count(*) over (partition by user_id, burst) as requests from b)
+select user_id, event_id as request_id, requests from k where r = 1"""
+
+
 QUERIES = {
     "delay_ticks": (delay_ticks, DELAY_SQL),
     "collapse_runs": (collapse_runs, COLLAPSE_SQL),
@@ -347,4 +361,5 @@ QUERIES = {
     "output_size": (output_size, OUTPUT_SQL),
     "quality_settings": (quality_rules, QUALITY_SQL),
     "natural_sort": (natural_sort, NATURAL_SQL),
+    "live_debounce": (live_debounce, DEBOUNCE_SQL),
 }
