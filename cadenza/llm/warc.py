@@ -405,4 +405,12 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, from the merged index of the archives that it was written to."""
     captures = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), common.work_dir(spark, "warc"))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """with p as (select page_id, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
+  f as (select d, min(page_id) as first_id from p where n >= 100 group by d)
+select p.page_id, p.n as payload_bytes, p.d as payload_digest,
+  case when f.first_id <> p.page_id then 'revisit' else 'response' end as record_type,
+  case when f.first_id <> p.page_id then f.first_id end as refers_to
+from p left join f on f.d = p.d and p.n >= 100"""
