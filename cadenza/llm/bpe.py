@@ -234,4 +234,4 @@ def digest_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again from its ids."""
     path = tokens.public_path("byte_bpe_50k.json")
-    return digest_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return digest_documents(encode_documents(common.table(spark, sf_dir, "documents"), path), path)

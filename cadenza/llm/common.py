@@ -40,6 +40,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stored table. One that is too small to give every core a part (a file or two) is dealt out to all of them;
+    a larger one is left as its files are, without a shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system for a URI or an absolute path, and the path there."""
     if "://" not in uri and not uri.startswith("file:"):

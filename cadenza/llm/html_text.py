@@ -374,4 +374,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page."""
-    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return extract_text(common.table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))

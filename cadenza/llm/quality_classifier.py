@@ -170,7 +170,7 @@ def filter_documents(docs: DataFrame, model: Model, reject_below: float = REJECT
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = score(docs, model, keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= REJECT_BELOW).cast("int").alias("predicted"))

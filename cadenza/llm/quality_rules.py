@@ -179,4 +179,4 @@ def filter_documents(docs: DataFrame, limits: Limits | None = None) -> DataFrame
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document."""
-    return measure_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+    return measure_documents(common.table(spark, sf_dir, "documents"), keep=["doc_id"])

@@ -303,4 +303,4 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = score(docs, model, keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -404,7 +404,7 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, from the merged index of the archives that it was written to."""
-    captures = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), common.work_dir(spark, "warc"))
+    captures = archive_pages(common.table(spark, sf_dir, "pages"), common.work_dir(spark, "warc"))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
