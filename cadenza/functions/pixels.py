@@ -88,6 +88,16 @@ def crop(image: np.ndarray, x: int, y: int, width: int, height: int) -> np.ndarr
     return image[y : y + height, x : x + width]
 
 
+def copy_plane(data: bytes, height: int, stride: int, to_height: int, to_stride: int) -> bytes:
+    """Rows of one stride as rows of another: the shorter row's bytes of each, the rest 0. Heights must agree."""
+    if height != to_height or len(data) < height * stride:
+        raise ValueError("planes must be of one height, with all their rows")
+    out = np.zeros((height, to_stride), np.uint8)
+    n = min(stride, to_stride)
+    out[:, :n] = np.frombuffer(data, np.uint8, height * stride).reshape(height, stride)[:, :n]
+    return out.tobytes()
+
+
 def lanczos_weights(size: int, to: int, lobes: int = 3) -> np.ndarray:
     """(to, size): how much each source pixel adds to each target pixel."""
     scale = max(size / to, 1.0)

@@ -238,6 +238,46 @@ def centred_crop(aspect_width: Column, aspect_height: Column, width: Column, hei
     return F.struct(((1 - w) / 2).alias("x"), ((1 - h) / 2).alias("y"), w.alias("width"), h.alias("height"))
 
 
+#: Where the nine handles of a crop sit in it (fixed values).
+HANDLES = {
+    "top_left": (0.0, 0.0), "top": (0.5, 0.0), "top_right": (1.0, 0.0), "left": (0.0, 0.5), "center": (0.5, 0.5),
+    "right": (1.0, 0.5), "bottom_left": (0.0, 1.0), "bottom": (0.5, 1.0), "bottom_right": (1.0, 1.0),
+}
+
+
+def handle_position(name: Column) -> Column:
+    """struct<x, y> of a handle; null if there is none of that name."""
+    pairs = [x for k, (u, v) in HANDLES.items() for x in (F.lit(k), F.struct(F.lit(u).alias("x"), F.lit(v).alias("y")))]
+    return F.try_element_at(F.create_map(*pairs), name)
+
+
+def crop_field(value: Column, side: Column, least: int = 100) -> Column:
+    """A typed crop side in pixels, kept within what a frame's side allows."""
+    return F.least(F.greatest(_long(value), F.lit(least).cast("long")), _long(side))
+
+
+def ratio_field(value: Column) -> Column:
+    """A typed part of a ratio, 1 to 99."""
+    return F.least(F.greatest(_long(value), F.lit(1).cast("long")), F.lit(99).cast("long"))
+
+
+def moved_crop(crop: Column, dx: Column, dy: Column) -> Column:
+    """A unit crop moved by shares of the frame, as far as it stays inside."""
+    at = lambda x, d, size: F.least(F.greatest(x + d, F.lit(0.0)), 1 - size)
+    return F.struct(at(crop["x"], dx, crop["width"]).alias("x"), at(crop["y"], dy, crop["height"]).alias("y"), crop["width"].alias("width"), crop["height"].alias("height"))
+
+
+def dragged_crop(crop: Column, handle: Column, dx: Column, dy: Column, least_width: Column, least_height: Column) -> Column:
+    """A unit crop after one of its outer handles is dragged: the sides at the handle move, the others stay, and neither
+    side falls under its least or leaves the frame."""
+    spot = handle_position(handle)
+    left = F.when(spot["x"] == 0, F.greatest(F.least(crop["x"] + dx, crop["x"] + crop["width"] - least_width), F.lit(0.0))).otherwise(crop["x"])
+    right = F.when(spot["x"] == 1, F.least(F.greatest(crop["x"] + crop["width"] + dx, crop["x"] + least_width), F.lit(1.0))).otherwise(crop["x"] + crop["width"])
+    top = F.when(spot["y"] == 0, F.greatest(F.least(crop["y"] + dy, crop["y"] + crop["height"] - least_height), F.lit(0.0))).otherwise(crop["y"])
+    bottom = F.when(spot["y"] == 1, F.least(F.greatest(crop["y"] + crop["height"] + dy, crop["y"] + least_height), F.lit(1.0))).otherwise(crop["y"] + crop["height"])
+    return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("width"), (bottom - top).alias("height"))
+
+
 # ranges: struct<lo, hi>, both ends inside
 
 

@@ -54,3 +54,15 @@ def remaining_seconds(elapsed: Column, done: Column) -> Column:
     """Seconds left at a share done; null while that says little (3 s are not over, 1 s is left, or all takes under 10 s)."""
     left = elapsed / done * (1 - done)
     return F.when((elapsed > 3) & (left > 1) & (elapsed + left > 10), left)
+
+
+def first_track(tracks: DataFrame, clip: str, number: str, keep: Column | None = None) -> DataFrame:
+    """A row per clip: its track of the least number (of those to ``keep``), with all columns."""
+    rows = tracks if keep is None else tracks.filter(keep)
+    own = [c for c in rows.columns if c != clip]
+    return rows.groupBy(clip).agg(F.min_by(F.struct(*own), number).alias("t")).select(clip, "t.*")
+
+
+def last_by_key(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """A row per key with its last value in an order."""
+    return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

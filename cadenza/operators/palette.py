@@ -65,6 +65,20 @@ def nearest(points: np.ndarray, palette: np.ndarray, at_once: int = 16_384) -> n
     return out
 
 
+def second_pass_size(found: int) -> int | None:
+    """With extra effort a palette that is small, or nearly full, is built again for this power of two of colours."""
+    return 1 << max(1, (found - 1).bit_length()) if found < 128 or found > 220 else None
+
+
+def merge_clear(indices: np.ndarray, palette: np.ndarray, alpha: np.ndarray, cut: int = 128) -> tuple[np.ndarray, np.ndarray, int]:
+    """All palette entries whose alpha is at most ``cut`` made one, the last: (indices, solid colours, clear index or -1)."""
+    solid = alpha > cut
+    if solid.all():
+        return indices, palette, -1
+    to = np.where(solid, np.cumsum(solid) - 1, int(solid.sum()))
+    return to[indices], palette[solid], int(solid.sum())
+
+
 def masks_unchanged(keeps: bool, fast: bool, quality: int, index: int) -> bool:
     """Whether a frame's unimportant pixels are left to the frame before."""
     return keeps and (fast or (quality < 100 and index % 5 >= max(quality - 80, 0) // 4))

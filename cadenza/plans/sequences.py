@@ -335,6 +335,77 @@ DEBOUNCE_SQL = """with g as (select *, case when ts - lag(ts) over w <= interval
 select user_id, event_id as request_id, requests from k where r = 1"""
 
 
+def rate_rules(spark, sf_dir):
+    """Rates that follow from each part's size (as the wish) and key (as the clip's own rate)."""
+    parts = _read(spark, sf_dir, "part", "p_partkey", "p_size")
+    own = (F.col("p_partkey") % 90 + 1).cast("double")
+    wish = F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double") * 1.5)
+    return parts.select("p_partkey", rules.clip_rate(wish, own).alias("rate"), rules.rate_ceiling(own, F.lit(1.25)).alias("ceiling"))
+
+
+RATE_SQL = """with p as (select p_partkey, cast(p_partkey % 90 + 1 as double) as own, case when p_size % 5 <> 0 then cast(p_size as double) * 1.5::double end as wish from part)
+select p_partkey, least(least(greatest(coalesce(wish, own), 0.1::double), 50::double), own) as rate,
+  cast(least(greatest(round(own * 1.25::double), 3), 50) as bigint) as ceiling from p"""
+
+
+def crop_rules(spark, sf_dir):
+    """Crops of frames of 1000 x 600 pixels placed by each part's key and size."""
+    parts = _read(spark, sf_dir, "part", "p_partkey", "p_size")
+    x, y, side = (F.col("p_partkey") % 1100).cast("double"), (F.col("p_partkey") % 700).cast("double"), F.col("p_size").cast("double") * 10
+    rect = F.struct(x.alias("x"), y.alias("y"), side.alias("width"), side.alias("height"))
+    inside = rules.crop_inside(rect, F.lit(1000.0), F.lit(600.0))
+    return parts.select("p_partkey", inside["x"].alias("x"), inside["y"].alias("y"), inside["width"].alias("w"), inside["height"].alias("h"))
+
+
+CROP_SQL = """with p as (select p_partkey, cast(p_partkey % 1100 as double) as x, cast(p_partkey % 700 as double) as y, cast(p_size as double) * 10 as s from part),
+  c as (select p_partkey, greatest(x, 0) as x0, least(x + s, 1000) as x1, greatest(600 - y - s, 0) as y0, least(600 - y, 600) as y1 from p),
+  k as (select *, x1 - x0 >= 1 and y1 - y0 >= 1 as ok from c)
+select p_partkey, case when ok then x0 end as x, case when ok then y0 end as y, case when ok then x1 - x0 end as w, case when ok then y1 - y0 end as h from k"""
+
+
+def whole_ratios(spark, sf_dir):
+    """Each part's key to its size in least whole numbers."""
+    parts = _read(spark, sf_dir, "part", "p_partkey", "p_size")
+    ratio = rules.whole_ratio(F.col("p_partkey"), F.col("p_size"))
+    return parts.select("p_partkey", ratio["width"].alias("a"), ratio["height"].alias("b"))
+
+
+RATIO_SQL = """select p_partkey, p_partkey // gcd(p_partkey, cast(p_size as bigint)) as a,
+  cast(p_size as bigint) // gcd(p_partkey, cast(p_size as bigint)) as b from part"""
+
+
+def first_line(spark, sf_dir):
+    """Of each order its returned line of the least number, as a clip has its first video track."""
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_returnflag").alias("flag"))
+    return estimate.first_track(lines, "l_orderkey", "l_linenumber", F.col("flag") == "R")
+
+
+FIRST_SQL = """with l as (select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, max(l_returnflag) as flag from lineitem group by l_orderkey, l_linenumber)
+select l_orderkey, l_linenumber, l_partkey, flag from (select *, row_number() over (partition by l_orderkey order by l_linenumber) as r from l where flag = 'R') where r = 1"""
+
+
+def last_setting(spark, sf_dir):
+    """Each user's last event type."""
+    events = _read(spark, sf_dir, "events", "user_id", "event_type", "ts", "event_id")
+    return estimate.last_by_key(events, "user_id", "event_type", ORDER)
+
+
+LAST_SQL = """select user_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1"""
+
+
+def preset_sizes(spark, sf_dir):
+    """The sizes on offer for frames as wide as a part's key and half as high."""
+    parts = _read(spark, sf_dir, "part", "p_partkey").filter("p_partkey between 1 and 1500")
+    sizes = F.explode(rules.preset_sizes(F.col("p_partkey"), F.col("p_partkey") / 2))
+    return parts.select("p_partkey", sizes.alias("s")).select("p_partkey", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
+
+
+PRESET_SQL = """with w(width) as (values (1280), (1024), (960), (800), (768), (640), (512), (480), (400), (320), (256), (200)),
+  s as (select p_partkey, cast(width as bigint) as width from part, w where width <= p_partkey and p_partkey between 1 and 1500
+    union select p_partkey, p_partkey from part where p_partkey between 1 and 1500)
+select p_partkey, width, cast(round((p_partkey / 2.0::double) * width / p_partkey) as bigint) as height from s"""
+
+
 QUERIES = {
     "delay_ticks": (delay_ticks, DELAY_SQL),
     "collapse_runs": (collapse_runs, COLLAPSE_SQL),
@@ -361,5 +432,11 @@ QUERIES = {
     "output_size": (output_size, OUTPUT_SQL),
     "quality_settings": (quality_rules, QUALITY_SQL),
     "natural_sort": (natural_sort, NATURAL_SQL),
+    "rate_rules": (rate_rules, RATE_SQL),
+    "crop_rules": (crop_rules, CROP_SQL),
+    "whole_ratios": (whole_ratios, RATIO_SQL),
+    "first_line": (first_line, FIRST_SQL),
+    "last_setting": (last_setting, LAST_SQL),
+    "preset_sizes": (preset_sizes, PRESET_SQL),
     "live_debounce": (live_debounce, DEBOUNCE_SQL),
 }

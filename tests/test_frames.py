@@ -117,3 +117,12 @@ def test_drawing_only_what_changed_gives_the_same_pictures(spark):
         screen = palette.paint(screen, part, np.frombuffer(r["palette"], np.uint8).reshape(-1, 3), r["clear"], r["left"], r["top"])
         assert (screen == clip[r["frame_index"]]).all()
     assert drawn < clip.size // 4
+
+
+def test_small_palette_helpers_and_planes():
+    assert palette.second_pass_size(100) == 128 and palette.second_pass_size(230) == 256 and palette.second_pass_size(150) is None
+    index, solid, clear = palette.merge_clear(np.array([0, 1, 2, 3]), np.arange(12).reshape(4, 3), np.array([255, 0, 255, 128]))
+    assert index.tolist() == [0, 2, 1, 2] and clear == 2 and solid.tolist() == [[0, 1, 2], [6, 7, 8]]
+    assert pixels.copy_plane(b"abcdef", 2, 3, 2, 2) == b"abde" and pixels.copy_plane(b"abcd", 2, 2, 2, 3) == b"ab\0cd\0"
+    with pytest.raises(ValueError):
+        pixels.copy_plane(b"abcd", 2, 2, 3, 2)

@@ -123,3 +123,23 @@ def test_times_and_lookup(spark):
 def test_estimates(spark):
     r = one(spark, estimate.remaining_seconds(L(10.0), L(0.5)).alias("a"), estimate.remaining_seconds(L(2.0), L(0.1)).alias("b"), estimate.progress(L(5), L(4)).alias("c"), estimate.output_duration(L(1.0), L(3.0), L(9.0), L(True)).alias("d"), estimate.naive_size(L(10), L(10), L(3), L(1.0)).alias("e"))
     assert (r["a"], r["b"], r["c"], r["d"], r["e"]) == (10.0, None, 1.0, 4.0, 100.0)
+
+
+def test_dragging_a_crop(spark):
+    crop = F.struct(L(0.2).alias("x"), L(0.2).alias("y"), L(0.5).alias("width"), L(0.5).alias("height"))
+    drag = lambda h, dx, dy: rules.dragged_crop(crop, L(h), L(dx), L(dy), L(0.1), L(0.1))
+    r = one(spark, drag("top_left", 0.1, -0.5).alias("a"), drag("right", 0.9, 0.9).alias("b"), drag("bottom", 0.3, -0.9).alias("c"), rules.moved_crop(crop, L(0.9), L(-0.1)).alias("d"), rules.handle_position(L("nowhere")).alias("e"), rules.crop_field(L(20), L(500)).alias("f"), rules.ratio_field(L(120)).alias("g"))
+    near = lambda x, want: all(abs(a - b) < 1e-9 for a, b in zip(x, want, strict=True))
+    assert near(r["a"], (0.3, 0.0, 0.4, 0.7)) and near(r["b"], (0.2, 0.2, 0.8, 0.5)) and near(r["c"], (0.2, 0.2, 0.5, 0.1))
+    assert near(r["d"], (0.5, 0.1, 0.5, 0.5)) and r["e"] is None and (r["f"], r["g"]) == (100, 99)
+
+
+def test_path_problems(tmp_path):
+    from cadenza.sources import paths
+
+    (tmp_path / "a.png").write_bytes(b"x")
+    assert paths.path_problem(str(tmp_path / "a.png")) is None
+    assert "folder" in paths.path_problem(str(tmp_path)) and "matches" in paths.path_problem(str(tmp_path / "*.png"))
+    assert "output" in paths.path_problem(str(tmp_path / "b.gif")) and "no folder" in paths.path_problem(str(tmp_path / "x/y.png"))
+    assert paths.list_problem(["a.png"]) and paths.list_problem(["a.mp4"]) is None
+    assert paths.list_problem(["a.png", "b.jpg"]) and paths.list_problem(["a.png", "b.png"]) is None
