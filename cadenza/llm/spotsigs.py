@@ -66,6 +66,19 @@ def as_text(signatures: str) -> Column:
     return F.array_join(F.transform(signatures, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
 
 
+def number_above(key: Column, cuts: list[int]) -> Column:
+    """How many of ``cuts`` (in falling order) are above a key, by two steps of about the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    numbers = lambda x: F.array(*(F.lit(c).cast("long") for c in x))
+    # a group whose last cut is above the key is above it as a whole
+    whole = F.size(F.filter(numbers([g[-1] for g in groups]), lambda c: c > key))
+    part = F.coalesce(F.get(F.array(*map(numbers, groups)), whole), F.array().cast("array<long>"))
+    return F.least(whole * step, F.lit(len(cuts))) + F.size(F.filter(part, lambda c: c > key))
+
+
 def with_next(rows: DataFrame, key: str, columns: list[str], tie: list[str]) -> DataFrame:
     """``rows`` with next_<column>: the columns' values in the row that follows in descending order of the long
     ``key`` (null last; ties in order of ``tie``); after the last comes the first.
@@ -78,9 +91,7 @@ def with_next(rows: DataFrame, key: str, columns: list[str], tie: list[str]) ->
     blocks = min(MOST_BLOCKS, max(1, total // BLOCK_ROWS))
     cuts = rows.agg(F.approx_percentile("__key", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] if blocks > 1 else []
     cuts = sorted(set(cuts), reverse=True)  # MOST_BLOCKS numbers at most
-    # a row's block is the number of cuts above its key
-    block = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c > F.col("__key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("__block", block)
+    rows = rows.withColumn("__block", number_above(F.col("__key"), cuts))
     heads = sorted((r[0], r[1]) for r in rows.groupBy("__block").agg(F.max("__key")).collect())
     if not heads:
         return rows.select("*", *(F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns)).drop("__key", "__block")
@@ -149,4 +160,4 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
-    return compare_with_edit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return compare_with_edit(common.table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from cadenza.llm import simhash, spotsigs
 from cadenza.llm.components import connected_components
@@ -182,6 +183,14 @@ def test_spotsigs_with_edited_texts(spark, monkeypatch):
     assert spotsigs.compare_with_edit(documents(spark, [])).collect() == []
 
 
+def test_number_above(spark):
+    for n in (0, 1, 2, 3, 10, 50):
+        cuts = [10 * k for k in range(n, 0, -1)]
+        keys = spark.range(-5, 10 * n + 15).withColumnRenamed("id", "k")
+        for r in keys.select("k", spotsigs.number_above(F.col("k"), cuts).alias("n")).collect():
+            assert r["n"] == sum(c > r["k"] for c in cuts)
+
+
 def test_spotsigs_search(spark):
     rng = np.random.default_rng(1)
     base = [[f"the w{rng.integers(0, 400)} v{rng.integers(0, 400)}" for _ in range(rng.integers(8, 60))] for _ in range(40)]
