@@ -26,8 +26,8 @@ from pyspark.sql.types import StructType
 from . import common, tokens
 
 CAPACITY = 1024
-#: Pieces per salt of a length, about; bounds the groups in which ranks are counted.
-ROWS_PER_SALT = 200_000
+#: Salts of a length at least, and pieces per salt at most, were all of one length; bounds the groups in which ranks are counted.
+LEAST_SALTS, ROWS_PER_SALT = 64, 200_000
 
 
 def fill(room: int, counts: dict[int, int]) -> dict[int, int]:
@@ -109,7 +109,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
     if not total:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     slots = plan_slots(plan_windows(histogram, capacity))
-    salts = max(8, -(-total // ROWS_PER_SALT))
+    salts = max(LEAST_SALTS, -(-total // ROWS_PER_SALT))
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     w = Window.partitionBy("length").orderBy("__salt")
     first = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
@@ -211,5 +211,5 @@ def sequences(packed: DataFrame, pad_id: int, capacity: int = CAPACITY) -> DataF
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in windows of 1024 tokens (id 0 ends a document)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.table(spark, sf_dir, "documents")
     return pack_documents(docs, tokens.public_path("byte_bpe_50k.json"), end_id=0)

@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Words that a worker process remembers, and the longest word that it does.
-MOST_WORDS, LONGEST_WORD = 1_000_000, 100
+#: Words in each of the two generations that a worker process remembers, and the longest word that it does.
+MOST_WORDS, LONGEST_WORD = 400_000, 100
 #: New words that go to the library in one call.
 AT_ONCE = 2_000
 #: A word with the white space before it. A cut is made only before a single space between two
@@ -65,13 +65,16 @@ class WordEncoder:
         """split: a text's words, or keys for them. whole: whether a text must go to ``encode_text`` as it is."""
         self.split, self.whole, self.encode_words, self.encode_text = split, whole, encode_words, encode_text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words met since the last change of generations are in known
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > MOST_WORDS:
-            known.clear()
+        if len(self.known) > MOST_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         words = [None if self.whole(x) else self.split(x) for x in texts]
-        new = list(set().union(*filter(None, words)).difference(known))
+        missing = set().union(*filter(None, words)).difference(known)
+        known.update([(w, older[w]) for w in missing if w in older])
+        new = list(missing.difference(older))
         known.update(zip(new, self.encode_words(new)))
         get = known.__getitem__
         out = [self.encode_text(x) if ws is None else b"".join(map(get, ws)) for x, ws in zip(texts, words)]

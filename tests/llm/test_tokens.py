@@ -154,3 +154,12 @@ def test_packing_pads_little_and_splits_hot_lengths(spark, hot):
 def test_a_bad_length_is_an_error(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.sql("select 1L as doc_id, 2000L as length"), 1024)
+
+
+def test_forgetting_words_makes_no_difference(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 50)
+    texts = [f"w{i % 37} x{i} the {i % 5}" for i in range(300)]
+    encode = tokens.library_encoder(BYTE, True)
+    got = [np.frombuffer(x, "<u4").tolist() for a in range(0, 300, 7) for x in encode(texts[a : a + 7])]
+    assert got == [e.ids for e in tokens.load(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert len(encode.known) + len(encode.older) < 200
