@@ -24,15 +24,6 @@ from . import common, tokens
 
 #: Bytes of distinct words that are merged at once; bounds the arrays and the index.
 BLOCK_BYTES = 4_000_000
-#: The byte-level pre-tokenizer's pattern (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = iter(range(256, 512))
-    return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
 def merge_order(position: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -52,7 +43,7 @@ class PairIndexBpe:
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
-        model, symbols = spec["model"], byte_symbols()
+        model, symbols = spec["model"], tokens.byte_symbols()
         if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or model["end_of_word_suffix"] or model["continuing_subword_prefix"]:
             raise ValueError("a byte-level BPE vocabulary without normalizer or affixes is needed")
         vocab = model["vocab"]
@@ -74,7 +65,7 @@ class PairIndexBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.pattern = regex.compile(PATTERN)
+        self.pattern = regex.compile(tokens.PATTERN)
         self.words = tokens.WordEncoder(tokens.spaced_keys, self._has_special, lambda keys: self.encode_words([*map(tokens.spaced_word, keys)]), self._encode_around_specials)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

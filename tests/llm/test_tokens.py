@@ -27,6 +27,14 @@ def test_word_encoder_equals_the_library(path, byte_level):
         assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
 
 
+def test_rank_encoder_equals_the_library():
+    assert tokens.rank_encoder(WORD) is None
+    texts = odd_texts() + [" " * 1_500_000 + "x", "a" * 450_000, "é日" * 100_000, "x" + "\n" * 300_000 + "y", "!" * 300_000]
+    library = tokens.load(BYTE)
+    for text, got in zip(texts, tokens.rank_encoder(BYTE)(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pair_index_bpe_equals_the_library():
     texts, library, own = odd_texts(), tokens.load(BYTE), bpe.PairIndexBpe(BYTE)
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
