@@ -1,7 +1,7 @@
 """Encoding by public tokenizers.
 
-Byte-level vocabularies whose merges are in order of their ids go to ``tiktoken``, which is several times as
-fast as the ``tokenizers`` library and yields its ids. Others are encoded once per distinct word: the tokenizers
+Vocabularies whose ids are in order of their merges go to ``tiktoken``, which is several times as fast as the
+``tokenizers`` library and yields its ids. What it can't take is encoded once per distinct word: the tokenizers
 used here never merge across the white space that separates words, so a text's ids are the ids of its words, in
 order. Each worker process keeps the ids of words it has met (a bounded number) and hands only new words to the
 ``tokenizers`` library, many in one call.
@@ -18,6 +18,11 @@ import numpy as np
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The word vocabulary's pieces and normalizer (fixed values), and the characters for which Python's lower case is
+#: the library's and composing changes nothing.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+NOT_SIMPLE = re.compile("[^\x00-\x1b\x20-\x7e\xa0-\u012f\u2010-\u2027\u20ac]")
 #: Longer texts go to the ``tokenizers`` library: the other one's pattern matcher bounds its steps in one match.
 LONGEST_TEXT = 400_000
 #: Words in each of the two generations that a worker process remembers, and the longest word that it does.
@@ -161,11 +166,57 @@ def rank_encoder(path: str) -> Callable[[list[str]], list[bytes]] | None:
     return lambda texts: [*map(encode_text, texts)]
 
 
+def word_rank_encoder(path: str) -> Callable[[list[str]], list[bytes]] | None:
+    """The ids that ``library_encoder`` gives for a vocabulary of lower-cased pieces with an end mark, by ``tiktoken``;
+    none if the vocabulary isn't of that kind.
+
+    A space stands for the mark: it ends every piece and occurs in none. Texts with characters beyond Latin ones go
+    to ``library_encoder``.
+    """
+    import regex
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, mark = spec["model"], spec["model"].get("end_of_word_suffix")
+    steps, splits = ((spec[k] or {}).get(x, []) for k, x in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    if model["type"] != "BPE" or not mark or [x["type"] for x in steps] != NORMALIZERS or not splits or splits[0].get("pattern") != {"Regex": WORD_PATTERN}:
+        return None
+    byte_of = {c: b for b, c in enumerate(byte_symbols())}
+    specials = [x["content"] for x in spec["added_tokens"]]
+    ranks = {}
+    for token, i in model["vocab"].items():
+        if token not in specials:
+            plain = token.removesuffix(mark)
+            ranks[bytes(map(byte_of.__getitem__, plain)) + b" " * (plain != token)] = i
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    # bytes come first, then bytes with the mark, then what merges make
+    if sorted(ranks.values()) != [*range(len(ranks))] or made != [*range(512, len(ranks))] or any(ranks[bytes([b, 32])] >= 512 for b in range(256)):
+        return None
+    pieces, slow = regex.compile(WORD_PATTERN), library_encoder(path, False)
+    fast = tiktoken.Encoding("word_ranks", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        rest = []
+        for i, text in enumerate(texts):
+            if NOT_SIMPLE.search(text) or ("<|" in text and any(x in text for x in specials)):
+                rest.append(i)
+            else:
+                found = pieces.findall(text.lower())
+                out[i] = fast.encode_to_numpy(" ".join([*found, ""]), disallowed_special=()).astype("<u4", copy=False).tobytes()
+        for i, ids in zip(rest, slow([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    return encode
+
+
 _encoders: dict[tuple, Callable[[list[str]], list[bytes]]] = {}
 
 
 def encoder(path: str, byte_level: bool) -> Callable[[list[str]], list[bytes]]:
     """This process's encoder for a vocabulary file: texts to ids (little-endian unsigned 32-bit, as bytes)."""
     if (path, byte_level) not in _encoders:
-        _encoders[path, byte_level] = (byte_level and rank_encoder(path)) or library_encoder(path, byte_level)
+        _encoders[path, byte_level] = (rank_encoder if byte_level else word_rank_encoder)(path) or library_encoder(path, byte_level)
     return _encoders[path, byte_level]

@@ -35,6 +35,18 @@ def test_rank_encoder_equals_the_library():
         assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_rank_encoder_equals_the_library(spark):
+    assert tokens.word_rank_encoder(BYTE) is None
+    rng = random.Random(2)
+    simple = [chr(c) for c in range(0x3000) if not tokens.NOT_SIMPLE.search(chr(c))]
+    texts = odd_texts() + ["".join(rng.choice(simple) if rng.random() < 0.4 else rng.choice(" 'sTdllRe1aOn!") for _ in range(60)) for _ in range(4000)]
+    texts += [*simple, "a" * 100_000, "É1!" * 50_000, "x" + " " * 1_500_000 + "y"]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    library = tokens.load(WORD)
+    for text, got in zip(texts, tokens.word_rank_encoder(WORD)(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pair_index_bpe_equals_the_library():
     texts, library, own = odd_texts(), tokens.load(BYTE), bpe.PairIndexBpe(BYTE)
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
