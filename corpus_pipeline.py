@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import common, packing, quality_classifier, quality_rules, simhash, tokens
+from cadenza.llm import common, packing, quality_classifier, quality_rules, resemblance, tokens
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the least doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near-duplicates (0.8 or more of their five-word shingles alike): that of the least doc_id."""
+    return resemblance.deduplicate(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", classify), ("quality_rules", apply_rules), ("simhash_dedup", deduplicate), ("packing", pack)]
 
-#: SQL can't express the classifier, XXH64 fingerprints or the tokenizer; tests hold the stages against brute force.
+#: SQL can't express the classifier, min-hashes or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
