@@ -42,6 +42,8 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: Start tags that leave an open head open; any other ends it (fixed values).
+IN_HEAD = frozenset("head title meta link base basefont bgsound script style noscript noframes template".split())
 #: An end tag doesn't reach an element outside these.
 WALLS = frozenset("td th table caption".split())
 SPACE = re.compile("[ \t\n\r\f]+")
@@ -90,6 +92,8 @@ class TreeBuilder(HTMLParser):
             self._cut(found)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD and self.count["head"] and self.open[-1].tag == "head":
+            self._end({"head"}, set())
         if tag in ENDS_P:
             self._end({"p"}, WALLS | {"button"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
@@ -132,12 +136,26 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "style":
-            self.styles.append(data)
+            if on_screen(self.open[-1].attrs.get("media")):
+                self.styles.append(data)
         elif self.open[-1].tag == "head" and data.strip():
             self._cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
+def on_screen(media: str | None) -> bool:
+    """Whether a style element's media queries include a screen; conditions on its size and the like are taken as met."""
+    queries = [q.split() for q in (media or "").lower().split(",")]
+    if queries == [[]]:
+        return True
+    for words in queries:
+        negated = words[:1] == ["not"]
+        kind = next((w for w in words if w not in ("not", "only")), "")
+        if kind and (kind in ("all", "screen") or kind.startswith("(")) != negated:
+            return True
+    return False
+
+
 def hidden_selectors(styles: list[str]) -> list[tuple[str, frozenset[str], str]]:
     """(tag, classes, id) of the simple selectors that style sheets hide; rules inside at-rules don't count."""
     found = []

@@ -36,6 +36,24 @@ def test_layout(name):
     assert visible_text(source) == want
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<head><title>t</title><font>all the text<br>more</font>", "all the text\nmore"),
+        ("<html><head><meta charset=x><a href=y>link</a> and <b>bold</b>", "link and bold"),
+        ("<head><script>x</script><noscript><img></noscript><link rel=a><style>p{}</style></head><p>a", "a"),
+        ("<head><template><b>no</b></template><title>t</title></head>a", "a"),
+        ("<head><style media=print>p {display:none}</style></head><p>a", "a"),
+        ("<style media='screen, print'>p {display:none}</style><p>a</p>b", "b"),
+        ("<style media='not screen'>p {display:none}</style><p>a", "a"),
+        ("<style media='only screen and (min-width: 1px)'>p {display:none}</style><p>a</p>b", "b"),
+        ("<style media='(min-width: 1px)'>p {display:none}</style><p>a</p>b", "b"),
+    ],
+)
+def test_all_visible_text_after_an_open_head_or_a_sheet_for_print(source, want):
+    assert visible_text(source) == want
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     assert visible_text("<ul><li>" * 300 + "x").strip().endswith("x")
