@@ -137,7 +137,8 @@ def assemble(frames: DataFrame, quality: int = 100, fast: bool = False) -> DataF
 
     Needs clip_id, frame_index, width, height, rgba, importance, palette, dispose (background or keep). What a frame
     draws depends on what the ones before it left on screen, so a clip is one ordered fold (palettes and
-    compression are not part of it). The first and last frame are drawn whole.
+    compression are not part of it). The first and last frame are drawn whole, and so is one that is cleared after it:
+    only what was drawn is cleared, and a pixel that turns clear may lie outside of what changed.
     """
     kind = frames.schema["clip_id"].dataType.simpleString()
 
@@ -152,7 +153,7 @@ def assemble(frames: DataFrame, quality: int = 100, fast: bool = False) -> DataF
             lax = (weight == 0) & masks_unchanged(keeps, fast, quality, k)
             index, clear = remap(rgba, palette, screen if k else None, lax & (screen[..., 3] >= 128))
             after = paint(screen, index, palette, clear, 0, 0)
-            left, top, pw, ph = (0, 0, w, h) if k in (0, len(pdf) - 1) else pixels.changed_box(screen, after)
+            left, top, pw, ph = (0, 0, w, h) if k in (0, len(pdf) - 1) or r.dispose != "keep" else pixels.changed_box(screen, after)
             part = index[top : top + ph, left : left + pw]
             rows.append((r.clip_id, int(r.frame_index), left, top, pw, ph, part.astype(np.uint8).tobytes(), palette.tobytes(), clear, r.dispose, w, h))
             keeps = r.dispose == "keep"

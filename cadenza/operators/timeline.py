@@ -1,17 +1,19 @@
 """Operators over the frames of clips in order: sampling, trimming, retiming, collapsing, timing.
 
 A frame table has a clip key, an order (one or more columns that order a clip's frames without ties) and what
-else the operator needs. Every operator is built-in expressions and windows partitioned by clip, so a plan
+else the operator needs. Every operator but ``delays_in_turn`` is built-in expressions and windows partitioned by clip, so a plan
 that chains several of them shuffles once. Times are seconds (double) or whole microseconds (long); functions
 that are sensitive to rounding take microseconds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Output ticks are hundredths of a second; a frame is shown for so many at least and at most.
 TICK_US, LEAST_TICKS, MOST_TICKS = 10_000, 2, 30_000
@@ -163,6 +165,27 @@ def delay_ticks_limited(frames: DataFrame, clip: str, order: Sequence[str], end:
     return frames.groupBy(clip).agg(F.aggregate(ends, start, step)["delays"].alias("delays"))
 
 
+def delays_in_turn(frames: DataFrame, clip: str, order: Sequence[str], end: str, out: str = "delay", most: int = MOST_TICKS) -> DataFrame:
+    """``frames`` with the display time of each, with both limits: what one frame can't show is carried on to the next.
+
+    A clip's rows stream past in order; only the running total is held.
+    """
+    rows = frames.repartition(clip).sortWithinPartitions(clip, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = object(), 0
+        for batch in batches:
+            delays = []
+            for own, ended in zip(batch.column(clip).to_pylist(), batch.column(end).to_pylist()):
+                if own != last:
+                    last, total = own, 0
+                delays.append(min(max(ended - total, LEAST_TICKS), most))
+                total += delays[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(delays, pa.int64())], names=[*batch.schema.names, out])
+
+    return rows.mapInArrow(run, StructType([*frames.schema]).add(out, "long"))
+
+
 def drop_leading_blank(samples: DataFrame, clip: str, order: Sequence[str], is_blank: Column) -> DataFrame:
     """Samples from the first that isn't blank on; a clip of blanks only disappears (``all_blank`` finds it)."""
     seen = F.max(~is_blank).over(_in_order(clip, order))

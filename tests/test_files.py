@@ -92,6 +92,23 @@ def test_clips_become_gifs_and_come_back(spark):
         assert sum(r["delay"] for r in own) == 80
 
 
+def test_pixels_that_turn_clear_and_long_times(spark):
+    x = np.zeros((5, 6, 8, 4), np.uint8)
+    x[..., :] = (200, 40, 40, 255)
+    x[1, 4:, 6:] = x[2, 4:, 6:] = (0, 90, 200, 255)
+    x[2, 0:2, 0:3] = x[3, 0:2, 0:3] = 0
+    x[4, 0:6, 0:4] = 0
+    times = [0.0, 400.0, 400.1, 400.2, 400.3]
+    rows = [("a", i, t, 8, 6, bytearray(f.tobytes())) for i, (t, f) in enumerate(zip(times, x))]
+    back = gif.read_clips(encode_clips(spark.createDataFrame(rows, fr.FRAME))).collect()
+    own = sorted(back, key=lambda r: r["frame_index"])
+    assert len(own) == 5
+    for r, f in zip(own, x):
+        got = np.frombuffer(bytes(r["rgba"]), np.uint8).reshape(6, 8, 4)
+        assert (got[..., 3] == f[..., 3]).all() and (got[f[..., 3] > 0] == f[f[..., 3] > 0]).all()
+    assert [r["delay"] for r in own][:2] == [30_000, 10_010]
+
+
 def test_gif_header_says_how_often():
     for repeat in (None, 0, 3):
         data = gif.header(4, 3, repeat) + gif.control_block(7, "background", -1) + gif.frame_block(0, 0, 4, 3, np.zeros(12, np.uint8), np.array([[1, 2, 3]], np.uint8), -1) + b"\x3b"
