@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 #: Bytes of distinct words that are merged at once; bounds the arrays and the index.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
+#: Bytes of remembered words in each of two generations.
+MOST_BYTES = 50_000_000
 
 
 def merge_order(position: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -66,7 +68,7 @@ class PairIndexBpe:
         self.keys, self.ranks = keys[order], order
         self.split_specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.pattern = regex.compile(tokens.PATTERN)
-        self.words = tokens.WordEncoder(tokens.spaced_keys, self._has_special, lambda keys: self.encode_words([*map(tokens.spaced_word, keys)]), self._encode_around_specials)
+        self.known = tokens.Remembered(lambda unit: self.encode_words([unit])[0], MOST_BYTES)  # filled many at once
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, -1 where there is none."""
@@ -163,11 +165,23 @@ class PairIndexBpe:
                 start, held = i + 1, 0
         return [b"".join([ids[p] for p in x]) for x in parts]
 
-    def _has_special(self, text: str) -> bool:
-        return any(s in text for s in self.specials)
+    def words(self, texts: list[str]) -> list[bytes]:
+        """Ids (little-endian u32 bytes) of texts: those of their units, of which the new ones are merged together."""
+        # white space that only Python takes for such may stand anywhere in a unit's end, so those texts stay whole
+        whole = [any(s in x for s in self.specials) or any(c in x for c in tokens.ODD_SPACE) for x in texts]
+        units = [None if w else tokens.UNIT.findall(x) for x, w in zip(texts, whole)]
+        missing = set().union(*filter(None, units))
+        got = {u: known[u] for known in (self.known, self.known.older) for u in missing.intersection(known.keys())}
+        new = list(missing.difference(self.known.keys()))
+        unmet = [u for u in new if u not in got]
+        got.update(zip(unmet, self.encode_words(unmet)))
+        for unit in new:
+            if len(unit) <= tokens.LONGEST_UNIT:
+                self.known.remember(unit, got[unit])
+        return [self._encode_around_specials(x) if us is None else b"".join(map(got.__getitem__, us)) for x, us in zip(texts, units)]
 
     def _encode_around_specials(self, text: str) -> bytes:
-        parts = self.split_specials.split(text)
+        parts = self.split_specials.split(text) if self.split_specials else [text]
         plain = [p for p in parts if p and p not in self.specials]
         ids = dict(zip(plain, self.encode_words(plain)))
         return b"".join(np.uint32(self.specials[p]).tobytes() if p in self.specials else ids[p] for p in parts if p)

@@ -1,17 +1,17 @@
-"""Encoding by public tokenizers.
+"""Encoding by public tokenizers, with the ``tokenizers`` library.
 
-Vocabularies whose ids are in order of their merges go to ``tiktoken``, which is several times as fast as the
-``tokenizers`` library and yields its ids. What it can't take is encoded once per distinct word: the tokenizers
-used here never merge across the white space that separates words, so a text's ids are the ids of its words, in
-order. Each worker process keeps the ids of words it has met (a bounded number) and hands only new words to the
-``tokenizers`` library, many in one call.
+The tokenizers used here never merge across the white space between words, so a text's ids are the ids of its
+units, in order: a unit is a word, for byte-level vocabularies with the white space before it. Each worker process
+keeps the ids of units that it has met (a bounded number of bytes); only new ones go to the library. A new unit of
+plain Latin characters is split into the vocabulary's pieces, and the library's model merges those that are new;
+any other new unit goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -19,23 +19,19 @@ import numpy as np
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The word vocabulary's pieces and normalizer (fixed values), and the characters for which Python's lower case is
-#: the library's and composing changes nothing.
+#: the library's, composing changes nothing and all Unicode versions agree on what a letter is.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-NOT_SIMPLE = re.compile("[^\x00-\x1b\x20-\x7e\xa0-\u012f\u2010-\u2027\u20ac]")
-#: Longer texts go to the ``tokenizers`` library: the other one's pattern matcher bounds its steps in one match.
-LONGEST_TEXT = 400_000
-#: Words in each of the two generations that a worker process remembers, and the longest word that it does.
-MOST_WORDS, LONGEST_WORD = 400_000, 100
-#: New words that go to the library in one call.
-AT_ONCE = 2_000
-#: A word with the white space before it. A cut is made only before a single space between two
-#: other characters, where byte-level pre-tokenizers always cut; longer runs of white space stay inside.
-SPACED_WORD = re.compile(r"(?:\A\s+| )?\S+(?:(?! \S)\s+\S+)*(?:\s+\Z)?|\A\s+\Z")
-#: A text without these is cut at each of its spaces.
-LONG_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
-#: These are white space to Python but not to the library: such texts are encoded whole.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+NOT_SIMPLE = re.compile("[^\x00-\x1b\x20-\x7e\xa0-į‐-‧€]")
+#: A word with the white space before it, or the white space at a text's end. Byte-level pre-tokenizers cut before
+#: white space that follows a word, whatever stands before and after.
+UNIT = re.compile(r"\s*\S+|\s+")
+#: White space to Python but not to the library (fixed values): texts with these are encoded whole.
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Bytes that a generation of remembered units may take, and the longest unit that is remembered.
+MOST_BYTES, LONGEST_UNIT = 80_000_000, 100
+#: Bytes of a dictionary's entry beside its key and value, about.
+ENTRY = 100
 
 
 def public_path(name: str) -> str:
@@ -54,83 +50,33 @@ def load(path: str):
     return tokenizer
 
 
-def spaced_keys(text: str) -> list[str]:
-    """A text's words as keys: a word that follows a space without it, any other after a line feed."""
-    if not text:
-        return []
-    if LONG_SPACE.search(text) is None:
-        keys = text.split(" ")
-        keys[0] = "\n" + keys[0]
-        return keys
-    return [w[1:] if w[0] == " " and w[1:2].strip() else "\n" + w for w in SPACED_WORD.findall(text)]
+class Remembered(dict):
+    """What ``make`` yields for a key (bytes), remembered in two generations of at most ``most`` bytes each: when the
+    younger one is full it becomes the older one, which is let go; what is met again is taken over."""
 
+    def __init__(self, make: Callable[[str], bytes], most: int = MOST_BYTES):
+        super().__init__()
+        self.make, self.most, self.held, self.older = make, most, 0, {}
 
-def spaced_word(key: str) -> str:
-    """The word that a key stands for."""
-    return key[1:] if key[0] == "\n" else " " + key
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_UNIT:
+            self.remember(key, value)
+        return value
 
+    def remember(self, key: str, value: bytes) -> None:
+        if self.held > self.most:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+        self.held += ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
+        self[key] = value
 
-class WordEncoder:
-    """Texts to ids (little-endian unsigned 32-bit, as bytes) by way of their distinct words."""
 
-    def __init__(self, split: Callable[[str], list[str]], whole: Callable[[str], bool], encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes]):
-        """split: a text's words, or keys for them. whole: whether a text must go to ``encode_text`` as it is."""
-        self.split, self.whole, self.encode_words, self.encode_text = split, whole, encode_words, encode_text
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # words met since the last change of generations are in known
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MOST_WORDS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        words = [None if self.whole(x) else self.split(x) for x in texts]
-        missing = set().union(*filter(None, words)).difference(known)
-        known.update([(w, older[w]) for w in missing if w in older])
-        new = list(missing.difference(older))
-        known.update(zip(new, self.encode_words(new)))
-        get = known.__getitem__
-        out = [self.encode_text(x) if ws is None else b"".join(map(get, ws)) for x, ws in zip(texts, words)]
-        for w in new:
-            if len(w) > LONGEST_WORD:
-                del known[w]
-        return out
-
-
-def library_encoder(path: str, byte_level: bool) -> WordEncoder:
-    """Ids exactly as the library gives for whole texts with add_special_tokens=False.
-
-    byte_level: the vocabulary keeps white space (a word takes the space before it); else white space is
-    dropped. New words go to the library joined by a separator whose id nothing else can yield.
-    """
-    tokenizer = load(path)
-    specials = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-    mark, joint = ("<|endoftext|>",) * 2 if byte_level else ("\x01", " \x01 ")
-    (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
-
-    def encode_text(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode_words(words: list[str]) -> list[bytes]:
-        if byte_level:
-            words = [*map(spaced_word, words)]
-        out: list[bytes] = []
-        for i in range(0, len(words), AT_ONCE):
-            some = words[i : i + AT_ONCE]
-            plain = [w for w in some if mark not in w]
-            done: dict[str, bytes] = {}
-            if plain:
-                ids = np.array(tokenizer.encode_batch_fast([joint.join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-                cuts = np.flatnonzero(ids == mark_id)
-                starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-                data = ids.tobytes()
-                done = {w: data[4 * a : 4 * b] for w, a, b in zip(plain, starts, ends, strict=True)}
-            out += [done[w] if w in done else encode_text(w) for w in some]
-        return out
-
-    def whole(text: str) -> bool:
-        return ("<|" in text and any(s in text for s in specials)) or (not byte_level and ODD_SPACE.search(text) is not None)
-
-    return WordEncoder(spaced_keys if byte_level else str.split, whole, encode_words, encode_text)
+def as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 def byte_symbols() -> list[str]:
@@ -140,83 +86,74 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-def rank_encoder(path: str) -> Callable[[list[str]], list[bytes]] | None:
-    """The ids that ``library_encoder`` gives, by ``tiktoken``; none if the vocabulary's ids aren't its merge ranks."""
-    import tiktoken
+def known_pieces(tokenizer, byte_level: bool) -> re.Pattern | None:
+    """The pattern by which the vocabulary splits lower-cased (word) or given (byte-level) text into pieces; none if
+    the vocabulary isn't of a kind known here."""
+    import json
 
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    model = spec["model"]
-    if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"] is None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
-        return None
-    specials = [x["content"] for x in spec["added_tokens"]]
-    byte_of = {c: b for b, c in enumerate(byte_symbols())}
-    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in specials}
-    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    if sorted(ranks.values()) != [*range(len(ranks))] or made != [*range(256, len(ranks))]:
-        return None
-    tokenizer = load(path)
-    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode_text(text: str) -> bytes:
-        if len(text) > LONGEST_TEXT or any(x in text for x in specials):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    import regex
 
-    return lambda texts: [*map(encode_text, texts)]
+    spec = json.loads(tokenizer.to_str())
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or model["dropout"] or model["unk_token"] or model["byte_fallback"] or model["ignore_merges"]:
+        return None
+    if byte_level:
+        fits = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not spec["normalizer"]
+        return regex.compile(PATTERN) if fits else None
+    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    splits = before.get("pretokenizers", [])
+    fits = steps == NORMALIZERS and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": WORD_PATTERN}
+    return regex.compile(WORD_PATTERN) if fits and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"] else None
 
 
-def word_rank_encoder(path: str) -> Callable[[list[str]], list[bytes]] | None:
-    """The ids that ``library_encoder`` gives for a vocabulary of lower-cased pieces with an end mark, by ``tiktoken``;
-    none if the vocabulary isn't of that kind.
+class UnitEncoder:
+    """Texts to ids (little-endian unsigned 32-bit, as bytes), exactly those that the library gives for whole texts
+    with add_special_tokens=False.
 
-    A space stands for the mark: it ends every piece and occurs in none. Texts with characters beyond Latin ones go
-    to ``library_encoder``.
+    byte_level: the vocabulary keeps white space (a unit has that before its word); else white space is dropped.
     """
-    import regex
-    import tiktoken
-
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    model, mark = spec["model"], spec["model"].get("end_of_word_suffix")
-    steps, splits = ((spec[k] or {}).get(x, []) for k, x in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
-    if model["type"] != "BPE" or not mark or [x["type"] for x in steps] != NORMALIZERS or not splits or splits[0].get("pattern") != {"Regex": WORD_PATTERN}:
-        return None
-    byte_of = {c: b for b, c in enumerate(byte_symbols())}
-    specials = [x["content"] for x in spec["added_tokens"]]
-    ranks = {}
-    for token, i in model["vocab"].items():
-        if token not in specials:
-            plain = token.removesuffix(mark)
-            ranks[bytes(map(byte_of.__getitem__, plain)) + b" " * (plain != token)] = i
-    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    # bytes come first, then bytes with the mark, then what merges make
-    if sorted(ranks.values()) != [*range(len(ranks))] or made != [*range(512, len(ranks))] or any(ranks[bytes([b, 32])] >= 512 for b in range(256)):
-        return None
-    pieces, slow = regex.compile(WORD_PATTERN), library_encoder(path, False)
-    fast = tiktoken.Encoding("word_ranks", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        rest = []
-        for i, text in enumerate(texts):
-            if NOT_SIMPLE.search(text) or ("<|" in text and any(x in text for x in specials)):
-                rest.append(i)
-            else:
-                found = pieces.findall(text.lower())
-                out[i] = fast.encode_to_numpy(" ".join([*found, ""]), disallowed_special=()).astype("<u4", copy=False).tobytes()
-        for i, ids in zip(rest, slow([texts[i] for i in rest])):
-            out[i] = ids
-        return out
+    def __init__(self, path: str, byte_level: bool):
+        self.tokenizer, self.byte_level = load(path), byte_level
+        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pattern = known_pieces(self.tokenizer, byte_level)
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
+        self.pieces = Remembered(self.encode_piece)
+        self.units = Remembered(self.encode_unit)
+
+    def encode_piece(self, piece: str) -> bytes:
+        shown = piece if piece.isalnum() and piece.isascii() else "".join([self.symbols[b] for b in piece.encode("utf-8", "surrogatepass")])
+        return as_bytes([t.id for t in self.model.tokenize(shown)])
+
+    def encode_whole(self, text: str) -> bytes:
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def encode_unit(self, unit: str) -> bytes:
+        if self.pattern is None or NOT_SIMPLE.search(unit):
+            return self.encode_whole(unit)
+        if not self.byte_level:
+            unit = unit.lower()
+        if unit.isalpha():
+            return self.pieces[unit]
+        return b"".join([self.pieces[p] for p in self.pattern.findall(unit)])
+
+    def must_be_whole(self, text: str) -> bool:
+        return ("<|" in text and any(s in text for s in self.specials)) or any(c in text for c in ODD_SPACE)
+
+    def encode(self, text: str) -> bytes:
+        if self.must_be_whole(text):
+            return self.encode_whole(text)
+        return b"".join(map(self.units.__getitem__, UNIT.findall(text) if self.byte_level else text.split()))
 
-    return encode
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [*map(self.encode, texts)]
 
 
-_encoders: dict[tuple, Callable[[list[str]], list[bytes]]] = {}
+_encoders: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(path: str, byte_level: bool) -> Callable[[list[str]], list[bytes]]:
-    """This process's encoder for a vocabulary file: texts to ids (little-endian unsigned 32-bit, as bytes)."""
+def encoder(path: str, byte_level: bool) -> UnitEncoder:
+    """This process's encoder for a vocabulary file."""
     if (path, byte_level) not in _encoders:
-        _encoders[path, byte_level] = (rank_encoder if byte_level else word_rank_encoder)(path) or library_encoder(path, byte_level)
+        _encoders[path, byte_level] = UnitEncoder(path, byte_level)
     return _encoders[path, byte_level]

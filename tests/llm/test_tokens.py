@@ -19,32 +19,22 @@ def odd_texts(n=4000):
 
 
 @pytest.mark.parametrize("path, byte_level", [(BYTE, True), (WORD, False)])
-def test_word_encoder_equals_the_library(path, byte_level):
-    texts = odd_texts()
-    want = [e.ids for e in tokens.load(path).encode_batch(texts, add_special_tokens=False)]
-    encode = tokens.library_encoder(path, byte_level)
-    for _ in range(2):  # the second time from what is known
-        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
-
-
-def test_rank_encoder_equals_the_library():
-    assert tokens.rank_encoder(WORD) is None
-    texts = odd_texts() + [" " * 1_500_000 + "x", "a" * 450_000, "é日" * 100_000, "x" + "\n" * 300_000 + "y", "!" * 300_000]
-    library = tokens.load(BYTE)
-    for text, got in zip(texts, tokens.rank_encoder(BYTE)(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-
-
-def test_word_rank_encoder_equals_the_library(spark):
-    assert tokens.word_rank_encoder(BYTE) is None
+def test_encoder_equals_the_library(spark, monkeypatch, path, byte_level):
     rng = random.Random(2)
     simple = [chr(c) for c in range(0x3000) if not tokens.NOT_SIMPLE.search(chr(c))]
-    texts = odd_texts() + ["".join(rng.choice(simple) if rng.random() < 0.4 else rng.choice(" 'sTdllRe1aOn!") for _ in range(60)) for _ in range(4000)]
-    texts += [*simple, "a" * 100_000, "É1!" * 50_000, "x" + " " * 1_500_000 + "y"]
+    texts = odd_texts() + ["".join(rng.choice(simple) if rng.random() < 0.4 else rng.choice(" 'sTdllRe1aOn!\n") for _ in range(60)) for _ in range(4000)]
+    texts += [*simple, " " * 1_500_000 + "x", "a" * 450_000, "é日" * 100_000, "x" + "\n" * 300_000 + "y", "!" * 300_000, "É1!" * 50_000]
     texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    library = tokens.load(WORD)
-    for text, got in zip(texts, tokens.word_rank_encoder(WORD)(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    library = tokens.load(path)
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    encode = tokens.UnitEncoder(path, byte_level)
+    assert encode.pattern is not None
+    for _ in range(2):  # the second time from what is known
+        assert encode(texts) == want
+    small = tokens.UnitEncoder(path, byte_level)
+    small.units.most = small.pieces.most = 5_000  # generations change within a text
+    assert small(texts[:6000]) == want[:6000]
+    assert tokens.UnitEncoder(path, not byte_level).pattern is None
 
 
 def test_pair_index_bpe_equals_the_library():
@@ -174,12 +164,3 @@ def test_packing_pads_little_and_splits_hot_lengths(spark, hot):
 def test_a_bad_length_is_an_error(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.sql("select 1L as doc_id, 2000L as length"), 1024)
-
-
-def test_forgetting_words_makes_no_difference(monkeypatch):
-    monkeypatch.setattr(tokens, "MOST_WORDS", 50)
-    texts = [f"w{i % 37} x{i} the {i % 5}" for i in range(300)]
-    encode = tokens.library_encoder(BYTE, True)
-    got = [np.frombuffer(x, "<u4").tolist() for a in range(0, 300, 7) for x in encode(texts[a : a + 7])]
-    assert got == [e.ids for e in tokens.load(BYTE).encode_batch(texts, add_special_tokens=False)]
-    assert len(encode.known) + len(encode.older) < 200
