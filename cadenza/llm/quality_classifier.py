@@ -13,17 +13,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .labelled import held_out, in_order, labelled_sample
+from .labelled import held_out, labelled_sample
 
-#: Labelled documents of each class to learn from, and the most bytes of them, whatever the input's size.
-PER_CLASS, MOST_BYTES = 4_000, 24_000_000
+#: Labelled documents of each class to learn from, and pieces of them that make a dictionary, whatever the input's size.
+PER_CLASS, PIECES = 4_000, 6_000
 DICTIONARY_BYTES, LEVEL, PIECE = 65_536, 3, 2_000
 REJECT_BELOW = 0.3
 RIDGE = 1.0
@@ -86,57 +86,76 @@ def fit_ridge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = R
     return w
 
 
-def build_dictionary(texts: list[bytes]) -> bytes:
-    """A zstandard dictionary of texts (whole texts, in pieces); too few of them serve as they are."""
-    pieces = [x[a : a + PIECE] for x in texts for a in range(0, len(x), PIECE)]
+def build_dictionary(pieces: list[bytes]) -> bytes:
+    """A zstandard dictionary of pieces of text; too few of them serve as they are."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def fit_sample(rows: pd.DataFrame) -> Model:
-    """The model of labelled rows (text, label, weight), in the order given; every second one of a class goes into
-    its dictionary, the rest calibrate."""
-    data = rows["text"].fillna("")
-    size = data.str.len().groupby(rows["label"]).cumsum()
-    rows = rows[size <= MOST_BYTES].assign(text=data)
-    turn = rows.groupby("label").cumcount() % 2
-    first = rows[turn == 0]
-    good, bad = (build_dictionary([x.encode("utf-8", "surrogatepass") for x in first["text"][first["label"] == k]]) for k in (1, 0))
-    rest = rows[turn == 1] if len(rows[turn == 1]) else rows
-    if not len(rest):
-        return Model(good, bad, np.zeros(3), np.ones(3), np.zeros(10))
-    features = Compressors(good, bad).features(rest["text"].tolist())
+def calibrate(features: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """centre, scale and weights of the regression."""
     centre, scale = np.median(features, axis=0), features.std(axis=0) + 1e-9
-    weight = rest["weight"].to_numpy(np.float64)
-    weights = fit_ridge(expand(features, centre, scale), rest["label"].to_numpy(np.float64), weight / weight.mean())
-    return Model(good, bad, centre, scale, weights)
+    return centre, scale, fit_ridge(expand(features, centre, scale), label.astype(np.float64), weight / weight.mean())
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """Learn from a bounded sample of the labelled documents (see ``labelled_sample``), in one task.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, pieces: int = PIECES) -> Model:
+    """Learn from a bounded number of the labelled documents (see ``labelled_sample``).
 
-    No labels at all, or of one class only, give a model all the same: it scores by the class's share.
+    Every second document of a class goes into its dictionary, by up to ``pieces`` pieces of PIECE bytes that are drawn
+    by hash from the whole texts; the rest, whole, calibrate (all of them do if there is no other). No labels at all, or
+    of one class only, give a model all the same: it scores by the class's share.
     """
+    sample = common.cut(labelled_sample(docs, labels, label, per_class), "labelled")
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not (found := [b for b in batches if len(b)]):
-            return
-        m = fit_sample(in_order(pd.concat(found, ignore_index=True)))
-        yield pd.DataFrame({"good": [m.good], "bad": [m.bad], "centre": [m.centre], "scale": [m.scale], "weights": [m.weights]})
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in common.text_slices(batch, "text"):
+                for own, text in zip(part.column("label").to_pylist(), texts):
+                    data = text.encode("utf-8", "surrogatepass")
+                    found = [data[a : a + PIECE] for a in range(0, len(data), PIECE)]
+                    order = [xxhash.xxh3_64_intdigest(x) >> 1 for x in found]
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.int32()), pa.array(order, pa.int64()), pa.array(found, pa.binary())], names=["label", "order", "piece"])
+
+    cuts = sample.filter("turn = 0").mapInArrow(cut_up, "label int, order long, piece binary")
+    chosen = [cuts.filter(F.col("label") == k).orderBy("order", "piece").limit(pieces) for k in (0, 1)]  # PIECES times PIECE bytes each
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {0: [], 1: []}
+        for batch in batches:
+            for k, x in zip(batch.column("label").to_pylist(), batch.column("piece").to_pylist()):
+                held[k].append(x)
+        yield pa.RecordBatch.from_arrays([pa.array([build_dictionary(held[k])], pa.binary()) for k in (1, 0)], names=["good", "bad"])
 
-    sample = labelled_sample(docs, labels, label, per_class)
-    found = sample.repartition(1).mapInPandas(learn, "good binary, bad binary, centre array<double>, scale array<double>, weights array<double>").collect()
-    if not found:
-        return Model(b"", b"", np.zeros(3), np.ones(3), np.zeros(10))
-    r = found[0]
-    return Model(bytes(r["good"]), bytes(r["bad"]), *(np.array(r[k]) for k in ("centre", "scale", "weights")))
+    both = chosen[0].union(chosen[1]).repartition(1).sortWithinPartitions("label", "order", "piece").mapInArrow(train, "good binary, bad binary").collect()
+    good, bad = (bytes(both[0][k]) for k in ("good", "bad")) if both else (b"", b"")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in common.text_slices(batch, "text"):
+                found = compressors(good, bad).features(texts)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "weight", "turn")), *map(pa.array, found.T)], names=["doc_id", "label", "weight", "turn", "d", "r", "n"])
+
+    kind = f"doc_id {common.sql_type(sample, 'doc_id')}, label int, weight double, turn int, d double, r double, n double"
+    rows = sample.mapInArrow(measure, kind).orderBy("label", "doc_id").toPandas()  # numbers of two times per_class rows at most
+    rest = rows[rows["turn"] == 1] if (rows["turn"] == 1).any() else rows
+    if not len(rest):
+        return Model(good, bad, np.zeros(3), np.ones(3), np.zeros(10))
+    return Model(good, bad, *calibrate(rest[["d", "r", "n"]].to_numpy(), rest["label"].to_numpy(), rest["weight"].to_numpy()))
 
 
 _ready: dict[tuple[bytes, bytes], Compressors] = {}
 
 
+def compressors(good: bytes, bad: bytes) -> Compressors:
+    """This process's compressors of two dictionaries."""
+    if (good, bad) not in _ready:
+        _ready.clear()
+        _ready[good, bad] = Compressors(good, bad)
+    return _ready[good, bad]
+
+
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` (default: all) and ``score`` (double, 0 to 1: how likely label 1 is) of every whole text.
 
@@ -149,13 +168,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if (m.good, m.bad) not in _ready:
-            _ready.clear()
-            _ready[m.good, m.bad] = Compressors(m.good, m.bad)
-        compressors = _ready[m.good, m.bad]
         for batch in batches:
             for part, texts in common.text_slices(batch, "__text"):
-                scores = logistic(expand(compressors.features(texts), m.centre, m.scale) @ m.weights)
+                scores = logistic(expand(compressors(m.good, m.bad).features(texts), m.centre, m.scale) @ m.weights)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(scores)], names=[*carried, "score"])
 
     return rows.mapInArrow(run, docs.select(*carried).schema.add("score", "double"))

@@ -1,8 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are which hashed single words, words cut to their first letters, word pairs and pairs with
-one or two words between occur in it. FTRL-proximal learns a weight per coordinate with its own learning rate; its L1 term leaves most weights
-at exactly zero, so the model is a short list of (coordinate, weight) and is broadcast.
+one or two words between occur in it. FTRL-proximal learns a weight per coordinate with its own learning rate; its
+L1 term leaves most weights at exactly zero, so the model is a short list of (coordinate, weight) and is broadcast.
 """
 
 from __future__ import annotations
@@ -11,18 +11,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .labelled import held_out, in_order, labelled_sample
+from .labelled import held_out, labelled_sample
 
 BITS = 22
-#: Labelled documents of each class to learn from, and the most characters of them, whatever the input's size.
-PER_CLASS, MOST_CHARS = 4_000, 32_000_000
+#: Labelled documents of each class to learn from, whatever the input's size.
+PER_CLASS = 4_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.5, 5
 #: The rarer class counts more, by this power of the classes' ratio.
 BALANCE = 0.75
@@ -73,51 +72,72 @@ def features(texts: list[str], hashes: Hashes) -> Iterator[tuple[np.ndarray, np.
             yield row[:-d][same], ((h[:-d] * np.uint64(m) + h[d:]) * np.uint64(PAIRS[1]) >> shift).astype(np.int64)[same]
 
 
-def fit_sample(rows: pd.DataFrame, seed: int = 7) -> Model:
-    """FTRL-proximal over the rows (text, label, weight), EPOCHS times in a fixed shuffled order."""
-    texts = rows["text"].fillna("")
-    inside = texts.str.len().cumsum() <= MOST_CHARS
-    texts, label, weight = texts[inside].tolist(), rows["label"][inside].to_numpy(np.float64), rows["weight"][inside].to_numpy(np.float64)
-    mass = [weight[label == k].sum() for k in (0, 1)]
-    if min(mass) > 0:
-        weight = np.where(label == np.argmin(mass), weight * (max(mass) / min(mass)) ** BALANCE, weight)
-    weight = weight / weight.mean() if len(weight) else weight
-    hashes = Hashes()
-    docs = [np.append(np.unique(np.concatenate([c for _, c in features([x], hashes)])), 1 << BITS) for x in texts]
+def coordinates(text: str, hashes: Hashes) -> np.ndarray:
+    """A text's distinct coordinates in ascending order, and the intercept's."""
+    return np.append(np.unique(np.concatenate([c for _, c in features([text], hashes)])), 1 << BITS)
+
+
+def balance(mass: dict[int, float]) -> dict[int, float]:
+    """How much a row of each class counts, beside its own weight; ``mass`` is the classes' total weight."""
+    if len(mass) < 2 or min(mass.values()) <= 0:
+        return dict.fromkeys((0, 1), 1.0)
+    rare = min(mass, key=mass.get)
+    return {k: (max(mass.values()) / mass[k]) ** BALANCE if k == rare else 1.0 for k in mass}
+
+
+def learn(examples: Iterator[tuple[np.ndarray, int, float]]) -> Model:
+    """FTRL-proximal over a stream of (coordinates, label, weight); nothing but the two numbers of a coordinate is kept."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i: np.ndarray) -> np.ndarray:
         shrink = np.where(i == 1 << BITS, 0.0, L1)
         return np.where(np.abs(z[i]) <= shrink, 0.0, -(z[i] - np.sign(z[i]) * shrink) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    order = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        for k in order.permutation(len(docs)):
-            i = docs[k]
-            w = weights(i)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = weight[k] * (p - label[k])
-            rate = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
-            z[i] += g - rate * w
-            n[i] += g * g
+    for i, label, weight in examples:
+        w = weights(i)
+        p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
+        g = weight * (p - label)
+        rate = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
+        z[i] += g - rate * w
+        n[i] += g * g
     at = np.flatnonzero(n)
     w = weights(at)
     return Model(at[w != 0], w[w != 0].astype(np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Learn from a bounded sample of the labelled documents (see ``labelled_sample``), in one task. No labels: an
-    empty model, which scores 0.5."""
+    """Learn from a bounded number of the labelled documents (see ``labelled_sample``), whole texts of any length.
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not (found := [b for b in batches if len(b)]):
-            return
-        m = fit_sample(in_order(pd.concat(found, ignore_index=True)))
-        yield pd.DataFrame({"at": [m.at], "weight": [m.weight]})
+    Tasks turn texts into coordinates; one task then streams these, EPOCHS times in an order of its own each time.
+    No labels: an empty model, which scores 0.5.
+    """
 
-    found = labelled_sample(docs, labels, label, per_class).repartition(1).mapInPandas(learn, "at array<long>, weight array<float>").collect()
-    if not found:
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in common.text_slices(batch, "text"):
+                at = pa.array([coordinates(x, _hashes) for x in texts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "weight")), at], names=["doc_id", "label", "weight", "at"])
+
+    sample = labelled_sample(docs, labels, label, per_class)
+    rows = common.cut(sample.mapInArrow(prepare, f"doc_id {common.sql_type(sample, 'doc_id')}, label int, weight double, at array<int>"), "examples")
+    mass = {r[0]: (r[1], r[2]) for r in rows.groupBy("label").agg(F.sum("weight"), F.count("*")).collect()}  # two rows at most
+    if not mass:
         return Model(np.empty(0, np.int64), np.empty(0, np.float32))
+    more = balance({k: m for k, (m, _) in mass.items()})
+    mean = sum(m * more[k] for k, (m, _) in mass.items()) / sum(c for _, c in mass.values())
+    turns = rows.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS))))).repartition(1)
+    turns = turns.sortWithinPartitions("epoch", F.xxhash64("epoch", "doc_id"), "doc_id", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def examples() -> Iterator[tuple[np.ndarray, int, float]]:
+            for batch in batches:
+                for at, y, w in zip(batch.column("at"), batch.column("label").to_pylist(), batch.column("weight").to_pylist()):
+                    yield at.values.to_numpy(), y, w * more[y] / mean
+
+        m = learn(examples())
+        yield pa.RecordBatch.from_arrays([pa.array([m.at], pa.list_(pa.int64())), pa.array([m.weight], pa.list_(pa.float32()))], names=["at", "weight"])
+
+    found = turns.select("label", "weight", "at").mapInArrow(run, "at array<long>, weight array<float>").collect()
     return Model(np.array(found[0]["at"], np.int64), np.array(found[0]["weight"], np.float32))
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -6,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
+import zstandard
 
 from cadenza.llm import labelled, quality_classifier, quality_rules, toxicity
 
@@ -112,20 +115,97 @@ def test_classifiers_on_odd_rows(spark, module):
 
 
 def test_sample_is_bounded_and_split(spark):
-    docs = spark.range(3000).selectExpr("id as doc_id", "'x' as text")
+    docs = spark.range(3000).selectExpr("id as doc_id", "'x' as text").union(spark.range(5000).selectExpr("id % 7 as doc_id", "'y' as text"))
     labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as quality")
-    rows = labelled.labelled_sample(docs, labels, "quality", 100).collect()
-    assert Counter(r["label"] for r in rows) == {0: 100, 1: 100}
+    rows = labelled.labelled_sample(docs, labels.union(labels), "quality", 100).collect()
+    assert Counter((r["label"], r["turn"]) for r in rows) == {(k, t): 50 for k in (0, 1) for t in (0, 1)}
+    assert len({r["doc_id"] for r in rows}) == 200
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
 
 
-def test_ftrl_finds_what_matters():
-    rng = np.random.default_rng(2)
+def ftrl(examples, bits):
+    """The published per-coordinate update, a coordinate at a time."""
+    z, n, alpha, beta, l2 = {}, {}, toxicity.ALPHA, toxicity.BETA, toxicity.L2
+
+    def weight(i):
+        l1 = 0.0 if i == 1 << bits else toxicity.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for coordinates, label, importance in examples:
+        w = {i: weight(i) for i in coordinates}
+        p = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values())))))
+        for i in coordinates:
+            g = importance * (p - label)
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def toxic_examples():
+    rng, hashes = np.random.default_rng(2), toxicity.Hashes()
     texts = [" ".join([f"w{x}" for x in rng.integers(0, 300, 40)] + (["awful"] if k % 2 else [])) for k in range(400)]
-    rows = pd.DataFrame({"text": texts, "label": [k % 2 for k in range(400)], "weight": 1.0})
-    model = toxicity.fit_sample(rows)
+    return [(toxicity.coordinates(t, hashes), k % 2, 1.0 + k % 3) for k, t in enumerate(texts)]
+
+
+def test_ftrl_finds_what_matters():
+    model = toxicity.learn(iter(toxic_examples() * 5))
     assert 0 < len(model.at) < 5_000  # sparse
     table = np.zeros((1 << toxicity.BITS) + 1, dtype=np.float32)
     table[model.at] = model.weight
     bad, good = toxicity.score_texts(["some awful text w1", "some text w1"], table, toxicity.Hashes())
     assert bad > 0.5 > good
+
+
+def test_ftrl_against_single_steps():
+    examples = toxic_examples() * 2
+    want = ftrl([(c.tolist(), y, w) for c, y, w in examples], toxicity.BITS)
+    model = toxicity.learn(iter(examples))
+    assert model.at.tolist() == sorted(want)
+    assert np.allclose(model.weight, [want[i] for i in sorted(want)], rtol=1e-4)
+
+
+def test_toxicity_of_a_text_against_its_words():
+    """Features counted word by word: a score is the logistic of the weights of the distinct features."""
+    mask = (1 << 64) - 1
+    text = "You awful, AWFUL people; go (away) now awful"
+    words = [w.lower().strip(toxicity.EDGES) or w for w in text.split()]
+    h = [xxhash.xxh64_intdigest(w) for w in words]
+    found = {x >> 64 - toxicity.BITS for x in h} | {xxhash.xxh64_intdigest(w[: toxicity.STEM], 1) >> 64 - toxicity.BITS for w in words}
+    for d, m in toxicity.PAIRS.items():
+        found |= {((a * m + b) * toxicity.PAIRS[1] & mask) >> 64 - toxicity.BITS for a, b in zip(h, h[d:])}
+    assert toxicity.coordinates(text, toxicity.Hashes()).tolist() == [*sorted(found), 1 << toxicity.BITS]
+    table = np.random.default_rng(3).normal(size=(1 << toxicity.BITS) + 1).astype(np.float32)
+    want = 1 / (1 + math.exp(-sum(float(table[i]) for i in [*found, 1 << toxicity.BITS])))
+    assert abs(toxicity.score_texts(["x", text, ""], table, toxicity.Hashes())[1] - want) < 1e-6
+
+
+def test_quality_score_against_sizes(spark):
+    """Sizes from compressors of the test's own, and the regression's formula written out."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels)
+    rows = quality_classifier.score(docs, model, keep=["doc_id", "text"]).limit(200).collect()
+    for r in rows:
+        data = (r["text"] or "").encode()
+        sizes = [len(zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False, write_checksum=False).compress(data)) for x in (model.good, model.bad)]
+        n = len(data) + 16
+        own = [(sizes[1] - sizes[0]) / n, math.log((min(sizes) + 8) / n), math.log(n)]
+        x = [max(-4.0, min(4.0, (a - c) / s)) for a, c, s in zip(own, model.centre, model.scale)]
+        total = sum(w * a for w, a in zip(model.weights, [1, *x, *(a * a for a in x), x[0] * x[1], x[0] * x[2], x[1] * x[2]]))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_long_and_repeated_texts_take_nothing_from_the_fit(spark):
+    """A text of 40 million characters and an id of very many rows leave the other labelled texts in the sample."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["fine", "calm", "good", "tea"] if i % 2 else ["vile", "hate", "scum", "rot"], k=30))) for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    long = spark.range(1).selectExpr("1000L as doc_id", "repeat('calm tea ', 4500000) as text")
+    many = spark.range(20_000).selectExpr("3L as doc_id", "'fine good calm tea fine good' as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "cast(1 - doc_id % 2 as int) as toxic").union(spark.sql("select 1000L, 1, 0"))
+    test = spark.createDataFrame([(1, "hate rot vile scum hate"), (2, "calm good tea fine calm")], "doc_id long, text string")
+    for module, way in ((toxicity, 1), (quality_classifier, -1)):
+        score = {r["doc_id"]: r["score"] for r in module.score(test, module.fit(docs.union(long).union(many), labels)).collect()}
+        assert (score[1] - 0.5) * way > 0 > (score[2] - 0.5) * way
