@@ -8,6 +8,7 @@ n-grams that recur within their own text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +22,8 @@ from . import common
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
+WORD = re.compile("[^ \t-\r]+")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BASE_N, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Odd multipliers modulo 2**64: one for the rolling hash, one that spreads document numbers.
 ROLL, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -43,13 +46,19 @@ class Limits:
     line_min_words: int = 20
 
 
-def dense_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+def words_of(text: str) -> list[str]:
+    """Runs of characters other than the six of BLANK."""
+    # split() cuts at other white space too
+    return WORD.findall(text) if OTHER_SPACE.search(text) else text.split()
+
+
+def dense_codes(words: list[str], known: dict[str, int]) -> np.ndarray:
     """64-bit hashes of words, by way of those met before."""
     if len(known) > MOST_KNOWN:
         known.clear()
     for w in set(words):
         if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
+            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -73,16 +82,15 @@ def ngram_groups(rolled: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarra
     return starts, fresh
 
 
-def measure(texts: list[str], limits: Limits, known: dict[bytes, int]) -> dict[str, np.ndarray]:
+def measure(texts: list[str], limits: Limits, known: dict[str, int]) -> dict[str, np.ndarray]:
     """The figures of every text (see ``measure_documents``)."""
     rows = len(texts)
-    words: list[bytes] = []
+    words: list[str] = []
     counts = np.zeros(rows, dtype=np.int64)
     out = {k: np.zeros(rows, dtype=np.int64) for k in ("word_chars", "n_symbols", "n_dup_lines")}
     line_chars = np.zeros(rows)
     for i, text in enumerate(texts):
-        data = text.encode("utf-8", "surrogatepass")
-        own = data.split()  # at exactly the six characters of BLANK
+        own = words_of(text)
         words += own
         counts[i] = len(own)
         out["word_chars"][i] = len(text) - sum(map(text.count, BLANK))
@@ -99,7 +107,7 @@ def measure(texts: list[str], limits: Limits, known: dict[bytes, int]) -> dict[s
     doc = np.repeat(np.arange(rows), counts)
     size = len(words)
     length = np.fromiter(map(len, words), np.int64, size)
-    chars = np.maximum(np.bincount(doc, weights=length, minlength=rows), 1.0)  # bytes, as lengths of words are
+    chars = np.maximum(out["word_chars"], 1.0)
     codes = dense_codes(words, known)
     out["n_repeat_words"] = np.zeros(rows, dtype=np.int64)
     excess = np.zeros(rows)
@@ -138,7 +146,7 @@ def measure(texts: list[str], limits: Limits, known: dict[bytes, int]) -> dict[s
 
 
 FIGURES = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "repetition": "double", "symbols": "double"}
-_known: dict[bytes, int] = {}
+_known: dict[str, int] = {}
 
 
 def measure_documents(docs: DataFrame, limits: Limits | None = None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -31,26 +31,57 @@ def base_figures(text):
     return n, sum(map(len, words)), sum(text.count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), repeated, n < 20 or 100 * repeated > 30 * n
 
 
-def duplicate_share(text, n):
-    """Bytes of words inside n-grams found before, of all bytes of words."""
+def excesses(text, limits):
+    """The largest share over its limit of repeated n-grams and lines, and of symbols; characters are code points."""
+    text = text or ""
     words = WORD.findall(text)
-    seen, inside = set(), [False] * len(words)
-    for i in range(len(words) - n + 1):
-        gram = tuple(words[i : i + n])
-        if gram in seen:
-            inside[i : i + n] = [True] * n
-        seen.add(gram)
-    return sum(len(w.encode()) for w, x in zip(words, inside) if x) / max(1, sum(len(w.encode()) for w in words))
-
-
-def test_rules_against_counting():
+    chars = max(1, sum(map(len, words)))
+    worst = 0.0
+    for n, limit in limits.duplicate_ngrams.items():
+        seen, inside = set(), [False] * len(words)
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i : i + n])
+            if gram in seen:
+                inside[i : i + n] = [True] * n
+            seen.add(gram)
+        worst = max(worst, sum(len(w) for w, x in zip(words, inside) if x) / chars / limit)
+    for n, limit in limits.top_ngrams.items():
+        grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        if len(words) >= limits.line_min_words:
+            worst = max([worst, *(k * sum(map(len, g)) / chars / limit for g, k in grams.items() if k > 1)])
+    seen, repeated = set(), 0
+    for line in text.split("\n"):
+        own = WORD.findall(line)
+        if own and line in seen:
+            repeated += sum(map(len, own))
+        seen.add(line)
+    symbols = sum(text.count(s) for s in "#*$%&|<>") / max(1, len(words)) / limits.symbols_per_word
+    return max(worst, repeated / chars / limits.duplicate_lines), symbols
+
+
+def test_rules_against_counting(spark):
     rng = random.Random(1)
-    texts = ["".join(rng.choices(["a", "b", " ", "\n", "\t", "é#", "\x1c", "\xa0", "\x85", "|"], k=rng.randint(0, 300))) for _ in range(400)] + [t or "" for _, t in TEXTS]
-    limits = quality_rules.Limits(duplicate_ngrams={3: 0.5}, top_ngrams={}, duplicate_lines=1e9)
-    found = quality_rules.measure(texts, limits, {})
-    for i, text in enumerate(texts):
-        assert base_figures(text) == tuple(found[k][i] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
-        assert abs(found["repetition"][i] - duplicate_share(text, 3) / 0.5) < 1e-6
+    texts = ["".join(rng.choices(["a", "b", " ", "\n", "\t", "é#", "\x1c", "\xa0", "\x85", "|", "Ж"], k=rng.randint(0, 300))) for _ in range(400)] + [t or "" for _, t in TEXTS]
+    texts += [" ".join(rng.choices([chr(0x430 + i) * rng.randint(1, 9) for i in range(rng.randint(5, 60))], k=rng.randint(15, 90))) for _ in range(400)]
+    texts += [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    kept = 0
+    for limits in (quality_rules.Limits(), quality_rules.Limits(duplicate_ngrams={3: 0.5}, top_ngrams={})):
+        found = quality_rules.measure(texts, limits, {})
+        for i, text in enumerate(texts):
+            base, (repetition, symbols) = base_figures(text), excesses(text, limits)
+            assert base == tuple(found[k][i] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+            assert abs(found["repetition"][i] - repetition) < 1e-9 and abs(found["symbols"][i] - symbols) < 1e-9
+            assert found["kept"][i] == (not base[-1] and found["repetition"][i] <= 1 and found["symbols"][i] <= 1)
+        kept += sum(found["kept"])
+    assert 0 < kept < 2 * len(texts)
+
+
+def test_shares_are_of_characters():
+    """A repeated run in a script of two bytes a letter weighs what its letters do: 0.14 of this text (0.22 of its bytes), under the limit of 0.2."""
+    rng = random.Random(7)
+    run = " ".join("".join(rng.choices("абвгдежз", k=6)) for _ in range(12))
+    rest = " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(60))
+    assert quality_rules.measure([f"{run} {rest} {run}"], quality_rules.Limits(), {})["kept"][0]
 
 
 def test_rules_on_odd_rows(spark):
