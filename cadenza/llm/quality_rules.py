@@ -27,7 +27,7 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 BASE_N, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Odd multipliers modulo 2**64: one for the rolling hash, one that spreads document numbers.
 ROLL, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-MOST_KNOWN = 400_000
+MOST_KNOWN, MARK_BITS = 400_000, 22
 
 
 @dataclass(frozen=True)
@@ -71,10 +71,21 @@ def covered(first: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 def ngram_groups(rolled: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of n-grams within one text, sorted so that equal ones are together in ascending order, and which
-    of them begins a group."""
+    """Starts of the n-grams that recur within their own text, sorted so that equal ones are together in ascending
+    order, and which of them begins a group."""
     starts = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.empty(0, np.int64)
     key = (rolled[starts] ^ (rolled[starts] >> np.uint64(31))) * ROLL + (doc[starts].astype(np.uint64) + np.uint64(1)) * SPREAD
+    ordered = np.sort(key)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return starts[:0], np.empty(0, dtype=bool)
+    marked = np.zeros(1 << MARK_BITS, dtype=bool)  # most others are told by their first bits
+    shift = np.uint64(64 - MARK_BITS)
+    marked[twice >> shift] = True
+    maybe = marked[key >> shift]
+    starts, key = starts[maybe], key[maybe]
+    again = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
+    starts, key = starts[again], key[again]
     by = np.argsort(key, kind="stable")
     starts, key = starts[by], key[by]
     fresh = np.ones(len(starts), dtype=bool)
