@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,9 @@ from . import common
 
 #: Elements without content, and elements whose content is never shown (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title iframe object svg math canvas audio video datalist frameset noframes rp applet".split())
+UNSEEN = frozenset("head script style template noscript title iframe object canvas audio video datalist frameset noframes rp applet".split())
+#: Inside pictures and formulas: what is never shown (fixed values).
+UNSEEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 #: Elements that are blocks, those of them that stand off by an empty line, and those that end an open paragraph.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu pre table blockquote figure hr listing".split())
 BLOCKS = APART | frozenset("html body div section article header footer nav main aside address li dt dd form fieldset legend figcaption details summary center dir hgroup search option optgroup caption textarea".split())
@@ -47,11 +51,18 @@ IN_HEAD = frozenset("head title meta link base basefont bgsound script style nos
 #: An end tag doesn't reach an element outside these.
 WALLS = frozenset("td th table caption".split())
 SPACE = re.compile("[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-SIMPLE_SELECTOR = re.compile(r"^([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
-#: Cells are padded up to so many characters; longer ones push the rest of their line only.
-MOST_PADDING, MOST_SPAN = 80, 1000
+#: Values of the property display (fixed values); others are no declarations.
+DISPLAYS = frozenset(
+    "none block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group table-header-group"
+    " table-footer-group table-column table-column-group table-caption list-item contents flow-root run-in ruby initial inherit unset revert".split()
+)
+COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)((?:\[[\w-]+(?:=(?:\"[^\"\s]*\"|'[^'\s]*'|[\w-]+))?\])*)")
+BRACES = re.compile("[{}]")
+PART, ATTRIBUTE = re.compile(r"[.#][\w-]+"), re.compile(r"\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]")
+#: A column is as wide as its widest cell, unless the table would take over so many times the room of the column's
+#: text (and of as many characters a row): then as the widest cell that keeps to that; longer ones push the rest of
+#: their line only. The same goes for empty fields.
+BLOWUP, MOST_SPAN = 64, 1000
 
 
 class Node:
@@ -115,7 +126,10 @@ class TreeBuilder(HTMLParser):
         self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash at the end of a start tag means nothing in HTML
+        depth = len(self.open)
+        self.handle_starttag(tag, attrs)  # a slash at the end of a start tag means nothing, but in pictures and formulas
+        if (self.count["svg"] or self.count["math"]) and len(self.open) > depth:
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -156,25 +170,163 @@ def on_screen(media: str | None) -> bool:
     return False
 
 
-def hidden_selectors(styles: list[str]) -> list[tuple[str, frozenset[str], str]]:
-    """(tag, classes, id) of the simple selectors that style sheets hide; rules inside at-rules don't count."""
-    found = []
-    text = re.sub(r"/\*.*?\*/", "", "\n".join(styles), flags=re.S)
-    text = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", "", text)
-    for selectors, body in RULE.findall(text):
-        if HIDES.search(body):
-            for s in selectors.split(","):
-                if s.strip() and (m := SIMPLE_SELECTOR.match(s.strip())):
-                    parts = re.findall(r"[.#][\w-]+", m[2])
-                    found.append(((m[1] or "").lower(), frozenset(p[1:] for p in parts if p[0] == "."), next((p[1:] for p in parts if p[0] == "#"), "")))
+def declarations(body: str) -> dict[str, tuple[str, bool]]:
+    """display and visibility as a block of declarations sets them: (value, whether it is important)."""
+    found: dict[str, tuple[str, bool]] = {}
+    for part in body.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        important = value.endswith("!important") or value.replace(" ", "").endswith("!important")
+        if important:
+            value = value.rpartition("!")[0].strip()
+        if value in (DISPLAYS if name == "display" else ("visible", "hidden", "collapse", "inherit", "initial", "unset", "revert") if name == "visibility" else ()):
+            if important or not found.get(name, ("", False))[1]:
+                found[name] = (value, important)
     return found
 
 
-def is_hidden(node: Node, rules: list[tuple[str, frozenset[str], str]]) -> bool:
-    a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (a and HIDES.search(a.get("style") or "")):
+def style_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a sheet without comments, in order. Of at-rules only those for screens without a
+    further condition are read."""
+    at, end = 0, len(css)
+    while at < end:
+        opens, stops = css.find("{", at), css.find(";", at)
+        if opens < 0:
+            return
+        prelude = css[at:opens].strip()
+        if prelude.startswith("@") and 0 <= stops < opens:  # a statement such as an import
+            at = stops + 1
+            continue
+        if not prelude.startswith("@"):
+            closes = css.find("}", opens)
+            closes = end if closes < 0 else closes
+            yield prelude, css[opens + 1 : closes]
+            at = closes + 1
+            continue
+        depth, closes = 1, opens + 1
+        for m in BRACES.finditer(css, opens + 1):
+            depth += 1 if m[0] == "{" else -1
+            closes = m.end()
+            if not depth:
+                break
+        else:
+            closes = end
+        if prelude[:6].lower() == "@media" and "(" not in prelude and on_screen(prelude[6:]):
+            yield from style_rules(css[opens + 1 : closes - (not depth)])
+        at = closes
+
+
+class Compound:
+    """A part of a selector: a tag, classes, an id and attributes that one element must have."""
+
+    __slots__ = ("attributes", "classes", "id", "tag")
+
+    def __init__(self, m: re.Match):
+        parts = PART.findall(m[2])
+        self.tag = "" if m[1] in (None, "*") else m[1].lower()
+        self.classes = frozenset(x[1:] for x in parts if x[0] == ".")
+        self.id = frozenset(x[1:] for x in parts if x[0] == "#")
+        self.attributes = [(k.lower(), v) for k, v in ATTRIBUTE.findall(m[3])]
+
+    def weight(self) -> tuple[int, int, int]:
+        return len(self.id), len(self.classes) + len(self.attributes), bool(self.tag)
+
+    def fits(self, node: Node) -> bool:
+        a = node.attrs
+        if (self.tag and self.tag != node.tag) or (self.id and self.id != {a.get("id")}) or (self.classes and not self.classes <= set((a.get("class") or "").split())):
+            return False
+        return all(k in a and (not v or v == a[k]) for k, v in self.attributes)
+
+
+def parse_selector(selector: str) -> list[tuple[Compound, str]] | None:
+    """Compounds from the right, each with what joins it to the one before (a space or >); none if it isn't of
+    tags, classes, ids and plain attributes."""
+    parts, joint = [], " "
+    for token in selector.replace(">", " > ").split():
+        if token == ">":
+            joint = ">"
+        elif (m := COMPOUND.fullmatch(token)) and token:
+            parts.append((Compound(m), joint))
+            joint = " "
+        else:
+            return None
+    return parts[::-1] or None
+
+
+def fits_path(parts: list[tuple[Compound, str]], k: int, path: list[Node], top: int) -> bool:
+    """Whether the element ``path[top]`` and its ancestors fit the selector's compounds from number k on."""
+    if not parts[k][0].fits(path[top]):
+        return False
+    if k + 1 == len(parts):
         return True
-    return any((not tag or tag == node.tag) and (not i or i == a.get("id")) and classes <= set((a.get("class") or "").split()) for tag, classes, i in rules)
+    if parts[k][1] == ">":
+        return top > 0 and fits_path(parts, k + 1, path, top - 1)
+    return any(fits_path(parts, k + 1, path, x) for x in range(top - 1, -1, -1))
+
+
+class Styles:
+    """What style sheets say of display and visibility, looked up by an element's id, classes and tag."""
+
+    def __init__(self, sheets: list[str]):
+        self.index: dict[str, list] = {}
+        self.plain: dict[tuple, dict[str, tuple]] = {}  # what rules without ancestors or attributes say, by look of the element
+        for order, (selectors, body) in enumerate(style_rules(re.sub(r"/\*.*?\*/", "", "\n".join(sheets), flags=re.S))):
+            said = declarations(body)
+            for selector in selectors.split(",") if said else []:
+                if parts := parse_selector(selector):
+                    last = parts[0][0]
+                    weight = tuple(map(sum, zip(*(c.weight() for c, _ in parts))))
+                    key = "#" + min(last.id) if last.id else "." + min(last.classes) if last.classes else last.tag
+                    alone = len(parts) == 1 and not last.attributes
+                    self.index.setdefault(key, []).append((parts, alone, {k: ((important, 0, weight, order), value) for k, (value, important) in said.items()}))
+
+    def _found(self, node: Node) -> tuple[list, list]:
+        a = node.attrs
+        keys = {"", node.tag, f"#{a.get('id')}", *(f".{c}" for c in (a.get("class") or "").split())}
+        found = [r for k in keys for r in self.index.get(k, ())]
+        return [r for r in found if r[1]], [r for r in found if not r[1]]
+
+    def of(self, path: list[Node]) -> dict[str, str]:
+        """What is set for the last element of a path from the root."""
+        node = path[-1]
+        a = node.attrs
+        best: dict[str, tuple] = {}
+
+        def say(said: dict[str, tuple]) -> None:
+            for k, x in said.items():
+                if k not in best or x > best[k]:
+                    best[k] = x
+
+        if self.index:
+            look = (node.tag, a.get("id"), a.get("class"))
+            if look not in self.plain:
+                alone, others = self._found(node)
+                for parts, _, said in alone:
+                    if parts[0][0].fits(node):
+                        say(said)
+                self.plain[look] = (dict(best), others)
+            known, others = self.plain[look]
+            best = dict(known)
+            for parts, _, said in others:
+                if any(k not in best or x > best[k] for k, x in said.items()) and fits_path(parts, 0, path, len(path) - 1):
+                    say(said)
+        if a and (style := a.get("style")):
+            say({k: ((important, 1, (), 0), value) for k, (value, important) in declarations(style).items()})
+        return {k: value for k, (_, value) in best.items()}
+
+
+def appearance(path: list[Node], styles: Styles, visible: bool, foreign: int) -> tuple[bool, bool]:
+    """Whether the last element of a path is laid out, and whether its own text is visible."""
+    node = path[-1]
+    a = node.attrs
+    if node.tag in UNSEEN or (foreign and node.tag in UNSEEN_FOREIGN):
+        return False, False
+    said = styles.of(path) if styles.index or "style" in a else {}
+    display = said.get("display", "initial")
+    if display == "none" or (display in ("initial", "revert") and "display" not in said or display == "revert") and ("hidden" in a or (node.tag == "dialog" and "open" not in a)):
+        return False, False
+    value = said.get("visibility", "inherit")
+    return True, visible if value in ("inherit", "unset", "revert") else value in ("visible", "initial")
 
 
 class Flow:
@@ -244,42 +396,65 @@ def shown_width(text: str) -> int:
 
 def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Rows of (lines, columns spanned, rows spanned) in columns."""
-    grid: list[dict[int, tuple[list[str], int]]] = []
-    taken: dict[int, int] = {}  # column: rows that it is still taken for
-    for row in rows:
-        at, placed = 0, {}
+    grid: list[list[tuple[int, int, list[str]]]] = []  # per row: first column, the one after the last, lines
+    taken: list[list[int]] = []  # [first column, the one after the last, row after the last], by first column
+    for r, row in enumerate(rows):
+        taken = [x for x in taken if x[2] > r]
+        at, k, placed, more = 0, 0, [], []
         for lines, columns, below in row:
-            while taken.get(at, 0):
-                at += 1
-            placed[at] = (lines, columns)
-            for c in range(at, at + columns):
-                taken[c] = max(taken.get(c, 0), below)
+            while k < len(taken) and taken[k][0] <= at:
+                at, k = max(at, taken[k][1]), k + 1
+            placed.append((at, at + columns, lines))
+            until = min(r + below, len(rows))
+            if until > r + 1:
+                more.append([at, at + columns, until])
             at += columns
-        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        if more:
+            merged: list[list[int]] = []
+            for x in sorted(taken + more):
+                if merged and merged[-1][1] >= x[0] and merged[-1][2] == x[2]:
+                    merged[-1][1] = max(merged[-1][1], x[1])
+                else:
+                    merged.append(x)
+            taken = merged
         grid.append(placed)
-    width: dict[int, int] = {}
-    for placed in grid:
-        for c, (lines, columns) in placed.items():
-            if columns == 1:
-                width[c] = max(width.get(c, 0), *(min(MOST_PADDING, shown_width(x)) for x in lines), 0)
+    # columns in which no cell begins have no room of their own
+    starts = sorted({a for placed in grid for a, _, _ in placed})
+    number = {a: i for i, a in enumerate(starts)}
+    cells = [[(number[a], bisect_left(starts, b), lines) for a, b, lines in placed] for placed in grid]
+    width = column_widths(cells, len(starts))
+    room = [0, *accumulate(width)]
+    sparse = len(starts) * len(rows) > BLOWUP * (sum(map(len, cells)) + len(rows))
     out = []
-    for placed in grid:
-        filled = [c for c, (lines, _) in placed.items() if any(lines)]
+    for placed in cells:
+        filled = [a for a, _, lines in placed if any(lines)]
         if not filled:
             continue
         last = max(filled)
-        for k in range(max(len(lines) for lines, _ in placed.values())):
-            cells, c = [], 0
-            while c <= last:
-                lines, columns = placed.get(c, ([], 1))
+        for k in range(max(len(lines) for _, _, lines in placed)):
+            line, c = [], 0
+            for a, b, lines in placed:
+                if a > last:
+                    break
+                if a > c and not sparse:
+                    line += [" " * width[x] for x in range(c, a)]
                 text = lines[k] if k < len(lines) else ""
-                room = sum(width.get(x, 0) for x in range(c, min(c + columns, last + 1))) + 3 * (columns - 1)
-                cells.append(text + " " * (min(room, MOST_PADDING) - shown_width(text)))
-                c += columns
-            out.append(" | ".join(cells).rstrip())
+                line.append(text + " " * (room[min(b, last + 1)] - room[a] + 3 * (min(b, last + 1) - a - 1) - shown_width(text)))
+                c = b
+            out.append(" | ".join(line).rstrip())
     return out
 
 
+def column_widths(cells: list[list[tuple[int, int, list[str]]]], columns: int) -> list[int]:
+    """Each column's width, from the cells that span it alone (see BLOWUP)."""
+    found: list[list[int]] = [[] for _ in range(columns)]
+    for placed in cells:
+        for a, b, lines in placed:
+            if b == a + 1:
+                found[a].append(max(map(shown_width, lines), default=0))
+    return [next((w for w in sorted(own, reverse=True) if w * len(cells) <= BLOWUP * (sum(own) + len(cells))), 0) for own in found]
+
+
 def number_of(text: str | None, none: int, most: int) -> int:
     try:
         return min(int((text or "").strip()), most)
@@ -289,23 +464,29 @@ def number_of(text: str | None, none: int, most: int) -> int:
 
 def render(root: Node, styles: list[str]) -> str:
     """The visible text of a tree."""
-    rules = hidden_selectors(styles)
+    sheet = Styles(styles)
     flow, flows = Flow(), []
     tables: list[list] = []  # open tables: their rows
     lists: list[list] = []  # open lists: is it ordered, the next number, the indent outside
     kept = 0  # open elements whose white space stays
-    todo: list[tuple[Node | str, bool]] = [(root, True)]
+    todo: list[tuple[Node | str, bool, bool]] = [(root, True, True)]  # with whether text is visible
+    path: list[Node] = []  # the open elements
+    foreign = 0  # those of them that are pictures or formulas
     inner_indents: list[str] = []
     while todo:
-        node, enters = todo.pop()
+        node, enters, visible = todo.pop()
         if isinstance(node, str):
-            if tables and flow is tables[-1][1] and not node.strip():
+            if not visible or (tables and flow is tables[-1][1] and not node.strip()):
                 continue
             flow.text(node, kept > 0)
             continue
         tag = node.tag
         if enters:
-            if is_hidden(node, rules):
+            path.append(node)
+            laid_out, visible = appearance(path, sheet, visible, foreign)
+            if not laid_out or tag in VOID:
+                path.pop()
+            if not laid_out:
                 continue
             if tag == "br":
                 flow.end_line(True)
@@ -315,11 +496,14 @@ def render(root: Node, styles: list[str]) -> str:
                 continue
             if tag in VOID:
                 continue
-            todo.append((node, False))
+            todo.append((node, False, visible))
+            foreign += tag in ("svg", "math")
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
-            todo.extend((c, True) for c in reversed(children))
+            todo.extend((c, True, visible) for c in reversed(children))
+            if foreign and tag == "text":
+                flow.block(1)
             if tag in ("td", "th") and tables:
                 flows.append(flow)
                 flow = Flow()
@@ -339,6 +523,8 @@ def render(root: Node, styles: list[str]) -> str:
                     depth[1] += 1
                 else:
                     flow.marker = "- "
+                if not visible:
+                    flow.marker = ""
             elif tag in ("dd", "blockquote"):
                 inner_indents.append(flow.indent)
                 flow.indent += "  "
@@ -348,6 +534,10 @@ def render(root: Node, styles: list[str]) -> str:
                 tables[-1][0].append([])
             continue
         # the element ends
+        path.pop()
+        foreign -= tag in ("svg", "math")
+        if foreign and tag == "text":
+            flow.block(1)
         if tag in ("td", "th") and tables:
             lines, flow = flow.done(), flows.pop()
             rows = tables[-1][0]

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -54,6 +55,44 @@ def test_all_visible_text_after_an_open_head_or_a_sheet_for_print(source, want):
     assert visible_text(source) == want
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<style>p{display:none} p{display:block}</style><p>a", "a"),
+        ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"),
+        ("<style>.x{display:none !important}</style><p class=x style='display:block'>a</p>b", "b"),
+        ("<p style='display:none;display:block'>a", "a"),
+        ("<p style='display:none;display:nonsense'>a</p>b", "b"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>", "b"),
+        ("<div style='display:none'>a<b style='display:block;visibility:visible'>b</b></div>c", "c"),
+        ("<style>#m .x > b{display:none}</style><div id=m><p class=x><b>a</b><i><b>c</b></i></p></div><p class=x><b>d</b>", "c\n\nd"),
+        ("<style>p.x{display:none} p{display:block}</style><p class=x>a</p>b", "b"),
+        ("<style>[data-k=v]{display:none} a:hover{display:none}</style><i data-k=v>a</i><i data-k=w>b</i><a>c</a>", "bc"),
+        ("<style>@media screen{.s{display:none}} @media (max-width:9px){.t{display:none}} @import 'x'; .u{display:none}</style><i class=s>a</i><i class=t>b</i><i class=u>c</i>", "b"),
+        ("<style>.h{display:block}</style><p hidden class=h>a", "a"),
+        ("<p>x <svg><desc>no</desc><path d=1 /><text>one</text><text>two</text></svg> y <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>no</annotation></math>", "x\none\ntwo\ny a+b"),
+        ("<style>li.q{visibility:hidden}</style><ul><li>a<li class=q>b<li>c</ul>", "- a\n- c"),
+    ],
+)
+def test_cascade(source, want):
+    assert visible_text(source) == want
+
+
+def test_many_rules_and_wide_spans():
+    began = time.process_time()
+    rules = "".join(f".c{i}{{display:none}}" for i in range(3_000))
+    page = f"<style>{rules}</style>" + "".join(f"<b class=k{i % 50}>x</b>" for i in range(20_000))
+    assert visible_text(page) == "x" * 20_000
+    cells = "<tr>" + "<td colspan=1000 rowspan=65534>x" * 50
+    assert visible_text(f"<table>{cells * 1_000}</table>").count("x") == 50_000
+    assert time.process_time() - began < 6
+
+
+def test_long_cells_stay_in_columns():
+    long = "w" * 200
+    assert visible_text(f"<table><tr><td>{long}<td>a<tr><td>b<td>c</table>") == f"{long} | a\nb{' ' * 199} | c"
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     assert visible_text("<ul><li>" * 300 + "x").strip().endswith("x")
