@@ -8,6 +8,7 @@ QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_html_text": html_text.op2_html_text,
     "op3_warc": warc.op3_warc,
+    "warc_history": warc.warc_history,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,

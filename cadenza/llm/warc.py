@@ -18,8 +18,9 @@ import json
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -33,8 +34,11 @@ from . import common
 LEAST_REVISIT = 100
 #: An archive file is closed beyond so many bytes, a run after so many captures.
 ARCHIVE_BYTES, RUN_CAPTURES = 64_000_000, 100_000
-#: Runs merged at once; lines between entries of a run's sparse index; sampled keys; captures per merged range.
-FAN_IN, STRIDE, SAMPLE, RANGE_CAPTURES = 64, 128, 20_000, 50_000
+#: Runs merged at once; lines between entries of a run's sparse index; sampled keys at least.
+FAN_IN, STRIDE, SAMPLE = 64, 128, 20_000
+#: Captures that a task takes from one run at least, about, before a level has more ranges (1.5 MB or so), and those of
+#: a range of the result; tables of few captures have a range per core all the same.
+SLICE_CAPTURES, RANGE_CAPTURES, FEW_CAPTURES = 8_192, 500_000, 1_000
 READ_BYTES = 1 << 18
 BASE_DATE, DATE_SPAN = datetime(2024, 1, 1, tzinfo=timezone.utc), 315_360_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -139,11 +143,13 @@ def plan_records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFr
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     large = rows.filter(F.octet_length("html") >= least_revisit)
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
-    found = rows.join(first, "digest", "left")
+    # small payloads meet none; a key of their own deals them out evenly
+    key = F.when(F.octet_length("html") >= least_revisit, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    found = rows.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left").drop("key")
     return found.withColumn("is_revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``plan_records``' rows to archive files in ``folder``; returns the stored manifest (path, records, bytes)."""
     fs, at = common.filesystem(folder)
     fs.create_dir(at, recursive=True)
@@ -158,7 +164,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 out = out or SharedFile(f"{folder}/part-{part:06d}-{len(made):06d}.warc.gz")
                 out.write(data)
                 n += 1
-                if out.size >= ARCHIVE_BYTES:
+                if out.size >= archive_bytes:
                     out.close()
                     made.append((out.path, n, out.size))
                     out, n = None, 0
@@ -216,15 +222,21 @@ def parse_line(line: bytes) -> tuple:
     return key, time, page, kind, digest, size, refers, path, offset, length
 
 
-def write_run(lines: list[bytes], path: str) -> tuple[str, int, list[bytes], list[int], int]:
+RUN = "path string, captures long, keys array<binary>, offsets array<long>, bytes long"
+RUN_KINDS = [pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64()]
+
+
+def write_run(lines: Iterable[bytes], path: str) -> tuple[str, int, list[bytes], list[int], int]:
     """Write sorted lines; (path, lines, every STRIDEth line, its offset, bytes)."""
-    out, keys, offsets = SharedFile(path), [], []
-    for i in range(0, len(lines), STRIDE):
-        keys.append(lines[i])
+    out, keys, offsets, n = SharedFile(path), [], [], 0
+    lines = iter(lines)
+    while some := list(islice(lines, STRIDE)):
+        keys.append(some[0])
         offsets.append(out.size)
-        out.write(b"".join(lines[i : i + STRIDE]))
+        out.write(b"".join(some))
+        n += len(some)
     out.close()
-    return path, len(lines), keys, offsets, out.size
+    return path, n, keys, offsets, out.size
 
 
 def index_runs(manifest: DataFrame, folder: str, run_captures: int = RUN_CAPTURES) -> DataFrame:
@@ -252,9 +264,9 @@ def index_runs(manifest: DataFrame, folder: str, run_captures: int = RUN_CAPTURE
                             leave()
         if lines:
             leave()
-        yield table(made, ["path", "captures", "keys", "offsets", "bytes"], [pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64()])
+        yield table(made, ["path", "captures", "keys", "offsets", "bytes"], RUN_KINDS)
 
-    return common.cut(spread.mapInArrow(index, "path string, captures long, keys array<binary>, offsets array<long>, bytes long"), "runs")
+    return common.cut(spread.mapInArrow(index, RUN), "runs")
 
 
 def run_lines(path: str, start: int, end: int, low: bytes, high: bytes | None) -> Iterator[bytes]:
@@ -311,23 +323,14 @@ class LoserTree:
             self.winner = leaf
 
 
-def range_bounds(runs: DataFrame, range_captures: int = RANGE_CAPTURES) -> list[bytes]:
-    """Keys that cut the captures into ranges of about ``range_captures``, from a bounded sample of the runs' index keys."""
-    total = runs.agg(F.sum("captures")).first()[0] or 0
+def sampled_keys(runs: DataFrame, most: int) -> list[bytes]:
+    """Up to ``most`` of the runs' index keys, by hash, in order."""
     keys = runs.select(F.explode("keys").alias("key"))
-    sample = sorted(bytes(r["key"]) for r in keys.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect())
-    want = max(2, min(len(sample), -(-total // range_captures)))
-    return sorted({sample[i * len(sample) // want] for i in range(1, want)}) if sample else []
+    return sorted(bytes(r["key"]) for r in keys.orderBy(F.xxhash64("key"), "key").limit(most).collect())
 
 
-def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
-    """All captures of the runs (``index_runs``), in the order of their lines: partition after partition, and within
-    each. Columns: see CAPTURE."""
-    fs, at = common.filesystem(folder)
-    fs.create_dir(at, recursive=True)
-    spark = runs.sparkSession
-    bounds = range_bounds(runs)  # SAMPLE keys at most
-    n_runs = runs.count()
+def slices_of(runs: DataFrame, bounds: list[bytes], groups: int) -> DataFrame:
+    """A row per range and group of runs with the slices of its runs: range, grp, slices."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,38 +345,50 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
             yield table(rows, ["range", "path", "start", "end"], [pa.int64(), pa.string(), pa.int64(), pa.int64()])
 
     slices = runs.select("path", "keys", "offsets", "bytes").mapInArrow(cut_up, "range long, path string, start long, end long")
+    group = F.pmod(F.xxhash64("path"), F.lit(groups)) if groups > 1 else F.lit(0)
+    rows = slices.groupBy("range", group.cast("long").alias("grp")).agg(F.sort_array(F.collect_list(F.struct("path", "start", "end"))).alias("slices"))
+    return rows.repartitionByRange((len(bounds) + 1) * groups, "range", "grp").sortWithinPartitions("range", "grp")
+
 
-    def grouped(slices: DataFrame, groups: int) -> DataFrame:
-        """A row per range and group of runs, with its slices: about ``fan_in`` of them."""
-        group = F.pmod(F.xxhash64("path"), F.lit(groups)) if groups > 1 else F.lit(0)
-        rows = slices.groupBy("range", group.alias("grp")).agg(F.sort_array(F.collect_list(F.struct("path", "start", "end"))).alias("slices"))
-        return rows.repartitionByRange(max(1, len(bounds) + 1), "range", "grp").sortWithinPartitions("range", "grp")
+def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN, slice_captures: int = SLICE_CAPTURES) -> DataFrame:
+    """All captures of the runs (``index_runs``), in the order of their lines: partition after partition, and within
+    each. Columns: see CAPTURE.
 
-    def merged(row: dict) -> Iterator[bytes]:
+    If a key may meet more than ``fan_in`` runs, groups of half as many are merged into longer runs first. A level has
+    as many ranges as leave a task about ``slice_captures`` captures of each run, so slices stay large at any size.
+    """
+    fs, at = common.filesystem(folder)
+    fs.create_dir(at, recursive=True)
+    total, meet = runs.agg(F.coalesce(F.sum("captures"), F.lit(0)), F.count("*")).first()
+    last = max(2, -(-total // RANGE_CAPTURES), min(parallelism(runs.sparkSession), total // FEW_CAPTURES))
+    sample = sampled_keys(runs, max(SAMPLE, 10 * last))  # some keys for each range of the result
+
+    def bounds_for(want: int) -> list[bytes]:
+        want = min(want, len(sample))
+        return sorted({sample[i * len(sample) // want] for i in range(1, want)})
+
+    def merged(row: dict, bounds: list[bytes]) -> Iterator[bytes]:
         k = row["range"]
         low, high = bounds[k - 1] if k else b"", bounds[k] if k < len(bounds) else None
         return iter(LoserTree([run_lines(s["path"], s["start"], s["end"], low, high) for s in row["slices"]]))
 
-    def to_runs(level: int) -> Callable:
+    def to_runs(level: int, bounds: list[bytes]) -> Callable:
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                made = []
                 for row in batch.to_pylist():
-                    out = SharedFile(f"{folder}/level-{level}-{row['range']:06d}-{row['grp']:06d}")
-                    for line in merged(row):
-                        out.write(line)
-                    out.close()
-                    made.append((row["range"], out.path, 0, out.size))
-                yield table(made, ["range", "path", "start", "end"], [pa.int64(), pa.string(), pa.int64(), pa.int64()])
+                    made = write_run(merged(row, bounds), f"{folder}/level-{level}-{row['range']:06d}-{row['grp']:06d}")
+                    yield table([made] if made[1] else [], ["path", "captures", "keys", "offsets", "bytes"], RUN_KINDS)
 
         return write
 
     level = 0
-    while n_runs > fan_in:
-        n_runs = -(-2 * n_runs // fan_in)  # groups of half the fan-in on average, as hashing deals unevenly
-        slices = common.cut(grouped(slices, n_runs).mapInArrow(to_runs(level), "range long, path string, start long, end long"), "slices")
+    while meet > fan_in:
+        meet = -(-2 * meet // fan_in)  # groups of half the fan-in on average, as hashing deals unevenly
+        bounds = bounds_for(max(1, total // (meet * (fan_in // 2) * slice_captures)))
+        runs = common.cut(slices_of(runs, bounds, meet).mapInArrow(to_runs(level, bounds), RUN), "runs")
         level += 1
 
+    bounds = bounds_for(last)
     names = [x.split()[0] for x in CAPTURE.split(", ")]
     kinds = [pa.string() if x.endswith("string") else pa.int64() for x in CAPTURE.split(", ")]
 
@@ -381,14 +396,14 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 some = []
-                for line in merged(row):
+                for line in merged(row, bounds):
                     some.append(parse_line(line))
                     if len(some) >= 10_000:
                         yield table(some, names, kinds)
                         some = []
                 yield table(some, names, kinds)
 
-    return grouped(slices, 1).mapInArrow(to_captures, CAPTURE)
+    return slices_of(runs, bounds, 1).mapInArrow(to_captures, CAPTURE)
 
 
 def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
@@ -402,6 +417,11 @@ def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
     return merge_runs(index_runs(archives, f"{folder}/runs"), f"{folder}/merged")
 
 
+def warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture as the merged index has it: the history of each URL key in order of time."""
+    return archive_pages(common.table(spark, sf_dir, "pages"), common.work_dir(spark, "warc")).drop("filename")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, from the merged index of the archives that it was written to."""
     captures = archive_pages(common.table(spark, sf_dir, "pages"), common.work_dir(spark, "warc"))

@@ -41,12 +41,30 @@ def test_many_runs_are_merged_in_levels(spark, tmp_path):
     archives = warc.write_archives(warc.plan_records(df.repartition(6)), f"file://{tmp_path}/archives")
     runs = warc.index_runs(archives, f"file://{tmp_path}/runs", run_captures=9)
     assert runs.count() > 50
-    merged = warc.merge_runs(runs, f"file://{tmp_path}/merged", fan_in=8).collect()
+    merged = warc.merge_runs(runs, f"file://{tmp_path}/merged", fan_in=8, slice_captures=4).collect()
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in merged), key=str) == expected(rows)
     order = [(r["urlkey"].encode(), r["timestamp"]) for r in merged]
     assert order == sorted(order)
 
 
+def test_archives_roll_over_and_hold_long_pages(spark, tmp_path):
+    rows = [(1, "http://a.b/", "x" * 3_000_000, 1, "k"), (2, "http://a.b/", "x" * 3_000_000, 2, "k")] + [(i, f"http://a.b/{i}", f"{i} " * 300, 3, "k") for i in range(3, 60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, first int, key string").coalesce(1)
+    archives = warc.write_archives(warc.plan_records(df), f"file://{tmp_path}/archives", archive_bytes=2_000)
+    assert archives.count() > 3
+    got = warc.merge_runs(warc.index_runs(archives, f"file://{tmp_path}/runs"), f"file://{tmp_path}/merged").collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == sorted(expected([r[:4] for r in rows]))
+
+
+def test_history_query(spark):
+    sf = "/root/testdata/sf0.001"
+    got = warc.warc_history(spark, sf).collect()
+    keys = [(r["urlkey"].encode(), r["timestamp"]) for r in got]
+    assert keys == sorted(keys)
+    want = [(r["page_id"], warc.url_key(r["url"]), f"{warc.capture_time(r['page_id']):%Y%m%d%H%M%S}") for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    assert sorted((r["page_id"], r["urlkey"], r["timestamp"]) for r in got) == sorted(want)
+
+
 def test_records_hold_the_payloads(spark, tmp_path):
     rows, df = pages(spark)
     archives = warc.write_archives(warc.plan_records(df), f"file://{tmp_path}/archives")
