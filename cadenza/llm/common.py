@@ -17,27 +17,55 @@ SLICE_CHARS = 4_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that is unset (local tests) is a folder of this machine set instead.
+    Only where that is unset and all of Spark runs in one process is a folder of this machine set instead.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and a
-    lost executor costs no recomputation."""
+def remove(path: str) -> None:
+    """Delete a folder of ``work_dir`` with all in it, if it is there."""
+    fs, at = filesystem(path)
+    if fs.get_file_info(at).type != pafs.FileType.NotFound:
+        fs.delete_dir(at)
+    if path in _made:
+        _made.remove(path)
+
+
+def clean_up() -> None:
+    """Delete all that this driver's operators have left in the shared folder. Results that are still to be computed
+    read from there: call it when they are written."""
+    for path in [*_made]:
+        remove(path)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path."""
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and a
+    lost executor costs no recomputation."""
+    return stored(df, name)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

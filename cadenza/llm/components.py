@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     shuffle, and a skewed join can be split), and is written to the shared folder.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = common.cut(edges, "edges")
+    edges, path = common.stored(edges, "edges")
     before = None
     while True:
         sign = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
@@ -31,7 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.cut(large, "edges")
+        large, between = common.stored(large, "edges")
         least = _least(large)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.cut(small.union(least).distinct(), "edges")
+        edges, after = common.stored(small.union(least).distinct(), "edges")
+        for old in (path, between):  # the new edges are whole, and nothing reads these again
+            common.remove(old)
+        path = after

@@ -152,15 +152,16 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     """Documents as token pieces of at most ``capacity``: full windows and a remainder (in two if over half a window).
 
     Null text is empty; ``end_id`` follows each document's ids, so each has a piece at least. Returns doc_id,
-    start, length (long), ids_crc32 (long; of the ids as little-endian unsigned 32-bit), doc_tokens (long) and,
-    if asked for, ``ids`` (binary). Other input columns are left behind. A null id stays null.
+    start, length (long), ids_crc32 (long; of the ids as little-endian unsigned 32-bit), doc_tokens (long), place
+    (long: the document's number in its part of the input) and, if asked for, ``ids`` (binary). Other input columns
+    are left behind. A null id stays null.
     """
     end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {common.sql_type(rows, 'doc_id')}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    schema = f"doc_id {common.sql_type(rows, 'doc_id')}, start long, length long, ids_crc32 long, doc_tokens long, place long" + ", ids binary" * with_ids
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer, byte_level)
+        encode, before = tokens.encoder(tokenizer, byte_level), 0
         for batch in batches:
             for part, texts in common.text_slices(batch, "text"):
                 row, start, length, crc, total, ids = [], [], [], [], [], []
@@ -177,7 +178,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
                         if with_ids:
                             ids.append(own)
                 arrays = [part.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                arrays.append(pa.array([before + i for i in row], pa.int64()))
+                before += part.num_rows
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"]
                 if with_ids:
                     arrays.append(pa.array(ids, pa.binary()))
                     names.append("ids")
@@ -189,10 +192,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, byte_level: bool = True, with_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack documents; a row per piece (see ``tokenised_pieces`` and ``pack``).
 
-    Pieces are stored once in the shared folder, so texts are tokenised once.
+    Pieces are stored once in the shared folder, so texts are tokenised once. Their places deal out rows that are
+    equal in all else.
     """
     pieces = common.cut(tokenised_pieces(docs, tokenizer, end_id, capacity, byte_level, with_ids), "pieces")
-    return pack(pieces, capacity, ["doc_id", "start", "ids_crc32", "doc_tokens"])
+    return pack(pieces, capacity, ["doc_id", "start", "ids_crc32", "doc_tokens", "place"]).drop("place")
 
 
 def sequences(packed: DataFrame, pad_id: int, capacity: int = CAPACITY) -> DataFrame:

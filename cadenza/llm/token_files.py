@@ -184,18 +184,22 @@ class FileReader:
             k = stop
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, byte_level: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, byte_level: bool, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Encode documents and write their ids to files in ``folder``, in ascending order of id.
 
     Null text is empty; ``end_id`` follows every document's ids. A null id comes first and stays null; rows of
-    equal id are in the order of their texts. Other columns are left behind. Returns the stored manifest:
-    part, file (long; the files' order), path, documents, ids. No rows: no files, an empty manifest.
+    equal id are in the order of their texts' XXH64, equal rows as they come, and may lie in several parts. Other
+    columns are left behind. Returns the stored manifest: part, file (long; the files' order), path, documents, ids.
+    No rows: no files, an empty manifest.
     """
     fs, at = common.filesystem(folder)
     fs.create_dir(at, recursive=True)
     end = int(end_id).to_bytes(4, "little")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # many rows of one id are cut too, by text and then by where they lie in the input
+    order = ["doc_id", "__hash", "__place"]
+    rows = rows.withColumns({"__hash": F.xxhash64("text"), "__place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("__hash", "__place")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, writer, made = tokens.encoder(tokenizer, byte_level), TaskContext.get().partitionId(), None, []
@@ -209,7 +213,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, byte_
                 for doc, data in zip(rows.column("doc_id").to_pylist(), encode(texts)):
                     writer = writer or FileWriter(f"{folder}/part-{part:06d}-{len(made):06d}.pfor")
                     writer.add(doc, np.frombuffer(data + end, "<u4"))
-                    if writer.ids >= FILE_IDS or len(writer.docs) >= FILE_DOCS:
+                    if writer.ids >= file_ids or len(writer.docs) >= file_docs:
                         close()
                         writer = None
         if writer:

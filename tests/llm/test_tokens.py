@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from cadenza.llm import bpe, packing, token_files, tokens
 
@@ -75,7 +76,9 @@ def test_token_files(spark, tmp_path):
     library = tokens.load(WORD)
     manifest = token_files.write_files(documents(spark), f"file://{tmp_path}/tokens", WORD, 1, byte_level=False)
     rows = token_files.read_files(manifest, with_ids=True).collect()
-    want = sorted(((i, t) for i, t in TEXTS), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    hashed = {t: xxhash.xxh64_intdigest(t, 42) for _, t in TEXTS if t is not None} | {None: 42}
+    signed = {t: h - (h >> 63 << 64) for t, h in hashed.items()}
+    want = sorted(((i, t) for i, t in TEXTS), key=lambda x: (x[0] is not None, x[0] or 0, signed[x[1]]))
     at = 0
     for row, (i, t) in zip(sorted(rows, key=lambda r: r["start"]), want, strict=True):
         ids = library.encode(t or "", add_special_tokens=False).ids + [1]
@@ -89,6 +92,22 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_files(empty).collect() == []
 
 
+def test_token_files_of_one_id_in_several_parts_and_files(spark, tmp_path):
+    rows = spark.range(3_000).selectExpr("if(id < 2500, 7, id) as doc_id", "if(id % 3 = 0, 'the same words', concat('w', id)) as text").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows lie in one part
+    try:
+        manifest = token_files.write_files(rows, f"file://{tmp_path}/tokens", WORD, 1, byte_level=False, file_docs=200)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = manifest.collect()
+    assert len({r["part"] for r in parts}) > 2 and max(r["file"] for r in parts) > 0 and max(r["documents"] for r in parts) == 200
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"], tuple(r["ids"])) for r in token_files.read_files(manifest, with_ids=True).collect())
+    assert [x[0] for x in got] == [0, *np.cumsum([x[1] for x in got])[:-1].tolist()]
+    assert [x[2] for x in got] == sorted(x[2] for x in got)
+    library = tokens.load(WORD)
+    assert Counter(x[2:] for x in got) == Counter((r["doc_id"], (*library.encode(r["text"], add_special_tokens=False).ids, 1)) for r in rows.collect())
+
+
 def test_fill_is_best():
     rng = random.Random(3)
     for _ in range(300):
