@@ -9,6 +9,8 @@ BLUR_LIMIT = 1536
 #: Alpha below which an anti-aliased edge pixel becomes clear, and what counts as clear and solid there (fixed values).
 EDGE_CUT, EDGE_CLEAR, EDGE_SOLID = 89, 12, 240
 MAGENTA = (255, 0, 255)
+#: Shares of red and blue in brightness, by colour matrix (fixed values).
+MATRICES = {"bt601": (0.299, 0.114), "bt470bg": (0.299, 0.114), "bt709": (0.2126, 0.0722), "fcc": (0.3, 0.11), "smpte240": (0.212, 0.087), "bt2020": (0.2627, 0.0593)}
 CHANNELS = {"rgba": (0, 1, 2, 3), "argb": (1, 2, 3, 0), "bgra": (2, 1, 0, 3), "abgr": (3, 2, 1, 0), "rgb": (0, 1, 2)}
 
 
@@ -68,8 +70,9 @@ def over_matte(rgba: np.ndarray, matte: tuple[int, int, int]) -> np.ndarray:
     return np.concatenate([np.where(half, mixed, rgba[..., :3]), np.where(half, 255, a)], axis=-1).astype(np.uint8)
 
 
-def unpack(data: bytes, width: int, height: int, layout: str = "rgba", stride: int | None = None) -> np.ndarray:
-    """RGBA from raw bytes of another channel order, with ``stride`` pixels a row. Bad sizes are errors."""
+def unpack(data: bytes, width: int, height: int, layout: str = "rgba", stride: int | None = None, premultiplied: bool = False) -> np.ndarray:
+    """RGBA from raw bytes of another channel order, with ``stride`` pixels a row. Bad sizes are errors. With
+    ``premultiplied`` colours hold their alpha already, which is taken out of them."""
     order = CHANNELS[layout]
     n = len(order)
     stride = width if stride is None else stride
@@ -78,7 +81,13 @@ def unpack(data: bytes, width: int, height: int, layout: str = "rgba", stride: i
     whole = np.frombuffer(data, np.uint8, ((height - 1) * stride + width) * n)
     rows = np.concatenate([whole, np.zeros((stride - width) * n, np.uint8)]).reshape(height, stride, n)[:, :width]
     out = rows[..., list(order)]
-    return np.concatenate([out, np.full((height, width, 1), 255, np.uint8)], axis=-1) if n == 3 else np.ascontiguousarray(out)
+    if n == 3:
+        return np.concatenate([out, np.full((height, width, 1), 255, np.uint8)], axis=-1)
+    if premultiplied:
+        a = out[..., 3:].astype(np.int64)
+        plain = np.minimum((out[..., :3] * 255 + a // 2) // np.maximum(a, 1), 255)
+        out = np.concatenate([np.where(a > 0, plain, 0), a], axis=-1).astype(np.uint8)
+    return np.ascontiguousarray(out)
 
 
 def crop(image: np.ndarray, x: int, y: int, width: int, height: int) -> np.ndarray | None:
@@ -134,11 +143,14 @@ def yuv_to_rgba(y: np.ndarray, u: np.ndarray, v: np.ndarray, matrix: str = "bt70
     """Planes of 8-bit video; smaller chroma planes are repeated to the size of y."""
     h, w = y.shape
     up = lambda p: np.repeat(np.repeat(p, -(-h // p.shape[0]), axis=0), -(-w // p.shape[1]), axis=1)[:h, :w].astype(np.float64) - 128
-    kr, kb = {"bt601": (0.299, 0.114), "bt709": (0.2126, 0.0722), "fcc": (0.3, 0.11), "smpte240": (0.212, 0.087), "bt2020": (0.2627, 0.0593)}[matrix]
     luma = y.astype(np.float64) if full else (y.astype(np.float64) - 16) * 255 / 219
     chroma = 1.0 if full else 255 / 224
     b, r = up(u) * chroma, up(v) * chroma
-    red, blue = luma + 2 * (1 - kr) * r, luma + 2 * (1 - kb) * b
-    green = (luma - kr * red - kb * blue) / (1 - kr - kb)
+    if matrix == "ycgco":  # differences from green and of orange
+        red, green, blue = luma - b + r, luma + b, luma - b - r
+    else:
+        kr, kb = MATRICES[matrix]
+        red, blue = luma + 2 * (1 - kr) * r, luma + 2 * (1 - kb) * b
+        green = (luma - kr * red - kb * blue) / (1 - kr - kb)
     rgb = np.clip(np.round(np.stack([red, green, blue], axis=-1)), 0, 255)
     return np.concatenate([rgb, np.full((h, w, 1), 255)], axis=-1).astype(np.uint8)

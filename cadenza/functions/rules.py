@@ -72,6 +72,24 @@ def fraction_of(width: Column, original_width: Column) -> Column:
     return width / original_width
 
 
+def size_bounds(width: Column, height: Column, least: int = 5) -> Column:
+    """struct<least_width, most_width, least_height, most_height> of sizes at the same ratio: from where both sides are
+    ``least`` pixels at least (rounded, and no more than there is) up to the original."""
+    small = aspect_fill(width, height, F.lit(float(least)), F.lit(float(least)))
+    side = lambda x, most: F.round(F.least(x, most.cast("double")))
+    return F.struct(side(small["width"], width).alias("least_width"), width.cast("double").alias("most_width"), side(small["height"], height).alias("least_height"), height.cast("double").alias("most_height"))
+
+
+def mean_percent(width: Column, height: Column, new_width: Column, new_height: Column) -> Column:
+    """A new size as percent of the original: the mean of both sides'."""
+    return (new_width / width * 100 + new_height / height * 100) / 2
+
+
+def size_by_width(width: Column, height: Column, new_width: Column) -> Column:
+    """struct<width, height>, rounded: the original's ratio at a new width; an original without width stays as it is."""
+    return F.when(width == 0, F.struct(width.cast("double").alias("width"), height.cast("double").alias("height"))).otherwise(F.struct(F.round(new_width.cast("double")).alias("width"), F.round(height * (new_width / F.nullif(width, F.lit(0)))).alias("height")))
+
+
 def preset_sizes(width: Column, height: Column) -> Column:
     """array<struct<width, height>>: the preset widths (and the own one) that the clip has, in falling order."""
     own = F.array_union(F.array(*(F.lit(x).cast("long") for x in PRESET_WIDTHS)), F.array(_long(width)))
@@ -143,6 +161,18 @@ def padded_palette(colours: Column) -> Column:
     return F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(colours, F.lit(1)).cast("double")))), F.lit(2.0)).cast("long")
 
 
+def second_pass_size(found: Column) -> Column:
+    """With extra effort: the power of two of colours for which a small or nearly full palette is built again; else null."""
+    return F.when((found < 128) | (found > 220), padded_palette(found))
+
+
+def leaves_unchanged(keeps: Column, fast: Column, quality: Column, index: Column) -> Column:
+    """Whether a frame's unimportant pixels are left to the frame before: that one stays on screen, and the encoder is
+    in a hurry or, under quality 100, in the turn of five that the quality gives."""
+    spared = _div(F.greatest(quality - 80, F.lit(0)), F.lit(4))
+    return keeps & (fast | ((quality < 100) & (F.pmod(_long(index), F.lit(5).cast("long")) >= spared)))
+
+
 def smoothing_threshold(quality: Column) -> Column:
     t = 55 - _div(quality, F.lit(2))
     return t * t
@@ -278,6 +308,54 @@ def dragged_crop(crop: Column, handle: Column, dx: Column, dy: Column, least_wid
     return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("width"), (bottom - top).alias("height"))
 
 
+def _bounded(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def mirrored_crop(crop: Column, handle: Column, dx: Column, dy: Column, least_width: Column, least_height: Column) -> Column:
+    """A unit crop after one of its outer handles is dragged while its centre stays: the opposite side moves alike, and
+    neither side falls under its least or leaves the frame."""
+    spot = handle_position(handle)
+
+    def grown(at: Column, start: Column, size: Column, delta: Column, least: Column) -> Column:
+        """By how much the side at the handle moves out; its opposite does too."""
+        out = F.when(at == 0, -delta).when(at == 1, delta).otherwise(F.lit(0.0))
+        room = F.least(start, 1 - start - size)
+        return F.when(at == 0.5, F.lit(0.0)).otherwise(_bounded(out, (least - size) / 2, room))
+
+    gx = grown(spot["x"], crop["x"], crop["width"], dx, least_width)
+    gy = grown(spot["y"], crop["y"], crop["height"], dy, least_height)
+    return F.struct((crop["x"] - gx).alias("x"), (crop["y"] - gy).alias("y"), (crop["width"] + 2 * gx).alias("width"), (crop["height"] + 2 * gy).alias("height"))
+
+
+def scaled_crop(crop: Column, handle: Column, dx: Column, dy: Column, least_width: Column, least_height: Column) -> Column:
+    """A unit crop after one of its outer handles is dragged at a fixed ratio: what lies opposite the handle stays where it
+    is (the middle of a side that the handle doesn't move), and the scale is the mean of what the moved sides ask
+    for, as far as the frame and the least sides let it."""
+    spot = handle_position(handle)
+    ways = [(spot["x"], crop["x"], crop["width"], dx, least_width), (spot["y"], crop["y"], crop["height"], dy, least_height)]
+    moved = F.greatest(*(F.when(spot[a] != 0.5, 1).otherwise(0) for a in "xy")) + F.least(*(F.when(spot[a] != 0.5, 1).otherwise(0) for a in "xy"))
+    scale = 1 + sum((2 * at - 1) * delta / size for at, _, size, delta, _ in ways) / F.greatest(moved, F.lit(1))
+    still = []
+    for at, start, size, _, _ in ways:
+        anchor = start + size * (1 - at)
+        still.append(anchor)
+        scale = F.when(anchor > start, F.least(scale, anchor / F.nullif(anchor - start, F.lit(0.0)))).otherwise(scale)
+        scale = F.when(anchor < start + size, F.least(scale, (1 - anchor) / F.nullif(start + size - anchor, F.lit(0.0)))).otherwise(scale)
+    scale = F.greatest(scale, *(least / size for _, _, size, _, least in ways))
+    x, y = (a - (a - start) * scale for a, (_, start, _, _, _) in zip(still, ways))
+    return F.struct(x.alias("x"), y.alias("y"), (crop["width"] * scale).alias("width"), (crop["height"] * scale).alias("height"))
+
+
+def centred_scaled_crop(crop: Column, to_x: Column, to_y: Column, least_width: Column, least_height: Column) -> Column:
+    """A unit crop scaled about its centre until its edge reaches a point, inside the frame and not under the least sides."""
+    cx, cy = crop["x"] + crop["width"] / 2, crop["y"] + crop["height"] / 2
+    wish = F.greatest(F.abs(to_x - cx) * 2 / crop["width"], F.abs(to_y - cy) * 2 / crop["height"])
+    most = F.least(2 * cx / crop["width"], 2 * (1 - cx) / crop["width"], 2 * cy / crop["height"], 2 * (1 - cy) / crop["height"])
+    k = _bounded(wish, F.greatest(least_width / crop["width"], least_height / crop["height"]), most)
+    return F.struct((cx - crop["width"] * k / 2).alias("x"), (cy - crop["height"] * k / 2).alias("y"), (crop["width"] * k).alias("width"), (crop["height"] * k).alias("height"))
+
+
 # ranges: struct<lo, hi>, both ends inside
 
 
@@ -327,6 +405,12 @@ def number_field(text: Column, digits: int = 5) -> Column:
     return F.when(kept != "", kept.cast("long"))
 
 
+def stepped_field(value: Column, step: Column, least: int, most: int) -> Column:
+    """A typed number (none: 0) a step up or down; where that leaves ``least`` to ``most`` it stays as it is."""
+    new = F.coalesce(_long(value), F.lit(0).cast("long")) + step
+    return F.when(new.between(least, most), new).otherwise(_long(value))
+
+
 def track_bytes(bits_per_second: Column, duration: Column) -> Column:
     return bits_per_second / 8 * duration
 
@@ -336,6 +420,16 @@ def four_cc(code: Column) -> Column:
     return F.concat(*(F.chr(F.shiftright(_long(code), s).bitwiseAND(255)) for s in (24, 16, 8, 0)))
 
 
+#: Extensions of the two kinds of container that are taken (fixed values).
+CONTAINERS = {"mp4": "mpeg4", "mpg4": "mpeg4", "mov": "quicktime", "qt": "quicktime"}
+
+
+def container_of(name: Column) -> Column:
+    """mpeg4 or quicktime, by a file name's extension; null for any other."""
+    pairs = [F.lit(x) for p in CONTAINERS.items() for x in p]
+    return F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)))
+
+
 def sniff_type(head: Column, name: Column) -> Column:
     """File kind by extension (y4m, png), then by the first bytes; null if unknown."""
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))

@@ -67,17 +67,25 @@ CHECKS = (
     ("no metadata", lambda: F.col("fps").isNull() | F.col("duration").isNull()),
     ("under 4 x 4 pixels", lambda: ~F.coalesce((F.col("width") >= 4) & (F.col("height") >= 4), F.lit(False))),
 )
+#: Checks of what a decoder found out, where it was asked: after the others.
+LATE_CHECKS = (
+    ("video track not readable alone", lambda: ~F.coalesce(F.col("is_extractable"), F.lit(False))),
+    # a codec that can't be trimmed is let through
+    ("blank start not trimmable", lambda: ~F.coalesce(F.col("is_trimmable"), F.lit(False)) & F.coalesce(F.col("can_trim_codec"), F.lit(True))),
+)
 
 
 def with_reason(clips: DataFrame) -> DataFrame:
     """``reason`` a clip is refused, by the first check that speaks against it; null if it is fine.
 
     Needs size, is_movie, code (four characters), has_audio, has_video, is_protected, is_decodable, fps, duration,
-    width, height. A null answer counts as no. Adds ``codec``.
+    width, height. A null answer counts as no. Where there are also is_extractable, is_trimmable and can_trim_codec (null:
+    yes), they are asked last. Adds ``codec``.
     """
+    late = LATE_CHECKS if {"is_extractable", "is_trimmable", "can_trim_codec"} <= set(clips.columns) else ()
     clips = clips.withColumn("codec", codec_of(F.col("code")))
     reason = F.lit(None).cast("string")
-    for name, against in reversed(CHECKS):
+    for name, against in reversed(CHECKS + late):
         reason = F.when(F.coalesce(against(), F.lit(False)), name).otherwise(reason)
     return clips.withColumn("reason", reason)
 

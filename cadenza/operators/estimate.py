@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .sampling import even_chunks
 
@@ -27,6 +31,34 @@ def estimated_size(frames: DataFrame, clip: str, size: str, index: str = "i", co
     return sums.withColumn("estimate", F.col("sampled_size") * (F.col("frames") / F.col("sampled")) * margin)
 
 
+def running_estimates(progress: DataFrame, clip: str, order: list[str], written: str, frames: str, total: str) -> DataFrame:
+    """``estimate`` and ``shown`` (long) of each progress row, in order within its clip.
+
+    Bytes so far (``written``), scaled from the ``frames`` done to the ``total``: an estimate rises at once and falls by
+    halves. It starts beyond a warm-up of a sixteenth of the total (5 to 50 frames; unknown total: 10) and is 0 before;
+    what is shown follows only when it is off by more than a tenth. A clip's rows stream past; two numbers are held.
+    """
+    rows = progress.repartition(clip).sortWithinPartitions(clip, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, estimate, shown = object(), 0, 0
+        for batch in batches:
+            estimates, displays = [], []
+            for own, size, done, count in zip(*(batch.column(c).to_pylist() for c in (clip, written, frames, total))):
+                if own != last:
+                    last, estimate, shown = own, 0, 0
+                if done > (10 if count is None else min(max(count // 16, 5), 50)):
+                    whole = size * (max(done + 50, 100) if count is None else count) // done
+                    estimate = whole if whole >= estimate else (estimate + whole) // 2
+                    if abs(shown - estimate) > estimate // 10:
+                        shown = estimate
+                estimates.append(estimate)
+                displays.append(shown)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(estimates, pa.int64()), pa.array(displays, pa.int64())], names=[*batch.schema.names, "estimate", "shown"])
+
+    return rows.mapInArrow(run, StructType([*progress.schema]).add("estimate", "long").add("shown", "long"))
+
+
 def naive_size(width: Column, height: Column, frames: Column, quality: Column) -> Column:
     """Bytes by size, frames and quality (0..1) alone."""
     return width * height * frames / 3 * (quality + 1.5) / 2.5

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -103,3 +103,39 @@ def with_digest(frames: DataFrame) -> DataFrame:
 def digest(picture: np.ndarray) -> str:
     h, w = picture.shape[:2]
     return hashlib.sha256(f"{w}x{h}".encode() + picture.tobytes()).hexdigest()
+
+
+def pixel_rows(frames: DataFrame) -> DataFrame:
+    """A row per pixel: clip_id, frame_index, x, y, r, g, b, a (int). A null picture has none."""
+    kinds = [pa.int32()] * 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (w, h, rgba) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgba")))):
+                if rgba is None:
+                    continue
+                at = pa.array(np.full(w * h, i), pa.int64())
+                columns = [np.tile(np.arange(w), h), np.repeat(np.arange(h), w), *np.frombuffer(rgba, np.uint8).reshape(-1, 4).T]
+                yield pa.RecordBatch.from_arrays([batch.column("clip_id").take(at), batch.column("frame_index").take(at), *(pa.array(c.astype(np.int32), t) for c, t in zip(columns, kinds))], names=["clip_id", "frame_index", *"xyrgba"])
+
+    key = frames.select("clip_id", "frame_index", "width", "height", "rgba")
+    return key.mapInArrow(run, key.select("clip_id", "frame_index").schema.add("x", "integer").add("y", "integer").add("r", "integer").add("g", "integer").add("b", "integer").add("a", "integer"))
+
+
+def changed_boxes(frames: DataFrame) -> DataFrame:
+    """left, top, box_width, box_height (int): where each frame differs from the one before it in its clip (one pixel if
+    nowhere); a clip's first frame is left out. Other columns go."""
+    pairs = frames.withColumn("__before", F.lag("rgba").over(Window.partitionBy("clip_id").orderBy("frame_index"))).filter("__before is not null")
+    pairs = pairs.select("clip_id", "frame_index", "width", "height", "rgba", "__before")
+    names = ["left", "top", "box_width", "box_height"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boxes = [pixels.changed_box(image(w, h, a), image(w, h, b)) for w, h, b, a in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgba", "__before")))]
+            columns = zip(*boxes) if boxes else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("frame_index"), *(pa.array(c, pa.int32()) for c in columns)], names=["clip_id", "frame_index", *names])
+
+    schema = frames.select("clip_id", "frame_index").schema
+    for n in names:
+        schema = schema.add(n, "integer")
+    return pairs.mapInArrow(run, schema)

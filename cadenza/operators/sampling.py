@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """A string that sorts names by the numbers in them: every run of digits padded to ``width``."""
-    padded = F.regexp_replace(name, r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, r"0*(\d{%d})(?!\d)" % width, "$1")
+def natural_key(name: Column) -> Column:
+    """An array that sorts names by the numbers in them: what isn't digits as it is, and numbers, however long, by how
+    many digits they have without leading zeros and then by these."""
+    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    plain = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    number = lambda x: F.struct(F.lit(0).alias("text"), F.length(plain(x)).alias("size"), plain(x).alias("run"))
+    return F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(F.struct(F.lit(1).alias("text"), F.lit(0).alias("size"), x.alias("run"))))
 
 
 def chunk(frames: DataFrame, size: int, index: str = "i", out: str = "chunk") -> DataFrame:
@@ -34,3 +37,13 @@ def even_chunks(frames: DataFrame, chunks: int, size: int, index: str = "i", cou
     n_chunks = F.expr(f"({count} + {size - 1}L) div {size}L")
     own = F.expr(f"{index} div {size}L")
     return frames.filter((F.col(count) <= chunks * size) | F.array_contains(even_positions(n_chunks, chunks), own))
+
+
+def flattened(chunks: DataFrame, column: str) -> DataFrame:
+    """Rows of a column of arrays of arrays, one for each inner element."""
+    return chunks.withColumn(column, F.explode(F.flatten(column)))
+
+
+def kth(values: Column, k: int) -> Column:
+    """The k-th least of an array, from 0; null where it has no so many."""
+    return F.get(F.array_sort(values), k)

@@ -143,7 +143,7 @@ def delay_ticks(frames: DataFrame, clip: str, order: Sequence[str], end: str, ou
     """Display time in ticks: the rounded end less what was shown so far, LEAST_TICKS at least.
 
     ``end`` is the end in ticks (a whole number). Total so far is 2 i + max(0, running max of end_j - 2 j), i from
-    1, so one window is enough. It ignores the upper limit; ``delay_ticks_limited`` has it.
+    1, so one window is enough. It ignores the upper limit; ``delays_in_turn`` has it.
     """
     w = _in_order(clip, order)
     i = F.row_number().over(w)
@@ -153,18 +153,6 @@ def delay_ticks(frames: DataFrame, clip: str, order: Sequence[str], end: str, ou
     return frames.withColumn(out, F.col("__total") - F.lag("__total", 1, 0).over(w)).drop("__slack", "__i", "__total")
 
 
-def delay_ticks_limited(frames: DataFrame, clip: str, order: Sequence[str], end: str, most: int = MOST_TICKS) -> DataFrame:
-    """A row per clip: ``delays``, in order, with both limits. A fold over the clip's ends (a long each)."""
-    ends = F.array_sort(F.collect_list(F.struct(*order, F.col(end).cast("long").alias("__end"))))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<long>").alias("delays"))
-
-    def step(acc: Column, x: Column) -> Column:
-        delay = F.least(F.greatest(x["__end"] - acc["total"], F.lit(LEAST_TICKS).cast("long")), F.lit(most).cast("long"))
-        return F.struct((acc["total"] + delay).alias("total"), F.concat(acc["delays"], F.array(delay)).alias("delays"))
-
-    return frames.groupBy(clip).agg(F.aggregate(ends, start, step)["delays"].alias("delays"))
-
-
 def delays_in_turn(frames: DataFrame, clip: str, order: Sequence[str], end: str, out: str = "delay", most: int = MOST_TICKS) -> DataFrame:
     """``frames`` with the display time of each, with both limits: what one frame can't show is carried on to the next.
 
@@ -203,7 +191,7 @@ def frame_at(frames: DataFrame, times: DataFrame, clip: str, order: Sequence[str
     Frames and times meet in one sorted union, not in a range join: work is linear in both, whatever the overlap.
     ``value`` must not be null in ``frames``.
     """
-    left = frames.select(F.col(clip).alias("__clip"), F.col(pts).alias("__t"), F.lit(0).alias("__kind"), F.struct(*order).alias("__order"), F.col(value).alias("__value"), F.lit(None).cast(times.schema.simpleString()).alias("__row"))
+    left = frames.select(F.col(clip).alias("__clip"), F.col(pts).alias("__t"), F.lit(0).alias("__kind"), F.struct(*order).alias("__order"), F.col(value).alias("__value"), F.lit(None).cast(times.schema).alias("__row"))
     right = times.select(F.col(clip).alias("__clip"), F.col(time).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(left.schema["__order"].dataType).alias("__order"), F.lit(None).cast(left.schema["__value"].dataType).alias("__value"), F.struct(*times.columns).alias("__row"))
     w = Window.partitionBy("__clip").orderBy("__t", "__kind", "__order")
     found = left.unionByName(right).withColumn("__found", F.last("__value", ignorenulls=True).over(w))

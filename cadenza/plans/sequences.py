@@ -69,12 +69,11 @@ select user_id, event_id, j - 1 as i, total - lag(total, 1, 0) over (partition b
 
 
 def delay_ticks_limited(spark, sf_dir):
-    """Display times with the upper limit (here 40 ticks), by the fold; a row per clip."""
+    """Display times with the upper limit (here 40 ticks), in turn; a row per clip."""
     frames = timeline.durations(_frames(spark, sf_dir), "user_id", ORDER, "p", least=10_000)
     frames = frames.withColumn("end_ticks", F.expr(f"(end + {LONG_TICK_US // 2}L) div {LONG_TICK_US}L"))
-    found = timeline.delay_ticks_limited(frames, "user_id", ORDER, "end_ticks", most=40)
-    total = F.aggregate("delays", F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("user_id", F.size("delays").cast("long").alias("frames"), total.alias("ticks"), F.array_max("delays").alias("longest"))
+    found = timeline.delays_in_turn(frames.select("user_id", *ORDER, "end_ticks"), "user_id", ORDER, "end_ticks", most=40)
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("delay").alias("ticks"), F.max("delay").alias("longest"))
 
 
 LIMITED_SQL = f"""with recursive {F_SQL},
@@ -394,16 +393,16 @@ LAST_SQL = """select user_id, event_type from (select *, row_number() over (part
 
 
 def preset_sizes(spark, sf_dir):
-    """The sizes on offer for frames as wide as a part's key and half as high."""
-    parts = _read(spark, sf_dir, "part", "p_partkey").filter("p_partkey between 1 and 1500")
-    sizes = F.explode(rules.preset_sizes(F.col("p_partkey"), F.col("p_partkey") / 2))
+    """The sizes on offer for frames one pixel wider than a part's key and half as high."""
+    parts = _read(spark, sf_dir, "part", "p_partkey").withColumn("own", F.col("p_partkey") + 1)
+    sizes = F.explode(rules.preset_sizes(F.col("own"), F.col("own") / 2))
     return parts.select("p_partkey", sizes.alias("s")).select("p_partkey", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
 
 
 PRESET_SQL = """with w(width) as (values (1280), (1024), (960), (800), (768), (640), (512), (480), (400), (320), (256), (200)),
-  s as (select p_partkey, cast(width as bigint) as width from part, w where width <= p_partkey and p_partkey between 1 and 1500
-    union select p_partkey, p_partkey from part where p_partkey between 1 and 1500)
-select p_partkey, width, cast(round((p_partkey / 2.0::double) * width / p_partkey) as bigint) as height from s"""
+  p as (select p_partkey, p_partkey + 1 as own from part),
+  s as (select p_partkey, own, cast(width as bigint) as width from p, w where width <= own union select p_partkey, own, own from p)
+select p_partkey, width, cast(round((own / 2.0::double) * width / own) as bigint) as height from s"""
 
 
 QUERIES = {

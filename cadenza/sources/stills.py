@@ -130,10 +130,10 @@ def y4m_header(data: bytes) -> dict:
     return {"width": w, "height": h, "fps": (int(num), int(den or 1)), "planes": [(h, w), (ch, cw), (ch, cw)] + ([(h, w)] if "alpha" in name else []), "full": "COLORRANGE=FULL" in line, "start": len(line) + 1}
 
 
-def y4m_frames(data: bytes) -> Iterator[np.ndarray]:
-    """RGBA of every frame."""
+def y4m_frames(data: bytes, matrix: str | None = None) -> Iterator[np.ndarray]:
+    """RGBA of every frame, by the colour matrix given or else that of its size."""
     head = y4m_header(data)
-    matrix = "bt601" if head["width"] <= 720 and head["height"] <= 480 else "bt709"
+    matrix = matrix or ("bt601" if head["width"] <= 720 and head["height"] <= 480 else "bt709")
     at = head["start"]
     while at < len(data):
         at = data.index(b"\n", at) + 1
@@ -144,7 +144,7 @@ def y4m_frames(data: bytes) -> Iterator[np.ndarray]:
         yield pixels.yuv_to_rgba(*planes[:3], matrix=matrix, full=head["full"])
 
 
-def y4m_videos(spark: SparkSession, path: str, fps: float | None = None, speed: float = 1.0) -> DataFrame:
+def y4m_videos(spark: SparkSession, path: str, fps: float | None = None, speed: float = 1.0, matrix: str | None = None) -> DataFrame:
     """Frames of the Y4M files at a path; the clip is the file's path. With ``fps`` frames are dropped to come down to
     it; what decides is the time as filmed, and only the times that come out are divided by ``speed``."""
     from fractions import Fraction
@@ -158,7 +158,7 @@ def y4m_videos(spark: SparkSession, path: str, fps: float | None = None, speed:
             for clip, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 own = Fraction(*y4m_header(data)["fps"])
                 k = 0
-                for i, rgba in enumerate(y4m_frames(data)):
+                for i, rgba in enumerate(y4m_frames(data, matrix)):
                     if wanted and own > wanted and i and (i + 1) * wanted // own <= i * wanted // own:
                         continue
                     row = (clip, k, float(i / own) / speed, rgba.shape[1], rgba.shape[0], rgba.tobytes())

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,6 +49,26 @@ def without_stale(requests: DataFrame, key: str) -> DataFrame:
     return requests.groupBy(key).applyInPandasWithState(keep, requests.schema, "newest long", "append", GroupStateTimeout.NoTimeout)
 
 
+def newest_ids(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``without_stale`` over a finished table: the requests whose id is at least as high as any before of their key."""
+    before = F.max("request_id").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return requests.withColumn("__before", before).filter("__before is null or request_id >= __before").drop("__before")
+
+
+def reusable(requests: DataFrame, finished: WindowSpec, request: str, low: str, high: str, out: str = "reused") -> DataFrame:
+    """``out``: the last of the ``finished`` requests (a bounded window of those before, with equal settings) whose range
+    of time holds a request's own; null if there is none."""
+    held = F.collect_list(F.struct(F.col(request).alias("id"), F.col(low).alias("lo"), F.col(high).alias("hi"))).over(finished)
+    fits = F.filter(held, lambda x: (x["lo"] <= F.col(low)) & (F.col(high) <= x["hi"]))
+    return requests.withColumn(out, F.when(F.size(fits) > 0, F.element_at(fits, -1)["id"]))
+
+
+def joint_progress(parts: list[tuple[float, Column]]) -> Column:
+    """``weighted_progress`` of columns."""
+    total = sum(w for w, _ in parts)
+    return sum((F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * w for w, p in parts), F.lit(0.0)) / total
+
+
 def newest_events(batch: DataFrame, most: int = NEWEST) -> DataFrame:
     """Of a micro-batch the newest events, for a reader that must not fall behind (use in foreachBatch)."""
     return batch.orderBy(F.desc("ts"), F.desc("request_id")).limit(most)

@@ -1,11 +1,13 @@
-"""Every registered sequence query against DuckDB on the same tables."""
+"""Every registered query of the frame operators against DuckDB on the same tables."""
 
 import os
 
 import duckdb
 import pytest
 
-from cadenza.plans.sequences import QUERIES
+from cadenza.plans import picture_queries, rule_queries, sequences
+
+QUERIES = sequences.QUERIES | rule_queries.QUERIES | picture_queries.QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
