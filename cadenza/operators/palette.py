@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from cadenza.functions import pixels
@@ -101,8 +102,33 @@ def with_palette(frames: DataFrame, colours: int = MOST_COLOURS, fixed: tuple[tu
     return frames.mapInArrow(run, StructType([*frames.schema]).add("palette", "binary"))
 
 
-def remap(rgba: np.ndarray, palette: np.ndarray, screen: np.ndarray | None, see_through: np.ndarray) -> tuple[np.ndarray, int]:
-    """Indices of a picture's pixels and which of them is clear (-1: none).
+def dither_level(quality: int, lossy_quality: int) -> float:
+    """How far pixels are mixed of two colours, 0.2 to 1."""
+    return max(0.2, min(1.0, quality * (0.25 + lossy_quality * 0.75 / 90) / 50 - 1))
+
+
+def dithered(rgba: np.ndarray, palette: np.ndarray, index: np.ndarray, level: float) -> np.ndarray:
+    """Indices in which pixels between two colours of the palette take the farther one as often as they lean to it, by an
+    8 x 8 ordered pattern; a pixel whose colour is in the palette keeps it."""
+    h, w = rgba.shape[:2]
+    own = rgba.reshape(-1, 4)[:, :3].astype(np.float64)
+    near = palette[index].astype(np.float64)
+    off = pixels.distance(own, near)
+    at = np.flatnonzero(off)
+    if not len(at) or len(palette) < 2:
+        return index
+    second = nearest(np.clip(2 * own[at] - near[at], 0, 255), palette)
+    first_gap, second_gap = np.sqrt(off[at]), np.sqrt(pixels.distance(own[at], palette[second].astype(np.float64)))
+    share = level * first_gap / np.maximum(first_gap + second_gap, 1e-9)
+    pattern = np.tile((pixels.ordered_matrix(3) + 0.5) / 64, (h // 8 + 1, w // 8 + 1))[:h, :w].reshape(-1)
+    takes = share > pattern[at]
+    out = index.copy()
+    out[at[takes]] = second[takes]
+    return out
+
+
+def remap(rgba: np.ndarray, palette: np.ndarray, screen: np.ndarray | None, see_through: np.ndarray, level: float = 0.0) -> tuple[np.ndarray, int]:
+    """Indices of a picture's pixels and which of them is clear (-1: none), mixed of two colours up to a ``level``.
 
     A pixel is clear where it has no colour, where ``see_through`` says so, or where what is on ``screen`` is at
     least as near to it as the palette.
@@ -113,6 +139,8 @@ def remap(rgba: np.ndarray, palette: np.ndarray, screen: np.ndarray | None, see_
     if screen is not None and len(palette):
         under = screen.reshape(-1, 4)
         clear |= (under[:, 3] >= 128) & (pixels.distance(under, flat) <= pixels.distance(palette[index], flat))
+    if level and len(palette):
+        index = dithered(rgba, palette, index, level)
     if clear.any() or not len(palette):
         index = np.where(clear, len(palette), index)
         return index.reshape(rgba.shape[:2]), len(palette)
@@ -132,36 +160,60 @@ def paint(screen: np.ndarray, index: np.ndarray, palette: np.ndarray, clear: int
 OUT_FRAME = "frame_index long, left int, top int, width int, height int, indices binary, palette binary, clear int, dispose string, screen_width int, screen_height int"
 
 
-def assemble(frames: DataFrame, quality: int = 100, fast: bool = False) -> DataFrame:
+def assemble(frames: DataFrame, quality: int = 100, fast: bool = False, level: float = 0.0) -> DataFrame:
     """The parts to draw, clip by clip: each frame's pixels that change, as indices into its palette.
 
     Needs clip_id, frame_index, width, height, rgba, importance, palette, dispose (background or keep). What a frame
     draws depends on what the ones before it left on screen, so a clip is one ordered fold (palettes and
-    compression are not part of it). The first and last frame are drawn whole, and so is one that is cleared after it:
-    only what was drawn is cleared, and a pixel that turns clear may lie outside of what changed.
+    compression are not part of it); its rows stream past, and the screen and one frame are held. The first and last
+    frame are drawn whole, and so is one that is cleared after it: only what was drawn is cleared, and a pixel that
+    turns clear may lie outside of what changed. ``level``: see ``remap``.
     """
-    kind = frames.schema["clip_id"].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index").reset_index(drop=True)
-        w, h = int(pdf["width"][0]), int(pdf["height"][0])
-        screen, keeps, rows = np.zeros((h, w, 4), np.uint8), False, []
-        for k, r in enumerate(pdf.itertuples()):
-            rgba = np.frombuffer(r.rgba, np.uint8).reshape(h, w, 4)
-            palette = np.frombuffer(r.palette, np.uint8).reshape(-1, 3)[: MOST_COLOURS - 1 if k else MOST_COLOURS]
-            weight = np.frombuffer(r.importance, np.uint8).reshape(h, w) if r.importance is not None else np.ones((h, w), np.uint8)
+    needed = frames.select("clip_id", F.col("frame_index").cast("long").alias("frame_index"), "width", "height", "rgba", "importance", "palette", "dispose")
+    rows = needed.repartition("clip_id").sortWithinPartitions("clip_id", "frame_index")
+    schema = needed.select("clip_id").schema
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split() for x in OUT_FRAME.split(", ")]
+    for name, kind in fields:
+        schema = schema.add(name, {"int": "integer"}.get(kind, kind))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict | None, dict | None]]:
+        """Each row with the one after it; none at the end."""
+        before = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if before is not None:
+                    yield before, row
+                before = row
+        if before is not None:
+            yield before, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, k, screen, keeps = object(), 0, None, False
+        for r, following in stream(batches):
+            w, h = r["width"], r["height"]
+            if r["clip_id"] != own:
+                own, k, screen, keeps = r["clip_id"], 0, np.zeros((h, w, 4), np.uint8), False
+            rgba = np.frombuffer(r["rgba"], np.uint8).reshape(h, w, 4)
+            palette = np.frombuffer(r["palette"], np.uint8).reshape(-1, 3)[: MOST_COLOURS - 1 if k else MOST_COLOURS]
+            weight = np.frombuffer(r["importance"], np.uint8).reshape(h, w) if r["importance"] is not None else np.ones((h, w), np.uint8)
             lax = (weight == 0) & masks_unchanged(keeps, fast, quality, k)
-            index, clear = remap(rgba, palette, screen if k else None, lax & (screen[..., 3] >= 128))
+            index, clear = remap(rgba, palette, screen if k else None, lax & (screen[..., 3] >= 128), level)
             after = paint(screen, index, palette, clear, 0, 0)
-            left, top, pw, ph = (0, 0, w, h) if k in (0, len(pdf) - 1) or r.dispose != "keep" else pixels.changed_box(screen, after)
+            last = following is None or following["clip_id"] != own
+            left, top, pw, ph = (0, 0, w, h) if not k or last or r["dispose"] != "keep" else pixels.changed_box(screen, after)
             part = index[top : top + ph, left : left + pw]
-            rows.append((r.clip_id, int(r.frame_index), left, top, pw, ph, part.astype(np.uint8).tobytes(), palette.tobytes(), clear, r.dispose, w, h))
-            keeps = r.dispose == "keep"
+            out = (r["frame_index"], left, top, pw, ph, part.astype(np.uint8).tobytes(), palette.tobytes(), clear, r["dispose"], w, h)
+            names = ["clip_id", *(n for n, _ in fields)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (own, *out)))], schema=pa.schema([("clip_id", clip_kind), *((n, kinds[t]) for n, t in fields)]))
+            keeps = r["dispose"] == "keep"
             if keeps:
                 screen = after
             else:  # the part that was drawn is cleared again
                 screen = after.copy()
                 screen[top : top + ph, left : left + pw] = 0
-        return pd.DataFrame(rows, columns=["clip_id", *(x.split()[0] for x in OUT_FRAME.split(", "))])
+            k += 1
 
-    return frames.select("clip_id", "frame_index", "width", "height", "rgba", "importance", "palette", "dispose").groupBy("clip_id").applyInPandas(fold, f"clip_id {kind}, {OUT_FRAME}")
+    clip_kind = to_arrow_type(needed.schema["clip_id"].dataType)
+    return rows.mapInArrow(run, schema)

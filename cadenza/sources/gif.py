@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from . import lzw
@@ -57,20 +60,71 @@ def compressed(parts: DataFrame, loss: int = 0) -> DataFrame:
     return parts.mapInArrow(run, StructType([f for f in parts.schema if f.name in keep]).add("block", "binary"))
 
 
+NEEDED = ["clip_id", "frame_index", "screen_width", "screen_height", "delay", "dispose", "clear", "block"]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], repeat: int | None) -> Iterator[tuple[object, bytes, bool]]:
+    """(clip, bytes, whether they begin it) of rows in order of clip and frame; a trailer ends each clip."""
+    own, open_ = None, False
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in NEEDED}
+            if not open_ or r["clip_id"] != own:
+                if open_:
+                    yield own, b"\x3b", False
+                own, open_ = r["clip_id"], True
+                yield own, header(r["screen_width"], r["screen_height"], repeat), True
+            yield own, control_block(r["delay"], r["dispose"], r["clear"]) + r["block"], False
+    if open_:
+        yield own, b"\x3b", False
+
+
 def files(blocks: DataFrame, repeat: int | None = 0) -> DataFrame:
-    """A row per clip: clip_id, frames, ``gif`` (binary). Needs ``compressed``'s columns and ``delay`` (ticks)."""
-    kind = blocks.schema["clip_id"].dataType.simpleString()
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        first = pdf.iloc[0]
-        parts = [header(int(first["screen_width"]), int(first["screen_height"]), repeat)]
-        for r in pdf.itertuples():
-            parts += [control_block(int(r.delay), r.dispose, int(r.clear)), r.block]
-        return pd.DataFrame({"clip_id": [first["clip_id"]], "frames": [len(pdf)], "gif": [b"".join(parts) + b"\x3b"]})
-
-    needed = blocks.select("clip_id", "frame_index", "screen_width", "screen_height", "delay", "dispose", "clear", "block")
-    return needed.groupBy("clip_id").applyInPandas(join, f"clip_id {kind}, frames int, gif binary")
+    """A row per clip: clip_id, frames, ``gif`` (binary). Needs ``compressed``'s columns and ``delay`` (ticks). Rows stream
+    past; the file under way is held, as it is one cell in the end (``write_files`` holds none)."""
+    rows = blocks.select(*NEEDED).repartition("clip_id").sortWithinPartitions("clip_id", "frame_index")
+    clip_kind = to_arrow_type(rows.schema["clip_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[bytes] = []
+        for clip, data, _ in _pieces(batches, repeat):
+            parts.append(data)
+            if data == b"\x3b":
+                yield pa.RecordBatch.from_arrays([pa.array([clip], clip_kind), pa.array([len(parts) - 2], pa.int32()), pa.array([b"".join(parts)], pa.binary())], names=["clip_id", "frames", "gif"])
+                parts = []
+
+    return rows.mapInArrow(run, rows.select("clip_id").schema.add("frames", "integer").add("gif", "binary"))
+
+
+def write_files(blocks: DataFrame, folder: str, repeat: int | None = 0) -> DataFrame:
+    """Write a GIF file per clip to a folder that all executors share: clip_id, path, frames, bytes. Needs the columns that
+    ``files`` does; a block at a time is held. A file gets its name when it is whole; if writing fails, nothing is left."""
+    rows = blocks.select(*NEEDED).repartition("clip_id").sortWithinPartitions("clip_id", "frame_index")
+    clip_kind = to_arrow_type(rows.schema["clip_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        out, own, frames, size = None, "", 0, 0
+        try:
+            for clip, data, begins in _pieces(batches, repeat):
+                if begins:
+                    own, frames, size = f"{base}/.{uuid.uuid4().hex}.tmp", -2, 0
+                    out = fs.open_output_stream(own)
+                out.write(data)
+                frames, size = frames + 1, size + len(data)
+                if data == b"\x3b":
+                    out.close()
+                    out = None
+                    name = f"{quote(str(clip), safe='')}.gif"
+                    fs.move(own, f"{base}/{name}")
+                    yield pa.RecordBatch.from_arrays([pa.array([clip], clip_kind), pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([frames], pa.int32()), pa.array([size], pa.int64())], names=["clip_id", "path", "frames", "bytes"])
+        finally:
+            if out is not None:
+                out.close()
+                fs.delete_file(own)
+
+    return rows.mapInArrow(run, rows.select("clip_id").schema.add("path", "string").add("frames", "integer").add("bytes", "long"))
 
 
 def read(data: bytes) -> tuple[int, int, int | None, list[dict]]:

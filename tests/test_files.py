@@ -10,7 +10,7 @@ def test_lzw_round_trip():
     rng = np.random.default_rng(0)
     for bits in range(2, 9):
         for n in (0, 1, 2, 7, 500, 20_000):
-            for x in (rng.integers(0, 1 << bits, n), np.zeros(n, int), np.arange(n) % 3):
+            for x in (rng.integers(0, 1 << bits, n), np.zeros(n, int), np.arange(n) % 3, np.where(np.arange(n) < n // 2, np.arange(n) % 4, rng.integers(0, 1 << bits, n))):
                 x = x.astype(np.uint8)
                 assert (lzw.decode(lzw.encode(x, bits), bits, n) == x).all(), (bits, n)
 
@@ -109,6 +109,48 @@ def test_pixels_that_turn_clear_and_long_times(spark):
     assert [r["delay"] for r in own][:2] == [30_000, 10_010]
 
 
+def noisy_clip():
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[0:24, 0:32]
+    frames = []
+    for k in range(4):
+        rgb = np.stack([x * 8 % 256, y * 10, (x + y + 9 * k) * 4 % 256], axis=-1) + rng.integers(0, 12, (24, 32, 3))
+        frames.append(np.concatenate([np.clip(rgb, 0, 255), np.full((24, 32, 1), 255)], axis=-1).astype(np.uint8))
+    return [("a/b", i, 0.2 * i, 32, 24, bytearray(f.tobytes())) for i, f in enumerate(frames)]
+
+
+def test_files_shrink_with_quality_and_hold_what_cells_do(spark, tmp_path):
+    df = spark.createDataFrame(noisy_clip(), fr.FRAME)
+    sizes = []
+    for quality in (100, 70, 30):
+        made = encode_clips(df, quality=quality, folder=f"file://{tmp_path}/q{quality}").collect()
+        assert len(made) == 1 and made[0]["path"].endswith("a%2Fb.gif")
+        data = open(made[0]["path"].removeprefix("file://"), "rb").read()
+        assert len(data) == made[0]["bytes"] and made[0]["frames"] == len(gif.read(data)[3])
+        assert data == bytes(encode_clips(df, quality=quality).first()["gif"])
+        sizes.append(len(data))
+    assert sizes[0] > sizes[1] > sizes[2]
+
+
+def test_nothing_is_left_of_a_file_that_fails(spark, tmp_path):
+    blocks = spark.createDataFrame([("a", k, 4, 3, 7, "keep" if k < 2 else "no such way", -1, bytearray(b"x")) for k in range(3)], "clip_id string, frame_index long, screen_width int, screen_height int, delay int, dispose string, clear int, block binary")
+    with pytest.raises(Exception):
+        gif.write_files(blocks, f"file://{tmp_path}/out").collect()
+    assert not [*(tmp_path / "out").iterdir()]
+
+
+def test_dithering_keeps_the_mean_and_known_colours():
+    from cadenza.operators import palette
+
+    own = np.array([[0, 0, 0], [255, 255, 255]], np.uint8)
+    grey = np.full((16, 16, 4), 96, np.uint8)
+    grey[..., 3] = 255
+    grey[0, 0, :3] = 255
+    index, clear = palette.remap(grey, own, None, np.zeros((16, 16), bool), 1.0)
+    assert clear == -1 and index[0, 0] == 1 and abs(index.mean() * 255 - 96) < 16
+    assert palette.remap(grey, own, None, np.zeros((16, 16), bool), 0.0)[0].sum() == 1
+
+
 def test_gif_header_says_how_often():
     for repeat in (None, 0, 3):
         data = gif.header(4, 3, repeat) + gif.control_block(7, "background", -1) + gif.frame_block(0, 0, 4, 3, np.zeros(12, np.uint8), np.array([[1, 2, 3]], np.uint8), -1) + b"\x3b"
