@@ -1,10 +1,13 @@
-"""Near-duplicates by resemblance: the Jaccard similarity of two texts' sets of five-word shingles.
-
-A text's 120 min-hashes are taken in 24 bands of five. Two texts of similarity s share a band with probability
-1 - (1 - s^5)^24: 0.9999 at 0.8, and more above. Texts that share one are candidates, and every candidate pair is
-confirmed by the whole sets, unless other confirmed pairs connect it already: first each text of a bucket with
-the bucket's least, then those that are still apart with each other. So a cluster of near copies costs in
-proportion to its size, and only texts that share a band without being similar meet in pairs.
+"""Resemblance: the Jaccard similarity of two texts' sets of five-word shingles, for near-duplicates that fingerprints
+are too coarse for.
+
+At similarity 0.8 about ten of a SimHash's 64 bits differ; anchors that wide would each hold most of all texts. So
+``simhash.deduplicate`` confirms by whole sets what anchors bring together, and completes it here: a text's 120
+min-hashes are taken in 24 bands of five, and two texts of similarity s share a band with probability
+1 - (1 - s^5)^24: 0.9999 at 0.8, and more above. Candidate pairs are confirmed by the whole sets, unless confirmed
+pairs connect them already: first each text of a bucket with the bucket's least, then those that are still apart. So
+a cluster of near copies costs in proportion to its size; only texts that share a band without being connected are
+compared with each other, inside tasks: a block of a bucket's texts is held and the bucket streams past it.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ SEED, SHINGLE, LEAST = 42, 5, 0.8
 BANDS, ROWS = 24, 5
 #: Shingles that are hashed 120 times at once.
 AT_ONCE = 512
-#: Texts that one task compares with another; more are dealt out, that one being copied.
-MOST_OTHERS = 20_000
+#: Texts that one task compares with another; more are dealt out, that one being copied. Texts that a task holds to
+#: compare a bucket's others with; of larger buckets several tasks hold a part each.
+MOST_OTHERS, MOST_HELD = 20_000, 2_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -114,52 +118,71 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least:
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def links(classes: DataFrame, docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Edges (a, b) of keys that connect what the candidate pairs of similarity ``least`` or more connect.
+def confirmed_within(apart: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST, most_held: int = MOST_HELD) -> DataFrame:
+    """Edges (a, b) of keys that connect what is similar within the buckets of ``apart`` (bucket, key, root; roots say what
+    is connected already). Texts: (key, text). Pairs are compared inside tasks and never become rows."""
+    parts = apart.groupBy("bucket").agg(F.ceil(F.count("*") / most_held).cast("long").alias("parts"))
+    rows = apart.join(parts, "bucket").withColumn("home", F.pmod(F.xxhash64("key"), "parts"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.withColumn("kind", F.when(F.col("home") == F.col("part"), 0).otherwise(1)).join(texts, "key")
+    rows = rows.select("bucket", "part", "kind", "key", "root", "text").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind", "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: tuple = ()
+        held: list[tuple[int, int, np.ndarray]] = []
+        over: dict[int, int] = {}  # a root that has been connected to another one here
+
+        def find(x: int) -> int:
+            while x in over:
+                x = over[x]
+            return x
+
+        for batch in batches:
+            for part, found in common.text_slices(batch, "text"):
+                a, b = [], []
+                for bucket, block, kind, key, root, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "part", "kind", "key", "root")), found):
+                    if (bucket, block) != place:
+                        place, held, over = (bucket, block), [], {}
+                    own = np.unique(shingles(words_of(text), shingle))
+                    for other, root_other, theirs in held:
+                        # a pair of two blocks is compared in the block of its lesser key
+                        if (kind == 0 or other < key) and (x := find(root)) != (y := find(root_other)) and similarity(own, theirs, least) >= least - 1e-9:
+                            over[max(x, y)] = min(x, y)
+                            a.append(key)
+                            b.append(other)
+                    if kind == 0:
+                        held.append((key, root, own))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    ``classes`` has a row per key (key, bands). Both are read more than once: hand over stored tables.
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def links(classes: DataFrame, texts: DataFrame, known: DataFrame | None = None, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Edges (a, b) of keys that connect what the candidate pairs of similarity ``least`` or more connect, with the
+    ``known`` ones among them.
+
+    ``classes`` has a row per key (key, bands), ``texts`` (key, text) those that share a bucket. All are read more than
+    once: hand over stored tables.
     """
     bucket = Window.partitionBy("bucket")
     members = classes.select("key", F.explode("bands").alias("bucket"))
     members = members.withColumns({"pivot": F.min("key").over(bucket), "most": F.max("key").over(bucket)}).filter("pivot <> most").drop("most")
     members = common.cut(members, "members")
-    texts = with_key(docs.select(F.col(text_col).alias("text")), "text", "key")
-    texts = common.cut(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
-    first = common.cut(members.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    edges = common.cut(confirmed(first, texts, shingle, least), "links")
-    roots = common.cut(connected_components(edges), "roots")
+    edges = known if known is not None else common.cut(classes.sparkSession.createDataFrame([], "a long, b long"), "links")
+
+    def roots_of(edges: DataFrame) -> DataFrame:
+        return common.cut(connected_components(edges), "roots")
+
+    first = members.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    if known is not None:  # what is connected needs no comparison
+        roots = roots_of(known)
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        first = first.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("not coalesce(root_a, a) = coalesce(root_b, b)").select("a", "b")
+    edges = common.cut(edges.union(confirmed(common.cut(first, "pairs"), texts, shingle, least)), "links")
+    roots = roots_of(edges)
     # what the least of a bucket doesn't connect is compared among itself
     apart = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "pivot", F.coalesce("root", "key").alias("root"))
     apart = apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).filter("low <> high and key <> pivot")
-    apart = common.cut(apart.select("bucket", "key", "root"), "apart")
-    other = apart.select("bucket", F.col("key").alias("b"), F.col("root").alias("other"))
-    second = apart.join(other, "bucket").filter("key < b and root <> other").select(F.col("key").alias("a"), "b").distinct()
-    return edges.union(common.cut(confirmed(common.cut(second, "pairs"), texts, shingle, least), "links"))
-
-
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of similar texts one row, whole and with the input's columns: that of the least id.
-
-    Texts of equal words are alike, null and empty ones too. Ids compare before keys, null ids last. Rows of equal id
-    and words are one; which of them stays is open. ``docs`` is read more than once: hand over a stored table.
-    """
-    names = docs.columns
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in common.text_slices(batch, "text"):
-                words = [words_of(x) for x in texts]
-                keys = np.array([key_of(x) for x in words], dtype=np.uint64).view(np.int64)
-                bands = pa.array([bands_of(shingles(x, shingle)) for x in words], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), bands], names=["doc_id", "key", "bands"])
-
-    marked = rows.mapInArrow(make, f"doc_id {common.sql_type(rows, 'doc_id')}, key long, bands array<long>")
-    classes = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"), F.first("bands").alias("bands"))
-    classes = common.cut(classes, "classes")
-    roots = common.cut(connected_components(links(classes, docs, text_col, shingle, least)), "roots")
-    classes = classes.join(roots, classes["key"] == roots["node"], "left").select("least", F.coalesce("root", "key").alias("root"))
-    stay = classes.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.none").alias("w_none"), F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
-    data = with_key(docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col)}), "__text", "__key").withColumn("__none", F.col("__id").isNull())
-    same = (F.col("__none") == F.col("w_none")) & F.col("__id").eqNullSafe(F.col("w_id")) & (F.col("__key") == F.col("w_key"))
-    return data.join(stay, same, "left_semi").dropDuplicates(["__none", "__id", "__key"]).select(*names)
+    # without the least, and what it has connected, there may be nothing left to compare
+    apart = apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).filter("low <> high")
+    return edges.union(common.cut(confirmed_within(common.cut(apart.select("bucket", "key", "root"), "apart"), texts, shingle, least), "links"))

@@ -21,10 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, resemblance
 from .components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
@@ -37,6 +38,16 @@ FEW_HOMES = 256
 PAIRS_AT_ONCE = 1_000_000
 
 
+def bits_of(data: bytes) -> int:
+    """The fingerprint of hashes of eight bytes each: a bit is 1 if it is in over half of them (none: 0)."""
+    n = len(data) // 8
+    bits = np.zeros(64, dtype=np.int64)
+    for a in range(0, n, 65_536):
+        rows = np.frombuffer(data, np.uint8)[8 * a : 8 * (a + 65_536)].reshape(-1, 8)
+        bits += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a whole text (null: empty).
 
@@ -45,18 +56,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if it is in over half of the shingles' XXH64 (seed 42).
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
     digest = xxhash.xxh64_digest
-    data = b"".join([digest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)))])
-    n = len(data) // 8
-    bits = np.zeros(64, dtype=np.int64)
-    for a in range(0, n, 65_536):
-        rows = np.frombuffer(data, np.uint8)[8 * a : 8 * (a + 65_536)].reshape(-1, 8)
-        bits += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
+    return bits_of(b"".join([digest(b" ".join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)))]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,32 +276,65 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each near-duplicate component one row, whole and with the input's columns: that of the least id.
+def with_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with __file and __row (long), which tell every row from all others and are the same at each reading: where
+    it lies in its file. What doesn't come straight from files is stored first."""
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").cast("long").alias("__row")]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return common.cut(docs, "documents").select("*", *place)
 
-    Ids compare before fingerprints, null ids last. Rows of equal id and fingerprint are one; which of them stays
-    is open. ``docs`` is read twice: hand over a stored table.
+
+def deduplicate(docs: DataFrame, shingle: int = resemblance.SHINGLE, least: float = resemblance.LEAST, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of similar texts one row, whole and with the input's columns: that of the least id.
+
+    Two texts are similar whose sets of ``shingle`` words have a Jaccard similarity of ``least`` or more; texts of equal
+    words are alike, null and empty ones too. Fingerprints of those shingles go to anchors, and what differs there in
+    at most ``threshold`` bits is confirmed by the whole sets; pairs that no anchor can bring together are found by
+    min-hash bands (``resemblance``), where what anchors have connected is passed over. Ids compare before words,
+    null ids last, and of rows equal in both that stays which lies first in its file. The row that stays is known by
+    its place, so however often an id or a text occurs, nothing gathers at it. ``docs`` is read three times.
     """
     names = docs.columns
-    data = docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col)})
-    schema = data.drop("__text").schema.add("__fp", "long")
+    docs = with_place(docs)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "__file", "__row")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x) for _, texts in common.text_slices(batch, "__text") for x in texts]
-            keep = [c for c in batch.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[*keep, "__fp"])
-
-    key = ["__none", "__id", "__fp"]
-    marked = data.mapInArrow(make, schema).withColumn("__none", F.col("__id").isNull())
-    ids = common.cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least"))
-    classes = common.cut(classes, "classes")
-    roots = common.cut(connected_components(links(classes, threshold)), "roots")
-    classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    stay = classes.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.none").alias("w_none"), F.col("w.doc_id").alias("w_id"), F.col("w.fp").alias("w_fp"))
-    same = (F.col("__none") == F.col("w_none")) & F.col("__id").eqNullSafe(F.col("w_id")) & (F.col("__fp") == F.col("w_fp"))
-    return marked.join(stay, same, "left_semi").dropDuplicates(key).select(*names)
+            for part, texts in common.text_slices(batch, "text"):
+                words = [resemblance.words_of(x) for x in texts]
+                hashes = [resemblance.shingles(x, shingle) for x in words]
+                keys, fps = ([f(x) for x in own] for f, own in ((resemblance.key_of, words), (lambda h: bits_of(h.astype(">u8").tobytes()), hashes)))
+                columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, fps)]
+                bands = pa.array([resemblance.bands_of(h) for h in hashes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "__file", "__row")), *columns, bands], names=["doc_id", "file", "row", "key", "fp", "bands"])
+
+    kind = common.sql_type(rows, "doc_id")
+    marked = rows.mapInArrow(make, f"doc_id {kind}, file long, row long, key long, fp long, bands array<long>")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "file", "row")
+    classes = common.cut(marked.groupBy("key").agg(F.min(first).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+
+    # fingerprints that anchors connect, as pairs of texts: each with the least of its fingerprint, and these with each other
+    heads = common.cut(classes.groupBy("fp").agg(F.min("key").alias("head")), "heads")
+    same = classes.join(heads, "fp").filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    near = links(heads.select("fp"), threshold)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("head_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("head_b")), "b")
+    pairs = common.cut(same.union(near.select("head_a", "head_b")).distinct(), "pairs")
+
+    # whole texts are fetched only of those that meet another one
+    shared = classes.select("key", F.explode("bands").alias("bucket"))
+    shared = shared.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").select("key")
+    wanted = shared.union(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    wanted = common.cut(classes.join(wanted, "key", "left_semi").select("key", "least.file", "least.row"), "wanted")
+    texts = common.cut(rows.join(wanted, (F.col("__file") == F.col("file")) & (F.col("__row") == F.col("row"))).select("key", "text"), "texts")
+
+    edges = common.cut(resemblance.confirmed(pairs, texts, shingle, least), "links")
+    roots = common.cut(connected_components(resemblance.links(classes.select("key", "bands"), texts, edges, shingle, least)), "roots")
+    named = classes.select("key", "least").join(roots, classes["key"] == roots["node"], "left").select("least", F.coalesce("root", "key").alias("root"))
+    stay = named.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.file").alias("__stay_file"), F.col("w.row").alias("__stay_row"))
+    kept = docs.join(stay, (F.col("__file") == F.col("__stay_file")) & (F.col("__row") == F.col("__stay_row")), "left_semi")
+    return kept.select(*names)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,6 @@ def test_near_duplicates_of_a_whole_table(spark):
     near = classes([fps[i] for i in ids], lambda x, y: (x ^ y).bit_count() <= 2)
     want = {i: (f"{fps[i]:016x}", ids[c]) for i, c in zip(ids, near)}
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()} == want
-    kept = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
-    assert kept == {c for _, c in want.values()}
 
 
 def test_deduplicate_odd_rows(spark):

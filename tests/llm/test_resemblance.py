@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from cadenza.llm import resemblance
+from cadenza.llm import resemblance, simhash
 
 from .cases import documents
 
@@ -57,15 +58,16 @@ def test_pipeline_links_edited_copies(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(brute_kept(texts))
 
 
-def test_texts_apart_from_the_least_of_their_bucket_still_meet(spark, monkeypatch):
+@pytest.mark.parametrize("most_held", [2_000, 3])
+def test_texts_apart_from_the_least_of_their_bucket_still_meet(spark, monkeypatch, most_held):
     # every text in one bucket, whose least is unlike all: the others are linked all the same
     monkeypatch.setattr(resemblance, "MOST_OTHERS", 2)
+    monkeypatch.setattr(resemblance.confirmed_within, "__defaults__", (resemblance.SHINGLE, resemblance.LEAST, most_held))
     texts = edited(np.random.default_rng(6), 4)
     keys = [resemblance.key_of(resemblance.words_of(t)) for t in texts]
     keys = [k - (1 << 64) if k >> 63 else k for k in keys]
-    docs = documents(spark, list(enumerate(texts)))
     classes = spark.createDataFrame([(k, [7]) for k in keys], "key long, bands array<long>")
-    edges = resemblance.links(classes, docs).collect()
+    edges = resemblance.links(classes, spark.createDataFrame([*zip(keys, texts)], "key long, text string")).collect()
     root = {k: k for k in keys}
 
     def find(k):
@@ -80,8 +82,22 @@ def test_texts_apart_from_the_least_of_their_bucket_still_meet(spark, monkeypatc
 
 def test_odd_rows(spark):
     docs = documents(spark)
-    kept = [(r["doc_id"], r["text"]) for r in resemblance.deduplicate(docs).select("doc_id", "text").collect()]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).select("doc_id", "text").collect()]
     given = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert len(set(kept)) == len(kept) and set(kept) <= set(given)
     assert len(kept) == len(brute_kept([t for _, t in given]))
-    assert resemblance.deduplicate(documents(spark, [])).collect() == []
+    assert simhash.deduplicate(documents(spark, [])).collect() == []
+
+
+def test_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [rows[i][0] for i in sorted(brute_kept([t for _, t in rows]))]
+
+
+def test_repeated_rows_of_one_id(spark):
+    many = spark.range(2_000).selectExpr("7L as doc_id", "'the same words again and again in every row' as text", "id % 3 as other")
+    kept = simhash.deduplicate(many.union(spark.sql("select 8L, 'something else', 0L"))).collect()
+    assert sorted(r["doc_id"] for r in kept) == [7, 8]
