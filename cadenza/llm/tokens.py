@@ -11,11 +11,9 @@ from __future__ import annotations
 
 import os
 import re
-import sys
+import struct
 from collections.abc import Callable
 
-import numpy as np
-
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The word vocabulary's pieces and normalizer (fixed values), and the characters for which Python's lower case is
@@ -29,9 +27,9 @@ UNIT = re.compile(r"\s*\S+|\s+")
 #: White space to Python but not to the library (fixed values): texts with these are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Bytes that a generation of remembered units may take, and the longest unit that is remembered.
-MOST_BYTES, LONGEST_UNIT = 80_000_000, 100
-#: Bytes of a dictionary's entry beside its key and value, about.
-ENTRY = 100
+MOST_BYTES, LONGEST_UNIT = 100_000_000, 100
+#: Bytes of an entry beside the characters of its key and the ids of its value, about.
+ENTRY = 200
 
 
 def public_path(name: str) -> str:
@@ -71,12 +69,12 @@ class Remembered(dict):
             self.older = dict(self)
             self.clear()
             self.held = 0
-        self.held += ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
+        self.held += ENTRY + len(key) + len(value)
         self[key] = value
 
 
 def as_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_symbols() -> list[str]:
@@ -118,24 +116,25 @@ class UnitEncoder:
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = known_pieces(self.tokenizer, byte_level)
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
-        self.pieces = Remembered(self.encode_piece)
-        self.units = Remembered(self.encode_unit)
-
-    def encode_piece(self, piece: str) -> bytes:
-        shown = piece if piece.isalnum() and piece.isascii() else "".join([self.symbols[b] for b in piece.encode("utf-8", "surrogatepass")])
-        return as_bytes([t.id for t in self.model.tokenize(shown)])
+        self.units = Remembered(self.encode_unit)  # pieces too: a piece is a unit of itself
 
     def encode_whole(self, text: str) -> bytes:
         return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode_unit(self, unit: str) -> bytes:
-        if self.pattern is None or NOT_SIMPLE.search(unit):
+        if self.pattern is None or not (unit.isascii() or NOT_SIMPLE.search(unit) is None):
             return self.encode_whole(unit)
-        if not self.byte_level:
-            unit = unit.lower()
-        if unit.isalpha():
-            return self.pieces[unit]
-        return b"".join([self.pieces[p] for p in self.pattern.findall(unit)])
+        plain = unit if self.byte_level else unit.lower()
+        if not plain.isalpha():
+            pieces = self.pattern.findall(plain)
+            if len(pieces) != 1 or pieces[0] != unit:
+                return b"".join([self.units[p] for p in pieces])
+        elif plain != unit:
+            return self.units[plain]
+        # a piece: its bytes as the vocabulary writes them go to the model
+        if not unit.isascii() or not unit.isalnum():
+            unit = "".join([self.symbols[b] for b in unit.encode("utf-8", "surrogatepass")])
+        return as_bytes([t.id for t in self.model.tokenize(unit)])
 
     def must_be_whole(self, text: str) -> bool:
         return ("<|" in text and any(s in text for s in self.specials)) or any(c in text for c in ODD_SPACE)
