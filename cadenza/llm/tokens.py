@@ -24,6 +24,8 @@ NOT_SIMPLE = re.compile("[^\x00-\x1b\x20-\x7e\xa0-į‐-‧€]")
 #: A word with the white space before it, or the white space at a text's end. Byte-level pre-tokenizers cut before
 #: white space that follows a word, whatever stands before and after.
 UNIT = re.compile(r"\s*\S+|\s+")
+#: Single marks that end words: pieces of their own.
+MARKS = (".", ",", ";", ":", "!", "?")
 #: White space to Python but not to the library (fixed values): texts with these are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Bytes that a generation of remembered units may take, and the longest unit that is remembered.
@@ -125,14 +127,20 @@ class UnitEncoder:
         if self.pattern is None or not (unit.isascii() or NOT_SIMPLE.search(unit) is None):
             return self.encode_whole(unit)
         plain = unit if self.byte_level else unit.lower()
-        if not plain.isalpha():
+        letters = plain[1:] if self.byte_level and plain[0] == " " else plain
+        if letters.isalpha():
+            if plain != unit:
+                return self.units[plain]
+        elif letters[-1:] in MARKS and letters[:-1].isalpha():
+            return self.units[plain[:-1]] + self.units[plain[-1]]
+        else:
             pieces = self.pattern.findall(plain)
             if len(pieces) != 1 or pieces[0] != unit:
                 return b"".join([self.units[p] for p in pieces])
-        elif plain != unit:
-            return self.units[plain]
         # a piece: its bytes as the vocabulary writes them go to the model
-        if not unit.isascii() or not unit.isalnum():
+        if letters.isalpha() and unit.isascii():
+            unit = unit if letters is plain else self.symbols[32] + letters
+        else:
             unit = "".join([self.symbols[b] for b in unit.encode("utf-8", "surrogatepass")])
         return as_bytes([t.id for t in self.model.tokenize(unit)])
 
