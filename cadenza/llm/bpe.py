@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 #: Bytes of distinct words that are merged at once; bounds the arrays and the index.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 2_000_000
 #: Bytes of remembered words in each of two generations.
-MOST_BYTES = 50_000_000
+MOST_BYTES = 90_000_000
 
 
 def merge_order(position: np.ndarray, follows: np.ndarray) -> np.ndarray:
