@@ -23,7 +23,7 @@ from . import common
 from .labelled import held_out, labelled_sample
 
 #: Labelled documents of each class to learn from, and pieces of them that make a dictionary, whatever the input's size.
-PER_CLASS, PIECES = 4_000, 6_000
+PER_CLASS, PIECES = 8_000, 12_000
 DICTIONARY_BYTES, LEVEL, PIECE = 65_536, 3, 2_000
 REJECT_BELOW = 0.3
 RIDGE = 1.0
