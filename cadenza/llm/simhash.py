@@ -36,6 +36,8 @@ MOST_HOMES, MOST_SPLIT_ANCHORS = 20_000, 10_000
 #: Homes up to which visitors are compared with each; above it their neighbours are looked up instead.
 FEW_HOMES = 256
 PAIRS_AT_ONCE = 1_000_000
+#: Places of texts (16 bytes and a key each) that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def bits_of(data: bytes) -> int:
@@ -286,7 +288,7 @@ def with_place(docs: DataFrame) -> DataFrame:
         return common.cut(docs, "documents").select("*", *place)
 
 
-def deduplicate(docs: DataFrame, shingle: int = resemblance.SHINGLE, least: float = resemblance.LEAST, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = resemblance.SHINGLE, least: float = resemblance.LEAST, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Of each component of similar texts one row, whole and with the input's columns: that of the least id.
 
     Two texts are similar whose sets of ``shingle`` words have a Jaccard similarity of ``least`` or more; texts of equal
@@ -327,6 +329,7 @@ def deduplicate(docs: DataFrame, shingle: int = resemblance.SHINGLE, least: floa
     shared = shared.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").select("key")
     wanted = shared.union(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
     wanted = common.cut(classes.join(wanted, "key", "left_semi").select("key", "least.file", "least.row"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
     texts = common.cut(rows.join(wanted, (F.col("__file") == F.col("file")) & (F.col("__row") == F.col("row"))).select("key", "text"), "texts")
 
     edges = common.cut(resemblance.confirmed(pairs, texts, shingle, least), "links")

@@ -99,5 +99,6 @@ def test_a_whole_table(spark):
 
 def test_repeated_rows_of_one_id(spark):
     many = spark.range(2_000).selectExpr("7L as doc_id", "'the same words again and again in every row' as text", "id % 3 as other")
-    kept = simhash.deduplicate(many.union(spark.sql("select 8L, 'something else', 0L"))).collect()
-    assert sorted(r["doc_id"] for r in kept) == [7, 8]
+    for most in (0, simhash.MOST_BROADCAST):
+        kept = simhash.deduplicate(many.union(spark.sql("select 8L, 'something else', 0L union all select 9L, 'something else', 0L")), most_broadcast=most).collect()
+        assert sorted(r["doc_id"] for r in kept) == [7, 8]
