@@ -195,10 +195,13 @@ def crop_drags(spark, sf_dir):
     least = (L(0.1), L(0.15))
     free, mirrored, scaled = (f(crop, handle, dx, dy, *least) for f in (rules.dragged_crop, rules.mirrored_crop, rules.scaled_crop))
     locked, moved = rules.centred_scaled_crop(crop, k % 41 / 40, s / 50, *least), rules.moved_crop(crop, dx, dy)
-    columns = [spot["x"].alias("at_x"), spot["y"].alias("at_y")]
-    for name, x in (("free", free), ("mirrored", mirrored), ("scaled", scaled), ("locked", locked), ("moved", moved)):
-        columns += _fields(x, **{f"{name}_x": "x", f"{name}_y": "y", f"{name}_w": "width", f"{name}_h": "height"})
-    return _parts(spark, sf_dir).select("p_partkey", *columns, rules.crop_field(k % 900, L(600)).alias("side"), rules.ratio_field(k % 200).alias("ratio"))
+    modes = {"free": free, "mirrored": mirrored, "scaled": scaled, "locked": locked, "moved": moved}
+    # each crop is made once, then taken apart
+    parts = _parts(spark, sf_dir).withColumns(modes | {"spot": spot})
+    columns = [F.col("spot.x").alias("at_x"), F.col("spot.y").alias("at_y")]
+    for name in modes:
+        columns += _fields(F.col(name), **{f"{name}_x": "x", f"{name}_y": "y", f"{name}_w": "width", f"{name}_h": "height"})
+    return parts.select("p_partkey", *columns, rules.crop_field(k % 900, L(600)).alias("side"), rules.ratio_field(k % 200).alias("ratio"))
 
 
 DRAGS_SQL = f"""with {P_SQL}, d as (select *, [0e0, 0.5e0, 1e0, 0e0, 0.5e0, 1e0, 0e0, 0.5e0, 1e0][k % 9 + 1] as hx, [0e0, 0e0, 0e0, 0.5e0, 0.5e0, 0.5e0, 1e0, 1e0, 1e0][k % 9 + 1] as hy,
