@@ -7,7 +7,9 @@ min-hashes are taken in 24 bands of five, and two texts of similarity s share a
 1 - (1 - s^5)^24: 0.9999 at 0.8, and more above. Candidate pairs are confirmed by the whole sets, unless confirmed
 pairs connect them already: first each text of a bucket with the bucket's least, then those that are still apart. So
 a cluster of near copies costs in proportion to its size; only texts that share a band without being connected are
-compared with each other, inside tasks: a block of a bucket's texts is held and the bucket streams past it.
+compared with each other, inside a task that holds them. Where these are very many (texts that share a passage, say),
+they meet again in their rarest shingles alone, of which two texts at the threshold share one: what they all have in
+common brings none of them together.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ BANDS, ROWS = 24, 5
 #: Shingles that are hashed 120 times at once.
 AT_ONCE = 512
 #: Texts that one task compares with another; more are dealt out, that one being copied. Texts that a task holds to
-#: compare a bucket's others with; of larger buckets several tasks hold a part each.
+#: compare a bucket's others with; larger buckets are taken apart by their texts' rarest shingles, and only where those
+#: too are shared by more, several tasks hold a part each.
 MOST_OTHERS, MOST_HELD = 20_000, 2_000
 
 
@@ -157,32 +160,75 @@ def confirmed_within(apart: DataFrame, texts: DataFrame, shingle: int = SHINGLE,
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def links(classes: DataFrame, texts: DataFrame, known: DataFrame | None = None, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Edges (a, b) of keys that connect what the candidate pairs of similarity ``least`` or more connect, with the
-    ``known`` ones among them.
+def crowded(members: DataFrame) -> DataFrame:
+    """Of ``members`` (bucket, key: rows distinct) those of buckets with more than one, with ``pivot``, the bucket's least
+    key. Least keys and counts are combined before the shuffle, and a large bucket's rows can be split in the join."""
+    some = members.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    return members.join(some, "bucket")
 
-    ``classes`` has a row per key (key, bands), ``texts`` (key, text) those that share a bucket. All are read more than
-    once: hand over stored tables.
-    """
-    bucket = Window.partitionBy("bucket")
-    members = classes.select("key", F.explode("bands").alias("bucket"))
-    members = members.withColumns({"pivot": F.min("key").over(bucket), "most": F.max("key").over(bucket)}).filter("pivot <> most").drop("most")
-    members = common.cut(members, "members")
-    edges = known if known is not None else common.cut(classes.sparkSession.createDataFrame([], "a long, b long"), "links")
 
-    def roots_of(edges: DataFrame) -> DataFrame:
-        return common.cut(connected_components(edges), "roots")
+def still_apart(members: DataFrame) -> DataFrame:
+    """Of ``members`` (bucket, key, root) those of buckets with more than one root."""
+    some = members.groupBy("bucket").agg(F.min("root").alias("__low"), F.max("root").alias("__high")).filter("__low <> __high").select("bucket")
+    return members.join(some, "bucket", "left_semi")
+
 
+def by_pivots(members: DataFrame, texts: DataFrame, edges: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with what connects members (bucket, key, pivot: a stored table) to their buckets' pivots, and the members
+    (bucket, key, root) that no edge connects with all others of their bucket, pivots left out."""
+    roots, path = common.stored(connected_components(edges), "roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     first = members.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    if known is not None:  # what is connected needs no comparison
-        roots = roots_of(known)
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        first = first.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("not coalesce(root_a, a) = coalesce(root_b, b)").select("a", "b")
-    edges = common.cut(edges.union(confirmed(common.cut(first, "pairs"), texts, shingle, least)), "links")
-    roots = roots_of(edges)
-    # what the least of a bucket doesn't connect is compared among itself
-    apart = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "pivot", F.coalesce("root", "key").alias("root"))
-    apart = apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).filter("low <> high and key <> pivot")
+    # what is connected needs no comparison
+    first = first.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("not coalesce(root_a, a) = coalesce(root_b, b)").select("a", "b")
+    first, pairs = common.stored(first, "pairs")
+    edges = common.cut(edges.union(confirmed(first, texts, shingle, least)), "links")
+    for done in (path, pairs):
+        common.remove(done)
+    roots = common.cut(connected_components(edges), "roots")
+    found = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "pivot", F.coalesce("root", "key").alias("root"))
     # without the least, and what it has connected, there may be nothing left to compare
-    apart = apart.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).filter("low <> high")
-    return edges.union(common.cut(confirmed_within(common.cut(apart.select("bucket", "key", "root"), "apart"), texts, shingle, least), "links"))
+    apart = still_apart(still_apart(found).filter("key <> pivot").drop("pivot"))
+    return edges, common.cut(apart, "apart")
+
+
+def rare_members(apart: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(bucket, key): the rarest shingles of each of the keys of ``apart``, as many as two texts of similarity ``least``
+    can't both do without: each such pair meets in one of them. Rare is what few of these texts hold."""
+    keys = apart.select("key").distinct()
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in common.text_slices(batch, "text"):
+                for key, text in zip(part.column("key").to_pylist(), found):
+                    own = np.unique(shingles(words_of(text), shingle)).view(np.int64)
+                    rank = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(np.full(len(own), rank)), pa.array(own)], names=["key", "most", "bucket"])
+
+    rows = common.cut(texts.join(keys, "key", "left_semi").mapInArrow(explode, "key long, most long, bucket long"), "shingles")
+    often = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    known = rows.join(often, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "bucket"))  # a text's shingles
+    return known.withColumn("rank", rank).filter("rank <= most and n > 1").select("bucket", "key")
+
+
+def links(members: DataFrame, texts: DataFrame, known: DataFrame | None = None, shingle: int = SHINGLE, least: float = LEAST, most_held: int = MOST_HELD) -> DataFrame:
+    """Edges (a, b) of keys that connect what the candidate pairs of similarity ``least`` or more connect, with the
+    ``known`` ones among them.
+
+    ``members`` (bucket, key, pivot: see ``crowded``) has a row per key and band, ``texts`` (key, text) those that share
+    a bucket. All are read more than once: hand over stored tables. Buckets of which more than ``most_held`` texts stay
+    apart aren't compared whole: their texts meet again in their rarest shingles.
+    """
+    edges = known if known is not None else common.cut(members.sparkSession.createDataFrame([], "a long, b long"), "links")
+    edges, apart = by_pivots(members, texts, edges, shingle, least)
+    sizes = apart.groupBy("bucket").agg((F.count("*") > most_held).alias("large"))
+    sized = apart.join(sizes, "bucket")
+    found = common.cut(confirmed_within(sized.filter("not large").drop("large"), texts, shingle, least, most_held), "links")
+    edges = edges.union(found)
+    large = sized.filter("large").select("bucket", "key")
+    if large.isEmpty():
+        return edges
+    rare = common.cut(crowded(rare_members(large, texts, shingle, least)), "members")
+    edges, apart = by_pivots(rare, texts, common.cut(edges, "links"), shingle, least)
+    return edges.union(common.cut(confirmed_within(apart, texts, shingle, least, most_held), "links"))

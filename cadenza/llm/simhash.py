@@ -325,15 +325,14 @@ def deduplicate(docs: DataFrame, shingle: int = resemblance.SHINGLE, least: floa
     pairs = common.cut(same.union(near.select("head_a", "head_b")).distinct(), "pairs")
 
     # whole texts are fetched only of those that meet another one
-    shared = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = shared.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").select("key")
-    wanted = shared.union(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    members = common.cut(resemblance.crowded(classes.select(F.explode("bands").alias("bucket"), "key")), "members")
+    wanted = members.select("key").union(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
     wanted = common.cut(classes.join(wanted, "key", "left_semi").select("key", "least.file", "least.row"), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
     texts = common.cut(rows.join(wanted, (F.col("__file") == F.col("file")) & (F.col("__row") == F.col("row"))).select("key", "text"), "texts")
 
     edges = common.cut(resemblance.confirmed(pairs, texts, shingle, least), "links")
-    roots = common.cut(connected_components(resemblance.links(classes.select("key", "bands"), texts, edges, shingle, least)), "roots")
+    roots = common.cut(connected_components(resemblance.links(members, texts, edges, shingle, least)), "roots")
     named = classes.select("key", "least").join(roots, classes["key"] == roots["node"], "left").select("least", F.coalesce("root", "key").alias("root"))
     stay = named.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.file").alias("__stay_file"), F.col("w.row").alias("__stay_row"))
     kept = docs.join(stay, (F.col("__file") == F.col("__stay_file")) & (F.col("__row") == F.col("__stay_row")), "left_semi")

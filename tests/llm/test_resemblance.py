@@ -62,12 +62,11 @@ def test_pipeline_links_edited_copies(spark, tmp_path):
 def test_texts_apart_from_the_least_of_their_bucket_still_meet(spark, monkeypatch, most_held):
     # every text in one bucket, whose least is unlike all: the others are linked all the same
     monkeypatch.setattr(resemblance, "MOST_OTHERS", 2)
-    monkeypatch.setattr(resemblance.confirmed_within, "__defaults__", (resemblance.SHINGLE, resemblance.LEAST, most_held))
     texts = edited(np.random.default_rng(6), 4)
     keys = [resemblance.key_of(resemblance.words_of(t)) for t in texts]
     keys = [k - (1 << 64) if k >> 63 else k for k in keys]
-    classes = spark.createDataFrame([(k, [7]) for k in keys], "key long, bands array<long>")
-    edges = resemblance.links(classes, spark.createDataFrame([*zip(keys, texts)], "key long, text string")).collect()
+    members = resemblance.crowded(spark.createDataFrame([(7, k) for k in keys], "bucket long, key long"))
+    edges = resemblance.links(members, spark.createDataFrame([*zip(keys, texts)], "key long, text string"), most_held=most_held).collect()
     root = {k: k for k in keys}
 
     def find(k):
@@ -80,6 +79,24 @@ def test_texts_apart_from_the_least_of_their_bucket_still_meet(spark, monkeypatc
     assert len({find(k) for k in keys}) == len(brute_kept(texts))
 
 
+def test_many_unlike_texts_of_one_bucket_are_no_copies(spark, monkeypatch):
+    # a passage that all share brings them into one bucket; all but a few are unlike each other
+    rng = np.random.default_rng(7)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 40)) for _ in range(5_000)]
+    near = {k: k + 2500 for k in range(10, 100, 10)}
+    for k, other in near.items():
+        texts[other] = texts[k] + " another end"
+    rows = []
+    whole = resemblance.confirmed_within
+    monkeypatch.setattr(resemblance, "confirmed_within", lambda apart, *more: rows.append(apart.count()) or whole(apart, *more))
+    members = resemblance.crowded(spark.createDataFrame([(7, k) for k in range(len(texts))], "bucket long, key long"))
+    table = spark.createDataFrame([*enumerate(texts)], "key long, text string")
+    edges = resemblance.links(members, table, most_held=500).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in edges} == set(near.items())
+    assert sum(rows) < 100  # beside them only each text with the bucket's least
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).select("doc_id", "text").collect()]
