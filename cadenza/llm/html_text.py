@@ -56,12 +56,23 @@ DISPLAYS = frozenset(
     "none block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group table-header-group"
     " table-footer-group table-column table-column-group table-caption list-item contents flow-root run-in ruby initial inherit unset revert".split()
 )
-COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)((?:\[[\w-]+(?:=(?:\"[^\"\s]*\"|'[^'\s]*'|[\w-]+))?\])*)")
+#: Those that begin and end lines, and those that don't (fixed values); others leave it to the tag.
+BLOCK_DISPLAYS = frozenset("block flex grid table table-row table-caption table-row-group table-header-group table-footer-group list-item flow-root".split())
+INLINE_DISPLAYS = frozenset("inline inline-block inline-flex inline-grid inline-table contents ruby run-in".split())
+#: Inputs that show their value as a label (fixed values).
+LABELLED = frozenset("submit button reset".split())
+#: The screen that conditions of media queries are held against.
+SCREEN = {"width": 1280.0, "height": 800.0}
+FEATURES = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover", "pointer": "fine"}
+FEATURE = re.compile(r"\(\s*(?:(min|max)-)?([a-z-]+)\s*(?::\s*([^)]*?)\s*)?\)")
+_SIMPLE = r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)((?:\[[\w-]+(?:=(?:\"[^\"\s]*\"|'[^'\s]*'|[\w-]+))?\])*)"
+COMPOUND = re.compile(_SIMPLE + r"((?::not\([^()\s]+\))*)")
+NOT = re.compile(r":not\(([^()\s]+)\)")
 BRACES = re.compile("[{}]")
 PART, ATTRIBUTE = re.compile(r"[.#][\w-]+"), re.compile(r"\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]")
-#: A column is as wide as its widest cell, unless the table would take over so many times the room of the column's
-#: text (and of as many characters a row): then as the widest cell that keeps to that; longer ones push the rest of
-#: their line only. The same goes for empty fields.
+#: Default of the parameter ``blowup``: a column is as wide as its widest cell, unless the table would take over so many
+#: times the room of the column's text (and of as many characters a row): then as the widest cell that keeps to that;
+#: longer ones push the rest of their line only. The same goes for empty fields. No text is lost; it bounds padding.
 BLOWUP, MOST_SPAN = 64, 1000
 
 
@@ -157,15 +168,32 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def condition_met(least_most: str, name: str, value: str) -> bool:
+    """Whether SCREEN meets a media feature; unknown ones aren't met."""
+    if name in SCREEN:
+        m = re.fullmatch(r"(\d*\.?\d+)\s*(px|em|rem)?", value)
+        if not value:
+            return True
+        if not m:
+            return False
+        size = float(m[1]) * (1 if m[2] in (None, "px") else 16)
+        return SCREEN[name] >= size if least_most == "min" else SCREEN[name] <= size if least_most == "max" else SCREEN[name] == size
+    return not least_most and name in FEATURES and value in ("", FEATURES[name])
+
+
 def on_screen(media: str | None) -> bool:
-    """Whether a style element's media queries include a screen; conditions on its size and the like are taken as met."""
-    queries = [q.split() for q in (media or "").lower().split(",")]
-    if queries == [[]]:
+    """Whether media queries, of a style element or an at-rule, include SCREEN."""
+    queries = (media or "").lower().split(",")
+    if not "".join(queries).strip():
         return True
-    for words in queries:
+    for query in queries:
+        words = FEATURE.sub(" ", query).split()
         negated = words[:1] == ["not"]
-        kind = next((w for w in words if w not in ("not", "only")), "")
-        if kind and (kind in ("all", "screen") or kind.startswith("(")) != negated:
+        kinds = [w for w in words if w not in ("not", "only", "and")]
+        if not query.strip() or len(kinds) > 1:
+            continue
+        met = kinds in ([], ["all"], ["screen"]) and all(condition_met(*(x or "" for x in m)) for m in FEATURE.findall(query)) and "(" not in FEATURE.sub(" ", query)
+        if met != negated:
             return True
     return False
 
@@ -186,8 +214,8 @@ def declarations(body: str) -> dict[str, tuple[str, bool]]:
 
 
 def style_rules(css: str) -> Iterator[tuple[str, str]]:
-    """(selectors, declarations) of a sheet without comments, in order. Of at-rules only those for screens without a
-    further condition are read."""
+    """(selectors, declarations) of a sheet without comments, in order. Of at-rules only media queries that SCREEN meets are
+    read."""
     at, end = 0, len(css)
     while at < end:
         opens, stops = css.find("{", at), css.find(";", at)
@@ -211,15 +239,15 @@ def style_rules(css: str) -> Iterator[tuple[str, str]]:
                 break
         else:
             closes = end
-        if prelude[:6].lower() == "@media" and "(" not in prelude and on_screen(prelude[6:]):
+        if prelude[:6].lower() == "@media" and on_screen(prelude[6:]):
             yield from style_rules(css[opens + 1 : closes - (not depth)])
         at = closes
 
 
 class Compound:
-    """A part of a selector: a tag, classes, an id and attributes that one element must have."""
+    """A part of a selector: a tag, classes, an id and attributes that one element must have, and others it must not."""
 
-    __slots__ = ("attributes", "classes", "id", "tag")
+    __slots__ = ("attributes", "classes", "id", "nots", "tag")
 
     def __init__(self, m: re.Match):
         parts = PART.findall(m[2])
@@ -227,25 +255,27 @@ class Compound:
         self.classes = frozenset(x[1:] for x in parts if x[0] == ".")
         self.id = frozenset(x[1:] for x in parts if x[0] == "#")
         self.attributes = [(k.lower(), v) for k, v in ATTRIBUTE.findall(m[3])]
+        self.nots = [Compound(x) for x in map(COMPOUND.fullmatch, NOT.findall(m[4])) if x]
 
     def weight(self) -> tuple[int, int, int]:
-        return len(self.id), len(self.classes) + len(self.attributes), bool(self.tag)
+        own = len(self.id), len(self.classes) + len(self.attributes), int(bool(self.tag))
+        return tuple(map(sum, zip(own, *(x.weight() for x in self.nots))))
 
     def fits(self, node: Node) -> bool:
         a = node.attrs
         if (self.tag and self.tag != node.tag) or (self.id and self.id != {a.get("id")}) or (self.classes and not self.classes <= set((a.get("class") or "").split())):
             return False
-        return all(k in a and (not v or v == a[k]) for k, v in self.attributes)
+        return all(k in a and (not v or v == a[k]) for k, v in self.attributes) and not any(x.fits(node) for x in self.nots)
 
 
 def parse_selector(selector: str) -> list[tuple[Compound, str]] | None:
     """Compounds from the right, each with what joins it to the one before (a space or >); none if it isn't of
-    tags, classes, ids and plain attributes."""
+    tags, classes, ids, plain attributes and :not() of one of these."""
     parts, joint = [], " "
     for token in selector.replace(">", " > ").split():
         if token == ">":
             joint = ">"
-        elif (m := COMPOUND.fullmatch(token)) and token:
+        elif (m := COMPOUND.fullmatch(token)) and token and all(map(COMPOUND.fullmatch, NOT.findall(m[4]))):
             parts.append((Compound(m), joint))
             joint = " "
         else:
@@ -277,7 +307,7 @@ class Styles:
                     last = parts[0][0]
                     weight = tuple(map(sum, zip(*(c.weight() for c, _ in parts))))
                     key = "#" + min(last.id) if last.id else "." + min(last.classes) if last.classes else last.tag
-                    alone = len(parts) == 1 and not last.attributes
+                    alone = len(parts) == 1 and not last.attributes and not any(x.attributes for x in last.nots)
                     self.index.setdefault(key, []).append((parts, alone, {k: ((important, 0, weight, order), value) for k, (value, important) in said.items()}))
 
     def _found(self, node: Node) -> tuple[list, list]:
@@ -315,18 +345,19 @@ class Styles:
         return {k: value for k, (_, value) in best.items()}
 
 
-def appearance(path: list[Node], styles: Styles, visible: bool, foreign: int) -> tuple[bool, bool]:
-    """Whether the last element of a path is laid out, and whether its own text is visible."""
+def appearance(path: list[Node], styles: Styles, visible: bool, foreign: int) -> tuple[bool, bool, str]:
+    """Whether the last element of a path is laid out, whether its own text is visible, and the display that is set for it
+    (initial, too, if none is)."""
     node = path[-1]
     a = node.attrs
     if node.tag in UNSEEN or (foreign and node.tag in UNSEEN_FOREIGN):
-        return False, False
+        return False, False, "none"
     said = styles.of(path) if styles.index or "style" in a else {}
     display = said.get("display", "initial")
     if display == "none" or (display in ("initial", "revert") and "display" not in said or display == "revert") and ("hidden" in a or (node.tag == "dialog" and "open" not in a)):
-        return False, False
+        return False, False, "none"
     value = said.get("visibility", "inherit")
-    return True, visible if value in ("inherit", "unset", "revert") else value in ("visible", "initial")
+    return True, visible if value in ("inherit", "unset", "revert") else value in ("visible", "initial"), "inline" if display in ("initial", "unset") and "display" in said else display
 
 
 class Flow:
@@ -394,8 +425,8 @@ def shown_width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of (lines, columns spanned, rows spanned) in columns."""
+def table_lines(rows: list[list[tuple[list[str], int, int]]], blowup: int = BLOWUP) -> list[str]:
+    """Rows of (lines, columns spanned, rows spanned) in columns (``blowup``: see BLOWUP)."""
     grid: list[list[tuple[int, int, list[str]]]] = []  # per row: first column, the one after the last, lines
     taken: list[list[int]] = []  # [first column, the one after the last, row after the last], by first column
     for r, row in enumerate(rows):
@@ -422,9 +453,9 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     starts = sorted({a for placed in grid for a, _, _ in placed})
     number = {a: i for i, a in enumerate(starts)}
     cells = [[(number[a], bisect_left(starts, b), lines) for a, b, lines in placed] for placed in grid]
-    width = column_widths(cells, len(starts))
+    width = column_widths(cells, len(starts), blowup)
     room = [0, *accumulate(width)]
-    sparse = len(starts) * len(rows) > BLOWUP * (sum(map(len, cells)) + len(rows))
+    sparse = len(starts) * len(rows) > blowup * (sum(map(len, cells)) + len(rows))
     out = []
     for placed in cells:
         filled = [a for a, _, lines in placed if any(lines)]
@@ -445,14 +476,32 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     return out
 
 
-def column_widths(cells: list[list[tuple[int, int, list[str]]]], columns: int) -> list[int]:
-    """Each column's width, from the cells that span it alone (see BLOWUP)."""
+def column_widths(cells: list[list[tuple[int, int, list[str]]]], columns: int, blowup: int) -> list[int]:
+    """Each column's width, from the cells that span it alone; a cell that spans several and has no room in them widens
+    the last (see BLOWUP)."""
     found: list[list[int]] = [[] for _ in range(columns)]
+    wide = []
     for placed in cells:
         for a, b, lines in placed:
+            w = max(map(shown_width, lines), default=0)
             if b == a + 1:
-                found[a].append(max(map(shown_width, lines), default=0))
-    return [next((w for w in sorted(own, reverse=True) if w * len(cells) <= BLOWUP * (sum(own) + len(cells))), 0) for own in found]
+                found[a].append(w)
+            elif b > a:
+                wide.append((b, a, w))
+    fits = lambda w, own: w * len(cells) <= blowup * (own + len(cells))
+    width = [next((w for w in sorted(own, reverse=True) if fits(w, sum(own))), 0) for own in found]
+    wide.sort()
+    room, k = [0], 0  # of the columns before each, which no later cell widens
+    for c in range(columns):
+        own = sum(found[c])
+        while k < len(wide) and wide[k][0] == c + 1:
+            _, a, w = wide[k]
+            need = w - (room[c] - room[a]) - 3 * (c - a)
+            if need > width[c] and fits(need, own + w):
+                width[c] = need
+            k += 1
+        room.append(room[c] + width[c])
+    return width
 
 
 def number_of(text: str | None, none: int, most: int) -> int:
@@ -462,17 +511,42 @@ def number_of(text: str | None, none: int, most: int) -> int:
         return none
 
 
-def render(root: Node, styles: list[str]) -> str:
+def list_number(n: int, kind: str | None) -> str:
+    """A number as an ordered list of a ``type`` writes it."""
+    if kind in ("a", "A") and n > 0:
+        letters = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            letters = chr(ord(kind) + k) + letters
+        return letters
+    if kind in ("i", "I") and 0 < n < 4000:
+        digits = ""
+        for k, (one, five, ten) in enumerate(("ivx", "xlc", "cdm", "m  ")):
+            d = n // 10**k % 10
+            digits = (one * d if d < 4 else one + five if d == 4 else five + one * (d - 5) if d < 9 else one + ten) + digits
+        return digits if kind == "i" else digits.upper()
+    return str(n)
+
+
+def opened_list(node: Node) -> list:
+    """[is it ordered, its first number, the step, its type]."""
+    items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+    down = node.tag == "ol" and "reversed" in node.attrs
+    return [node.tag == "ol", number_of(node.attrs.get("start"), items if down else 1, 10**9), -1 if down else 1, node.attrs.get("type")]
+
+
+def render(root: Node, styles: list[str], blowup: int = BLOWUP) -> str:
     """The visible text of a tree."""
     sheet = Styles(styles)
     flow, flows = Flow(), []
     tables: list[list] = []  # open tables: their rows
-    lists: list[list] = []  # open lists: is it ordered, the next number, the indent outside
+    lists: list[list] = []  # open lists: is it ordered, the next number, the step, the type
     kept = 0  # open elements whose white space stays
     todo: list[tuple[Node | str, bool, bool]] = [(root, True, True)]  # with whether text is visible
     path: list[Node] = []  # the open elements
     foreign = 0  # those of them that are pictures or formulas
     inner_indents: list[str] = []
+    shapes: list[tuple[bool, bool]] = []  # of the open elements: whether lines begin and end there, whether it is a list's item
     while todo:
         node, enters, visible = todo.pop()
         if isinstance(node, str):
@@ -483,7 +557,7 @@ def render(root: Node, styles: list[str]) -> str:
         tag = node.tag
         if enters:
             path.append(node)
-            laid_out, visible = appearance(path, sheet, visible, foreign)
+            laid_out, visible, display = appearance(path, sheet, visible, foreign)
             if not laid_out or tag in VOID:
                 path.pop()
             if not laid_out:
@@ -494,8 +568,13 @@ def render(root: Node, styles: list[str]) -> str:
             if tag == "hr":
                 flow.block(2)
                 continue
+            if tag == "input" and visible and (node.attrs.get("type") or "").lower() in LABELLED:
+                flow.text(node.attrs.get("value") or "", False)
             if tag in VOID:
                 continue
+            block = display in BLOCK_DISPLAYS or tag in BLOCKS and display not in INLINE_DISPLAYS
+            item = display == "list-item" and tag not in ("table", "tr") or tag == "li" and display not in INLINE_DISPLAYS and display not in BLOCK_DISPLAYS
+            shapes.append((block, item))
             todo.append((node, False, visible))
             foreign += tag in ("svg", "math")
             children = node.children
@@ -508,19 +587,19 @@ def render(root: Node, styles: list[str]) -> str:
                 flows.append(flow)
                 flow = Flow()
                 continue
-            if tag in BLOCKS:
+            if block:
                 flow.block(2 if tag in APART and not (tag in ("ul", "ol", "menu") and lists) else 1)
             if tag in ("pre", "textarea", "listing"):
                 kept += 1
             elif tag in ("ul", "ol", "menu"):
-                lists.append([tag == "ol", number_of(node.attrs.get("start"), 1, 10**9)])
-            elif tag == "li":
+                lists.append(opened_list(node))
+            elif item:
                 inner_indents.append(flow.indent)
-                depth = lists[-1] if lists else [False, 1]
-                if depth[0]:
+                depth = lists[-1] if lists else [False, 1, 1, None]
+                if depth[0] and tag == "li":
                     depth[1] = number_of(node.attrs.get("value"), depth[1], 10**9)
-                    flow.marker = f"{depth[1]}. "
-                    depth[1] += 1
+                    flow.marker = f"{list_number(depth[1], node.attrs.get('type') or depth[3])}. "
+                    depth[1] += depth[2]
                 else:
                     flow.marker = "- "
                 if not visible:
@@ -535,6 +614,7 @@ def render(root: Node, styles: list[str]) -> str:
             continue
         # the element ends
         path.pop()
+        block, item = shapes.pop()
         foreign -= tag in ("svg", "math")
         if foreign and tag == "text":
             flow.block(1)
@@ -546,36 +626,36 @@ def render(root: Node, styles: list[str]) -> str:
             rows[-1].append((lines, max(1, number_of(node.attrs.get("colspan"), 1, MOST_SPAN)), max(1, number_of(node.attrs.get("rowspan"), 1, 65_534))))
         elif tag == "table":
             rows = tables.pop()[0]
-            flow.block_lines(table_lines(rows))
+            flow.block_lines(table_lines(rows, blowup))
             flow.block(2)
-        elif tag in BLOCKS:
+        elif block:
             flow.block(2 if tag in APART and not (tag in ("ul", "ol", "menu") and len(lists) > 1) else 1)
         if tag in ("pre", "textarea", "listing"):
             kept -= 1
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
-        elif tag in ("li", "dd", "blockquote"):
+        elif item or tag in ("dd", "blockquote"):
             flow.indent, flow.marker = inner_indents.pop(), ""
     return "\n".join(flow.done())
 
 
-def visible_text(html: str) -> str:
+def visible_text(html: str, blowup: int = BLOWUP) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return render(builder.root, builder.styles)
+    return render(builder.root, builder.styles, blowup)
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", blowup: int = BLOWUP) -> DataFrame:
     """The id and ``text`` of every page, one row per input row; other columns are left behind. Null and empty pages
-    have an empty text; a null id stays null. Pages are independent: no shuffle, and a task holds one at a time
+    have an empty text; a null id stays null. ``blowup`` bounds the padding of a table's columns by their text (BLOWUP). Pages are independent: no shuffle, and a task holds one at a time
     beside its batch."""
     rows = pages.select(F.col(id_col), F.col(html_col).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, htmls in common.text_slices(batch, "__html"):
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([visible_text(x) for x in htmls], pa.string())], names=[id_col, "text"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([visible_text(x, blowup) for x in htmls], pa.string())], names=[id_col, "text"])
 
     return rows.mapInArrow(run, f"{id_col} {common.sql_type(rows, id_col)}, text string")
 

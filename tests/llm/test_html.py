@@ -1,4 +1,5 @@
 import html
+import random
 import re
 import time
 
@@ -78,6 +79,69 @@ def test_cascade(source, want):
     assert visible_text(source) == want
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ('<span style="display:block">a</span><span style="display:block">b</span>', "a\nb"),
+        ("<style>.r{display:flex}</style>x<i class=r>a</i>y", "x\na\ny"),
+        ("<ul><li style='display:inline'>a<li style='display:inline'>b</ul>", "ab"),
+        ("<ul><li style='display:block'>a<li>b</ul>", "a\n- b"),
+        ("<div style='display:inline'>a</div><div style='display:inline'>b</div>", "ab"),
+        ("<div style='display:inline-block'>a</div> <div style='display:contents'>b</div>", "a b"),
+        ("<b style='display:list-item'>a</b><b style='display:list-item'>b</b>", "- a\n- b"),
+        ("<table style='display:list-item'><tr style='display:list-item'><td>a<td>b<tr><td>c</table>", "a | b\nc"),
+        ("x<input type=submit value=go>y<input type=BUTTON value='a b'><input type=reset><input type=text value=no><input type=hidden value=no>", "xgoya b"),
+        ("<p hidden>a<input type=submit value=go></p>b", "b"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol reversed start=10><li>a<li value=4>b<li>c</ol>", "10. a\n4. b\n3. c"),
+        ("<ol type=a start=26><li>a<li>b</ol><ol type=I start=1989><li>c<li type=i>d</ol>", "z. a\naa. b\n\nMCMLXXXIX. c\nmcmxc. d"),
+        ("<style>p:not(.x){display:none}</style><p>a<p class=x>b", "b"),
+        ("<style>p:not(.x):not(#y) > b:not([k]){display:none} p.x:not(b) {visibility:hidden}</style><p>a<b>c</b><b k>d</b><p class=x>b", "ad"),
+        ("<style>@media (max-width: 600px){p{display:none}} @media (min-width: 40em) and (orientation: landscape){i{display:none}}</style><p>a</p><i>b</i>", "a"),
+        ("<style media='(max-width: 600px)'>p{display:none}</style><style media='(min-width: 40em), print'>i{display:none}</style><p>a</p><i>b</i>", "a"),
+        ("<style>@media (prefers-color-scheme: dark){p{display:none}} @media screen and (some-day){p{display:none}} @media not print{b{display:none}}</style><p>a<b>b", "a"),
+    ],
+)
+def test_display_lists_and_media(source, want):
+    assert html_text.visible_text(source) == want
+
+
+def test_tables_against_a_grid_of_squares():
+    """Rows of cells put square by square; a cell's text must begin at one place in all lines for each first column."""
+    rng = random.Random(11)
+    for _ in range(200):
+        rows, taken, texts = [], set(), {}
+        source, n = "<table>", 0
+        height = rng.randint(1, 5)
+        for r in range(height):
+            source += "<tr>"
+            column = 0
+            for _ in range(rng.randint(1, 4)):
+                while (r, column) in taken:
+                    column += 1
+                wide, tall = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2])
+                texts[n] = (r, column)
+                source += f"<td colspan={wide} rowspan={tall}>c{n}q{'x' * rng.randint(0, 9)}"
+                taken |= {(r + i, column + k) for i in range(tall) for k in range(wide)}
+                column += wide
+                n += 1
+        places: dict[int, set[int]] = {}
+        lines = html_text.visible_text(source + "</table>").split("\n")
+        assert len(lines) == height
+        for k, (r, column) in texts.items():
+            places.setdefault(column, set()).add(lines[r].index(f"c{k}q"))
+        assert all(len(x) == 1 for x in places.values())
+        starts = [min(places[c]) for c in sorted(places)]
+        assert starts == sorted(set(starts))
+
+
+def test_blowup_is_a_parameter():
+    source = "<table>" + "<tr><td>a<td>b" * 50 + f"<tr><td>{'x' * 3000}<td>c</table>"
+    near, far = (html_text.visible_text(source, k).split("\n") for k in (1, 10_000))
+    assert near[0] == "a | b" and far[0] == "a" + " " * 2999 + " | b"
+    assert near[-1] == far[-1] == "x" * 3000 + " | c"
+
+
 def test_many_rules_and_wide_spans():
     began = time.process_time()
     rules = "".join(f".c{i}{{display:none}}" for i in range(3_000))
