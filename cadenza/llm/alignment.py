@@ -5,9 +5,9 @@ encoding proto for the other. Where a token's span ends and the next begins ther
 one character (bytes of a character, byte-fallback tokens) have no cut between them; the bytes that they decode to
 place them. Positions where tokens of both end cut a text into groups.
 
-Neither tokenizer merges across a cut before white space that follows something else (checked against the
-vocabulary), so a text is the sum of its units, a word with the white space before it, and each distinct unit is
-encoded and aligned once in a while per worker. A block is some million characters of one task's rows. Its links are
+Neither tokenizer merges across a cut before white space that follows something else, or before a mark that follows a
+letter (checked against the vocabulary), so a text is the sum of its units, a word with the white space before it,
+and each distinct unit is encoded and aligned once in a while per worker. A block is some million characters of one task's rows. Its links are
 counted per distinct pair before the shuffle; the corpus-wide counts come back to a block by a join, and only numbers
 per pair, never texts, move.
 """
@@ -35,46 +35,38 @@ ROW_CHARS = 100
 MOST_UNITS, AT_ONCE = 250_000, 1_000_000
 #: White space as the byte-level pre-tokenizer sees it (fixed value).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and marks between which neither tokenizer merges.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-@\\[-`{-~"
 #: Counts of a unit or document.
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 #: What stands for a unit that a tokenizer doesn't give back byte by byte.
 BAD = (0, 0, 0, 0, None, b"")
 
 
-def token_ends(spans: list[tuple[int, int]], pieces: list[bytes], data: bytes) -> list[int] | None:
-    """Where tokens end in ``data``, by their coarse byte spans, refined by their bytes; None if their joined bytes differ
-    from ``data``. A token with an empty span, or one that overlaps the next, has no cut after it."""
-    if b"".join(pieces) != data:
-        return None
-    ends, first, before = [], 0, 0
-    for k, (start, end) in enumerate(spans):
-        if k + 1 < len(spans) and (start == end or end > spans[k + 1][0]):
-            continue
-        if k > first:  # no cut between these: their bytes tell
-            for piece in pieces[first:k]:
-                before += len(piece)
-                ends.append(before)
-        if before + len(pieces[k]) != end:  # a span that the bytes don't bear out
-            return [*itertools.accumulate(map(len, pieces))]
-        before = end
-        ends.append(end)
-        first = k + 1
-    return ends
-
-
-def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """For two lists of ends over the same bytes: (tokens of A, tokens of B) before each common end, and the overlapping
-    pairs of token numbers."""
-    i = j = 0
-    cuts, links = [], []
-    while i < len(a_ends) and j < len(b_ends):
-        links.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        i += a <= b
-        j += b <= a
-        if a == b:
-            cuts.append((i, j))
-    return cuts, links
+def token_ends(start: np.ndarray, end: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where tokens end, of texts that lie end to end. Coarse spans (bytes) cut where a token's ends and the next begins
+    there; tokens whose spans are empty or overlap the next have no cut after them, and the ``size`` of what they decode
+    to places them between the cuts. ``first`` says which tokens begin a text. Cuts that the sizes don't bear out don't
+    count: sizes alone are right where they add up to the text."""
+    n = len(size)
+    known = np.cumsum(size)
+    if not n:
+        return known
+    last = np.append(first[1:], True)
+    cut = last | (start != end) & (end <= np.append(start[1:], 0))
+    place = np.maximum.accumulate(np.where(cut, np.arange(n), -1))
+    before = np.concatenate([[-1], place[:-1]])  # the last cut before a token
+    at_cut = np.where(before >= 0, end[before], 0)
+    refined = at_cut + known - np.where(before >= 0, known[before], 0)
+    ends = np.where(cut, end, refined)
+    return ends if (ends == known).all() else known
+
+
+def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ascending ends over the same bytes: every end of either, and the numbers of the A and the B token that hold the
+    bytes before it. Each such pair overlaps, each overlapping pair is one of them; where both end, that is a cut."""
+    every = np.union1d(a_ends, b_ends)
+    return every, np.searchsorted(a_ends, every), np.searchsorted(b_ends, every)
 
 
 class PairAligner:
@@ -91,46 +83,76 @@ class PairAligner:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        # white space that some piece has after something else is no place for a cut
-        joined = "".join(sorted({m for p in pieces if not re.fullmatch("<0x..>", p) for m in re.findall(f"(?<=[^{SPACE}])[{SPACE}]", p.replace("▁", " "))}))
-        if " " in joined or "\n" in joined or any("\n" in p for p in pieces):
+        self.a_size = np.zeros(1 + max(self.a_bytes), dtype=np.int64)
+        self.a_size[[*self.a_bytes]] = [*map(len, self.a_bytes.values())]
+        self.b_size = np.array([*map(len, self.b_bytes)], dtype=np.int64)
+        # where some piece has white space after something else, or a mark after a letter, is no place for a cut
+        plain = [p.replace("▁", " ") for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        joined = "".join(sorted({m for p in plain for m in re.findall(f"(?<=[^{SPACE}])[{SPACE}]", p)}))
+        if " " in joined or "\n" in joined or any("\n" in p or re.search(f"[{LETTERS}][{MARKS}]", p) for p in plain):
             raise ValueError("the model's pieces go beyond words")
         more = f"(?:[{re.escape(joined)}][{SPACE}]*(?:[^{SPACE}]+|\\Z))*" if joined else ""
-        self.unit = re.compile(f"[{SPACE}]*[^{SPACE}]+{more}|[{SPACE}]+")
+        self.unit = re.compile(f"[{SPACE}]*[{LETTERS}]+(?=[{MARKS}])|[{SPACE}]*[^{SPACE}]+{more}|[{SPACE}]+")
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
+    def tokens_of(self, units: list[str], texts: bytes, sizes: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        """A's and B's tokens of the units, which lie end to end in ``texts``: ids, the units' numbers, and the coarse spans
+        (starts, ends) in bytes."""
+        at = np.cumsum(sizes) - sizes
+        ours = self.a.encode_batch(units, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(x.ids for x in ours), np.int64)
+        unit = np.repeat(np.arange(len(units)), [len(x) for x in ours])
+        spans = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(x.offsets for x in ours)), np.int64).reshape(-1, 2)
+        letters = np.append(np.flatnonzero((np.frombuffer(texts, np.uint8) & 0xC0) != 0x80), len(texts))  # where characters begin
+        first = np.cumsum([0, *map(len, units[:-1])])[unit]
+        a = ids, unit, letters[first + spans[:, 0]], letters[first + spans[:, 1]]
+
+        # B writes a space before a text unless that is empty; nothing merges with a line's end
+        spaced = np.array([u[0] == " " != u for u in units])
+        theirs = self.b.encode([u[1:] if own else "\n" + u for u, own in zip(units, spaced.tolist())], num_threads=1, return_type="proto")
+        found = [x.pieces for x in theirs]
+        flat = np.array([v for x in found for p in x for v in (p.id, p.begin, p.end)], dtype=np.int64).reshape(-1, 3)
+        counts = np.array([*map(len, found)])
+        unit = np.repeat(np.arange(len(units)), counts)
+        number = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own = spaced[unit]
+        start = flat[:, 1] + np.where(own, number > 0, -1) + at[unit]
+        end = flat[:, 2] + np.where(own, 1, -1) + at[unit]
+        kept = own | (number > 1)
+        return a, (flat[kept, 0], unit[kept], start[kept], end[kept])
+
     def align_units(self, units: list[str]) -> list[tuple]:
         """For each unit: n_a, n_b, n_groups, n_links, its groups as ``a1,a2|b1;...`` and its links as pairs of ids
         (little-endian u64: A's id in the upper half); ``BAD`` where a tokenizer's bytes aren't the unit's."""
-        found = []
-        # B writes a space before a text unless that is empty; nothing merges with a line's end
-        spaced = [u[0] == " " != u for u in units]
-        theirs = [u[1:] if own else "\n" + u for u, own in zip(units, spaced)]
-        both = zip(units, spaced, self.a.encode_batch(units, add_special_tokens=False), self.b.encode(theirs, num_threads=1, return_type="proto"))
-        for unit, own_space, ours, other in both:
-            data = unit.encode()
-            spans = ours.offsets
-            if len(data) != len(unit):
-                at = [0, *itertools.accumulate(len(c.encode()) for c in unit)]
-                spans = [(at[s], at[e]) for s, e in spans]
-            a_ids = ours.ids
-            a_ends = token_ends(spans, [self.a_bytes[i] for i in a_ids], data)
-            pieces = [(p.id, p.begin, p.end) for p in other.pieces]
-            if own_space:
-                spans = [(s + (k > 0), e + 1) for k, (_, s, e) in enumerate(pieces)]
-            else:
-                pieces = pieces[2:]
-                spans = [(s - 1, e - 1) for _, s, e in pieces]
-            b_ids = [p[0] for p in pieces]
-            b_ends = token_ends(spans, [self.b_bytes[i] for i in b_ids], data)
-            if a_ends is None or b_ends is None:
-                found.append(BAD)
-                continue
-            cuts, links = align(a_ends, b_ends)
-            groups = [",".join(map(str, a_ids[i:k])) + "|" + ",".join(map(str, b_ids[j:m])) for (i, j), (k, m) in zip([(0, 0), *cuts], cuts)]
-            pairs = np.array([a_ids[i] << 32 | b_ids[j] for i, j in links], dtype="<u8").tobytes()
-            found.append((len(a_ids), len(b_ids), len(groups), len(links), ";".join(groups).encode(), pairs))
+        data = [u.encode() for u in units]
+        sizes = np.array([*map(len, data)])
+        both = self.tokens_of(units, b"".join(data), sizes)
+        good = np.ones(len(units), dtype=bool)
+        for (ids, unit, _, _), of in zip(both, (self.a_bytes, self.b_bytes)):
+            pieces = [*map(of.__getitem__, ids.tolist())]
+            if b"".join(pieces) != b"".join(data) or (np.bincount(unit, [*map(len, pieces)], len(units)) != sizes).any():
+                cuts = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
+                good &= [b"".join(pieces[x:y]) == d for x, y, d in zip(cuts, cuts[1:], data)]
+        if not good.all():  # the others alone
+            some = iter(self.align_units([u for u, ok in zip(units, good) if ok]) if good.any() else ())
+            return [next(some) if ok else BAD for ok in good]
+        (a_ids, a_unit, *a_spans), (b_ids, b_unit, *b_spans) = both
+        begins = lambda unit: np.append(True, unit[1:] != unit[:-1])[: len(unit)]
+        a_ends = token_ends(*a_spans, self.a_size[a_ids], begins(a_unit))
+        b_ends = token_ends(*b_spans, self.b_size[b_ids], begins(b_unit))
+        every, a_at, b_at = align(a_ends, b_ends)
+        pairs = (a_ids[a_at] << 32 | b_ids[b_at]).astype("<u8").tobytes()
+        cut = (a_ends[a_at] == every) & (b_ends[b_at] == every)
+        ends = np.cumsum(sizes)
+        links = np.searchsorted(every, ends, side="right")  # up to the end of each unit
+        groups = np.cumsum(cut)[links - 1]
+        a_text, b_text = [*map(str, a_ids.tolist())], [*map(str, b_ids.tolist())]
+        i, j = ([0, *(x[cut] + 1).tolist()] for x in (a_at, b_at))
+        parts = [",".join(a_text[p:q]) + "|" + ",".join(b_text[r:t]) for p, q, r, t in zip(i, i[1:], j, j[1:])]
+        found, n_a, n_b = [], np.bincount(a_unit, minlength=len(units)).tolist(), np.bincount(b_unit, minlength=len(units)).tolist()
+        for a, b, g, h, k, m in zip(n_a, n_b, [0, *groups[:-1].tolist()], groups.tolist(), [0, *links[:-1].tolist()], links.tolist()):
+            found.append((a, b, h - g, m - k, ";".join(parts[g:h]).encode(), pairs[8 * k : 8 * m]))
         return found
 
     def __call__(self, units: list[str]) -> list[tuple]:

@@ -3,6 +3,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from cadenza.llm import alignment, tokens
@@ -76,13 +77,17 @@ def test_units_give_what_whole_texts_give():
 
 
 def test_spans_are_refined_by_bytes():
-    ends = alignment.token_ends
-    assert ends([(0, 1), (1, 4), (1, 4)], [b"a", "丂".encode()[:2], "丂".encode()[2:]], "a丂".encode()) == [1, 3, 4]
-    assert ends([(0, 1), (1, 1), (1, 1), (1, 4)], [b"a", b"\xe4", b"\xb8", b"\x82"], "a丂".encode()) == [1, 2, 3, 4]
-    assert ends([(0, 2), (2, 3)], [b"a", b"bc"], b"abc") == [1, 3]  # spans that the bytes don't bear out
-    assert ends([(0, 3)], [b"abd"], b"abc") is None
-    assert ends([], [], b"") == []
-    assert alignment.align([1, 3, 4], [2, 4]) == ([(3, 2)], [(0, 0), (1, 0), (1, 1), (2, 1)])
+    def ends(spans, sizes, first=(0,)):
+        starts = [k in first for k in range(len(sizes))]
+        return alignment.token_ends(*(np.array([x[k] for x in spans], dtype=np.int64) for k in (0, 1)), np.array(sizes, dtype=np.int64), np.array(starts, dtype=bool)).tolist()
+
+    assert ends([(0, 1), (1, 4), (1, 4)], [1, 2, 1]) == [1, 3, 4]  # a and two tokens of one character
+    assert ends([(0, 1), (1, 1), (1, 1), (1, 4)], [1, 1, 1, 1]) == [1, 2, 3, 4]  # bytes of a character
+    assert ends([(0, 1), (1, 4), (1, 4), (4, 5), (5, 8), (5, 8)], [1, 2, 1, 1, 1, 2], (0, 3)) == [1, 3, 4, 5, 6, 8]  # two texts
+    assert ends([(0, 2), (2, 3)], [1, 2]) == [1, 3]  # spans that the bytes don't bear out
+    assert ends([], []) == []
+    every, a, b = alignment.align(np.array([1, 3, 4]), np.array([2, 4]))
+    assert every.tolist() == [1, 2, 3, 4] and [*zip(a.tolist(), b.tolist())] == [(0, 0), (1, 0), (1, 1), (2, 1)]
 
 
 @pytest.mark.parametrize("block", [alignment.BLOCK_CHARS, 500])
