@@ -105,21 +105,25 @@ def digest(picture: np.ndarray) -> str:
     return hashlib.sha256(f"{w}x{h}".encode() + picture.tobytes()).hexdigest()
 
 
-def pixel_rows(frames: DataFrame) -> DataFrame:
-    """A row per pixel: clip_id, frame_index, x, y, r, g, b, a (int). A null picture has none."""
-    kinds = [pa.int32()] * 6
+def pixel_rows(frames: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row per pixel: clip_id, frame_index, x, y, r, g, b, a and what the columns ``more`` (binary, a byte a pixel) have
+    for it (int). A null picture has none."""
+    names = [*"xyrgba", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (w, h, rgba) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgba")))):
+            for i, (w, h, rgba, *others) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgba", *more)))):
                 if rgba is None:
                     continue
                 at = pa.array(np.full(w * h, i), pa.int64())
-                columns = [np.tile(np.arange(w), h), np.repeat(np.arange(h), w), *np.frombuffer(rgba, np.uint8).reshape(-1, 4).T]
-                yield pa.RecordBatch.from_arrays([batch.column("clip_id").take(at), batch.column("frame_index").take(at), *(pa.array(c.astype(np.int32), t) for c, t in zip(columns, kinds))], names=["clip_id", "frame_index", *"xyrgba"])
-
-    key = frames.select("clip_id", "frame_index", "width", "height", "rgba")
-    return key.mapInArrow(run, key.select("clip_id", "frame_index").schema.add("x", "integer").add("y", "integer").add("r", "integer").add("g", "integer").add("b", "integer").add("a", "integer"))
+                columns = [np.tile(np.arange(w), h), np.repeat(np.arange(h), w), *np.frombuffer(rgba, np.uint8).reshape(-1, 4).T, *(np.frombuffer(x, np.uint8) for x in others)]
+                yield pa.RecordBatch.from_arrays([batch.column("clip_id").take(at), batch.column("frame_index").take(at), *(pa.array(c.astype(np.int32)) for c in columns)], names=["clip_id", "frame_index", *names])
+
+    key = frames.select("clip_id", "frame_index", "width", "height", "rgba", *more)
+    schema = key.select("clip_id", "frame_index").schema
+    for c in names:
+        schema = schema.add(c, "integer")
+    return key.mapInArrow(run, schema)
 
 
 def changed_boxes(frames: DataFrame) -> DataFrame:

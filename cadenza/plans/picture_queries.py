@@ -6,11 +6,11 @@ b = 7 r mod 256 and a = 3 r mod 256. A clip is a label, its frames are ordered b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import pixels
-from cadenza.operators import estimate, frames, palette, sampling, timeline
+from cadenza.operators import estimate, frames, palette, ranges, sampling, smooth, timeline
 from cadenza.streaming import live
 
 PIXELS_SQL = """v as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as j from embeddings),
@@ -159,6 +159,43 @@ COLOURS_SQL = f"""with {PIXELS_SQL}, t(c, tr, tg, tb) as (values (0, 0, 0, 0), (
 select vec_id, x, y, cast(c as bigint) as colour from d where place = 1"""
 
 
+def smoothed_pictures(spark, sf_dir):
+    """Pictures smoothed in time at three qualities, and how important each pixel is."""
+    blurred = frames.with_blur(pictures(spark, sf_dir))
+    found = None
+    for quality in (100, 80, 40):
+        rows = frames.pixel_rows(smooth.smoothed(blurred, quality), more=("importance",)).withColumn("quality", F.lit(quality))
+        found = rows if found is None else found.union(rows)
+    return found.select(F.col("frame_index").alias("vec_id"), *(F.col(c).cast("long").alias(c) for c in ("quality", *"xyrgba", "importance")))
+
+
+#: s is the screen after each frame; everything that doesn't depend on it is in d: the limit by the pixel's turn, how many
+#: of the next four frames are like this one, and the colour typical of them.
+SMOOTHED_SQL = f"""with recursive {PIXELS_SQL}, n as (select p.*, case when o.a > 0 then o.r else p.r end as nr, case when o.a > 0 then o.g else p.g end as ng, case when o.a > 0 then o.b else p.b end as nb
+    from p, range(-1, 2) i(dx), range(-1, 2) j(dy) join p o on o.vec_id = p.vec_id and o.x = least(greatest(p.x + dx, 0), 7) and o.y = least(greatest(p.y + dy, 0), 7)),
+  m as (select vec_id, label, x, y, r, g, b, a, cast(sum(nr) // 9 as bigint) as mr, cast(sum(ng) // 9 as bigint) as mg, cast(sum(nb) // 9 as bigint) as mb from n group by all),
+  bl as (select *, case when a = 0 then 255 when 2 * (r - mr) * (r - mr) + 3 * (g - mg) * (g - mg) + (b - mb) * (b - mb) < 1536 then mr else r end as br,
+    case when a = 0 then 0 when 2 * (r - mr) * (r - mr) + 3 * (g - mg) * (g - mg) + (b - mb) * (b - mb) < 1536 then mg else g end as bg,
+    case when a = 0 then 255 when 2 * (r - mr) * (r - mr) + 3 * (g - mg) * (g - mg) + (b - mb) * (b - mb) < 1536 then mb else b end as bb from m),
+  t as (select *, row_number() over w - 1 as t, count(*) over (partition by label, x, y) as n, a >= 128 as own, {', '.join(f"lead({c}, {k}) over w as {c}{k}" for k in range(1, 5) for c in ('r', 'g', 'b', 'a', 'br', 'bg', 'bb'))}
+    from bl window w as (partition by label, x, y order by vec_id)),
+  u as (select t.*, quality, (55 - quality // 2) * (55 - quality // 2) * case when ((r // 2 > g) <> (b > 127)) <> ((t + case when t + 5 <= n then 5 else 4 end) % 2 = 1) then 1 else 2 end as lim from t, (values (100), (80), (40)) z(quality)),
+  k as (select *, {', '.join(f"coalesce(a{k} >= 128 and (2*(r{k}-r)*(r{k}-r) + 3*(g{k}-g)*(g{k}-g) + (b{k}-b)*(b{k}-b) < lim or 2*(br{k}-br)*(br{k}-br) + 3*(bg{k}-bg)*(bg{k}-bg) + (bb{k}-bb)*(bb{k}-bb) < lim), false) as l{k}" for k in range(1, 5))} from u),
+  h as (select *, case when not l1 then 0 when not l2 then 1 when not l3 then 2 when not l4 then 3 else 4 end as lasts from k),
+  d as (select label, vec_id, x, y, t, quality, own, lim, lasts, r, g, b, br, bg, bb, {', '.join(f"case lasts when 0 then {c} when 1 then ({c} + {c}1) // 2 when 2 then list_sort([{c}, {c}1, {c}2])[2] when 3 then (list_sort([{c}, {c}1, {c}2])[2] + list_sort([{c}, {c}1, {c}2])[3]) // 2 else list_sort([{c}, {c}1, {c}2])[3] end as t{c}" for c in 'rgb')} from h),
+  s as (select distinct label, x, y, quality, cast(-1 as bigint) as t, cast(0 as bigint) as sr, cast(0 as bigint) as sg, cast(0 as bigint) as sb, false as sh, cast(0 as bigint) as pr, cast(0 as bigint) as st, cast(0 as bigint) as vec_id, false as shown, cast(0 as bigint) as importance from d
+    union all select label, x, y, quality, t, case when fresh then tr else sr end, case when fresh then tg else sg end, case when fresh then tb else sb end, own and (sh or fresh),
+      cast(case when not own and sh then 0 when fresh and lasts > 0 then lasts else pr end as bigint), cast(case when stay then st + 1 when fresh and lasts > 0 then 0 else st end as bigint), vec_id, own,
+      cast(case when not own then (case when sh then 1 else 0 end)
+        when stay then (case when (lim < 300 and st < 3) or (lim >= 300 and lim < 500 and st < 2) or (lim >= 400 and lim < 900 and st < 1) then 1 else 0 end)
+          + (case when st > 0 then 0 else least(greatest(off - lim, 0) * [0, 40, 80, 100, 110][pr + 1] // (lim * 48), [0, 40, 80, 100, 110][pr + 1]) end)
+        when fresh then [10, 5, 15, 50, 50][lasts + 1] + least(greatest(off - lim, 0) * [110, 80, 190, 205, 205][lasts + 1] // (lim * 48), [110, 80, 190, 205, 205][lasts + 1]) else 0 end as bigint)
+    from (select *, own and not stay and off >= lim as fresh from (select *, own and st < pr as stay, case when not sh then 1048576 when raw < mild then raw else (raw + mild) // 2 end as off
+      from (select d.*, s.sr, s.sg, s.sb, s.sh, s.pr, s.st, 2*(s.sr-d.r)*(s.sr-d.r) + 3*(s.sg-d.g)*(s.sg-d.g) + (s.sb-d.b)*(s.sb-d.b) as raw, 2*(s.sr-d.br)*(s.sr-d.br) + 3*(s.sg-d.bg)*(s.sg-d.bg) + (s.sb-d.bb)*(s.sb-d.bb) as mild
+        from s join d on d.label = s.label and d.x = s.x and d.y = s.y and d.quality = s.quality and d.t = s.t + 1))))
+select vec_id, cast(quality as bigint) as quality, x, y, case when shown then sr else 0 end as r, case when shown then sg else 0 end as g, case when shown then sb else 0 end as b, cast(case when shown then 255 else 0 end as bigint) as a, importance from s where t >= 0"""
+
+
 # frames in time
 
 
@@ -229,15 +266,25 @@ where before is null or r >= before"""
 def preview_reuse(spark, sf_dir):
     """Each request for a range of time, and the newest finished one before it that holds the range under equal settings."""
     events = _events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type", F.col("value").alias("low"), (F.col("value") + F.col("event_id") % 50).alias("high"))
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(-20, -1)
-    return live.reusable(events, w, "event_id", "low", "high").select("event_id", "reused")
+    return ranges.newest_holding(events, ["user_id", "event_type"], ["ts", "event_id"], "event_id", "low", "high").select("event_id", "reused")
+
+
+def preview_reuse_by_type(spark, sf_dir):
+    """The same among all users' requests of one type: few keys, each with very many requests. Every seventh is for the whole clip."""
+    whole = F.col("event_id") % 7 == 0
+    events = _events(spark, sf_dir).select("event_id", "ts", "event_type", F.when(~whole, F.col("value")).alias("low"), F.when(~whole, F.col("value") + F.col("event_id") % 50).alias("high"))
+    return ranges.newest_holding(events, ["event_type"], ["ts", "event_id"], "event_id", "low", "high").select("event_id", "reused")
 
 
 REUSE_SQL = """with e as (select *, value as low, value + event_id % 50 as high, row_number() over (partition by user_id, event_type order by ts, event_id) as i from events),
   j as (select a.event_id, b.event_id as reused, row_number() over (partition by a.event_id order by b.i desc) as place from e a left join e b on b.user_id = a.user_id and b.event_type = a.event_type
-    and b.i between a.i - 20 and a.i - 1 and b.low <= a.low and a.high <= b.high)
+    and b.i < a.i and b.low <= a.low and a.high <= b.high)
 select event_id, reused from j where place = 1"""
 
+TYPE_REUSE_SQL = """with e as (select event_id, event_type, case when event_id % 7 = 0 then '-inf'::double else value end as low, case when event_id % 7 = 0 then 'inf'::double else value + event_id % 50 end as high,
+    row_number() over (partition by event_type order by ts, event_id) as i from events)
+select a.event_id, max_by(b.event_id, b.i) as reused from e a left join e b on b.event_type = a.event_type and b.i < a.i and b.low <= a.low and a.high <= b.high group by a.event_id"""
+
 
 def joint_progress(spark, sf_dir):
     """Progress of two tasks in a row, weighing 0.67 and 0.33, by each part."""
@@ -264,5 +311,7 @@ QUERIES = {
     "newest_events": (newest_events, NEWEST_SQL),
     "stale_dropped": (stale_dropped, STALE_SQL),
     "preview_reuse": (preview_reuse, REUSE_SQL),
+    "preview_reuse_by_type": (preview_reuse_by_type, TYPE_REUSE_SQL),
+    "smoothed_pictures": (smoothed_pictures, SMOOTHED_SQL),
     "joint_progress": (joint_progress, PROGRESS_SQL),
 }

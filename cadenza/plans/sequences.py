@@ -6,11 +6,11 @@ registered with the same in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import rules
-from cadenza.operators import estimate, sampling, timeline
+from cadenza.operators import estimate, sampling, scan, timeline
 from cadenza.streaming import live
 
 ORDER = ["ts", "event_id"]
@@ -69,10 +69,10 @@ select user_id, event_id, j - 1 as i, total - lag(total, 1, 0) over (partition b
 
 
 def delay_ticks_limited(spark, sf_dir):
-    """Display times with the upper limit (here 40 ticks), in turn; a row per clip."""
+    """Display times with the upper limit (here 40 ticks), by a scan in two levels; a row per clip."""
     frames = timeline.durations(_frames(spark, sf_dir), "user_id", ORDER, "p", least=10_000)
     frames = frames.withColumn("end_ticks", F.expr(f"(end + {LONG_TICK_US // 2}L) div {LONG_TICK_US}L"))
-    found = timeline.delays_in_turn(frames.select("user_id", *ORDER, "end_ticks"), "user_id", ORDER, "end_ticks", most=40)
+    found = scan.limited_delays(frames.select("user_id", *ORDER, "end_ticks"), "user_id", ORDER, "end_ticks", most=40)
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("delay").alias("ticks"), F.max("delay").alias("longest"))
 
 
@@ -159,7 +159,7 @@ def drop_unchanged(spark, sf_dir):
     """A frame changes if its value is above 20; one of type click leaves the screen empty."""
     frames = _read(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type", "value")
     frames = frames.withColumns({"changed": F.col("value") > 20, "keeps": F.col("event_type") != "click"})
-    return timeline.drop_unchanged(frames, "user_id", ORDER, "changed", "keeps").select("user_id", "event_id")
+    return scan.drop_unchanged(frames, "user_id", ORDER, "changed", "keeps").select("user_id", "event_id")
 
 
 UNCHANGED_SQL = f"""with recursive {F_SQL},
@@ -299,24 +299,23 @@ select p_partkey, w // k as w, h // k as h, least(w, 640) as w2, least(h, 360) a
 
 
 def quality_rules(spark, sf_dir):
-    """The settings that follow from each quality 1 to 100."""
-    q = spark.range(1, 101).select(F.col("id").alias("quality"))
+    """The settings that follow from a quality for each part: 1 to 100, by its size and key."""
+    parts = _read(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("quality", ((F.col("p_size") * 2 + F.col("p_partkey")) % 100 + 1).cast("long"))
     c = F.col("quality")
-    return q.select("quality", rules.colour_quality(c).alias("colour_quality"), rules.lossy_level(c).alias("lossy"), F.round(rules.dither_level(c, c), 9).alias("dither"), rules.most_colours(c, 3).alias("colours"), rules.smoothing_threshold(c).alias("threshold"))
+    return parts.select("p_partkey", "quality", rules.colour_quality(c).alias("colour_quality"), rules.lossy_level(c).alias("lossy"), F.round(rules.dither_level(c, c), 9).alias("dither"), rules.most_colours(c, 3).alias("colours"), rules.smoothing_threshold(c).alias("threshold"))
 
 
-QUALITY_SQL = """select q as quality, least(q * 4 // 3, 100) as colour_quality,
+QUALITY_SQL = """select p_partkey, q as quality, least(q * 4 // 3, 100) as colour_quality,
   case when q < 100 then cast((ceil(pow(greatest(20 - q / 5.0::double, 0), 1.8::double)) + 10) * 10 as bigint) else 0 end as lossy,
   round(least(greatest(q * (0.25::double + q * 0.75::double / 90) / 50 - 1, 0.2::double), 1.0::double), 9) as dither,
   cast(case when q < 50 then least(pow(2, ceil(log2(greatest(2 * q, 8)::double))), 256) else 256 end as bigint) as colours,
-  (55 - q // 2) * (55 - q // 2) as threshold from range(1, 101) t(q)"""
+  (55 - q // 2) * (55 - q // 2) as threshold from (select p_partkey, cast((p_size * 2 + p_partkey) % 100 + 1 as bigint) as q from part)"""
 
 
 def natural_sort(spark, sf_dir):
     """The order of the parts' names by the numbers in them, within each brand."""
     parts = _read(spark, sf_dir, "part", "p_partkey", "p_brand").withColumn("name", F.concat(F.lit("frame"), F.col("p_partkey"), F.lit(".png")))
-    w = Window.partitionBy("p_brand").orderBy(sampling.natural_key(F.col("name")))
-    return parts.select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    return scan.numbered(parts, "p_brand", [sampling.natural_key(F.col("name"))], "place").select("p_partkey", (F.col("place") + 1).alias("place"))
 
 
 NATURAL_SQL = "select p_partkey, row_number() over (partition by p_brand order by p_partkey) as place from part"

@@ -19,6 +19,76 @@ def test_published_sequences_keep_their_colours(name):
     assert weight[0, 0] > 0 or x[0, 0, 3] < 128
 
 
+def pixel_by_pixel(clip, blur, quality):
+    """One pixel's colours and importance, by lists and integers, a frame at a time."""
+    n, base = len(clip), (55 - quality // 2) ** 2
+    gap = lambda a, b: 2 * (a[0] - b[0]) ** 2 + 3 * (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2
+    screen, promised, stayed, out = None, 0, 0, []
+    for t in range(n):
+        ahead = [(clip[k][:3], blur[k]) if k < n and clip[k][3] >= 128 else None for k in range(t, t + 5)]
+        if ahead[0] is None:
+            out.append(((0, 0, 0, 0), 1 if screen else 0))
+            promised = 0 if screen else promised
+            screen = None
+            continue
+        now, soft = ahead[0]
+        pushed = t + 5 if t + 5 <= n else t + 4
+        limit = base if ((now[0] // 2 > now[1]) != (now[2] > 127)) != bool(pushed % 2) else 2 * base
+        off = 1 << 20
+        if screen:
+            a, b = gap(screen, now), gap(screen, soft)
+            off = a if a < b else (a + b) // 2
+        weigh = lambda least, most: least + min(max(off - limit, 0) * most // (limit * 48), most)
+        if stayed < promised:
+            second = limit < 300 and stayed < 3 or 300 <= limit < 500 and stayed < 2 or 400 <= limit < 900 and stayed < 1
+            out.append(((*screen, 255), weigh(int(second), 0 if stayed else [0, 40, 80, 100, 110][promised])))
+            stayed += 1
+        elif off < limit:
+            out.append(((*screen, 255), 0))
+        else:
+            lasts = 0
+            for k in range(1, 5):
+                if ahead[k] is None or not (gap(ahead[k][0], now) < limit or gap(ahead[k][1], soft) < limit):
+                    break
+                lasts = k
+            first = [sorted(x[0][c] for x in ahead[: lasts + 1][:3]) for c in range(3)]
+            middle = {0: lambda v: v[0], 1: lambda v: sum(v) // 2, 2: lambda v: v[1], 3: lambda v: (v[1] + v[2]) // 2, 4: lambda v: v[2]}[lasts]
+            screen = tuple(map(middle, first))
+            out.append(((*screen, 255), weigh(*[(10, 110), (5, 80), (15, 190), (50, 205), (50, 205)][lasts])))
+            if lasts:
+                promised, stayed = lasts, 0
+    return out
+
+
+@pytest.mark.parametrize("quality", [100, 80, 60, 40, 1])
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 6, 40])
+def test_smoothing_against_loops(quality, n):
+    rng = np.random.default_rng(n)
+    steps = rng.integers(0, 256, (8, 60, 4))
+    x = steps[np.sort(rng.integers(0, 8, (n, 60)), axis=0), np.arange(60)] + rng.integers(-9, 10, (n, 60, 4))
+    x = np.clip(x, 0, 255).astype(np.uint8)
+    x[..., 3] = np.where(rng.random((n, 60)) < 0.15, 100, 200)
+    blur = np.clip(x[..., :3].astype(int) + rng.integers(-20, 21, (n, 60, 3)), 0, 255).astype(np.uint8)
+    out, weight = smooth.smooth(x, blur, quality)
+    for k in range(60):
+        want = pixel_by_pixel([tuple(map(int, p)) for p in x[:, k]], [tuple(map(int, p)) for p in blur[:, k]], quality)
+        assert [(tuple(map(int, c)), int(w)) for c, w in zip(out[:, k], weight[:, k])] == want
+
+
+def test_smoothing_keeps_five_frames():
+    own = smooth.Smoother(10, 80)
+    rng = np.random.default_rng(0)
+    size = None
+    for t in range(300):
+        own.push(rng.integers(0, 256, (10, 4), dtype=np.uint8), rng.integers(0, 256, (10, 3), dtype=np.uint8))
+        state = own.saved()
+        assert size in (None, len(state))
+        size = len(state)
+        if t % 50 == 0:
+            own = smooth.Smoother.restored(state, 80)
+    assert len([*own.flush()]) == 4
+
+
 def random_clip(rng, n=8, w=9, h=5):
     x = np.repeat(rng.integers(0, 256, (n // 2, h, w, 4)), 2, axis=0).astype(np.uint8)
     x[..., 3] = np.where(rng.random((n, h, w)) < 0.1, 0, 255)
