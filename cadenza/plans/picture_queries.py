@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import pixels
 from cadenza.operators import estimate, frames, palette, ranges, sampling, smooth, timeline
+from cadenza.sources import gif, shared, sink, video
 from cadenza.streaming import live
 
 PIXELS_SQL = """v as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as j from embeddings),
@@ -131,6 +132,38 @@ VIDEO_SQL = f"""with {PIXELS_SQL}, c as (select p.vec_id, p.x, p.y, cast(p.r as
 select vec_id, x, y, cast(least(greatest(round_even(red, 0), 0), 255) as bigint) as r, cast(least(greatest(round_even(green, 0), 0), 255) as bigint) as g, cast(least(greatest(round_even(blue, 0), 0), 255) as bigint) as b from h"""
 
 
+def video_files(spark, sf_dir):
+    """Each label's pictures written as a video of 30 frames a second, and read back by ranges at 7 a second."""
+    folder = shared.new_path(spark, "videos")
+    made = video.write_files(video.planes_of(pictures(spark, sf_dir, solid=True)), folder, (30, 1))
+    made.write.format("noop").mode("overwrite").save()
+    found = video.read(spark, folder, fps=7, matrix="bt601", range_bytes=2_000)
+    label = F.regexp_extract("clip_id", "([^/]*)[.]y4m$", 1).cast("long")
+    rows = frames.pixel_rows(found.withColumn("clip_id", label))
+    return rows.select(F.col("clip_id").alias("label"), "frame_index", *(F.col(c).cast("long").alias(c) for c in "xyrgb"))
+
+
+FILES_SQL = f"""with {PIXELS_SQL}, n as (select *, row_number() over (partition by label, x, y order by vec_id) - 1 as i, cast(r as double) as l, g - 128 as u, b - 128 as w from p),
+  k as (select *, row_number() over (partition by label, x, y order by i) - 1 as k from n where i = 0 or (i + 1) * 7 // 30 > i * 7 // 30),
+  f as (select *, l + 2 * (1 - 0.299e0) * w as red, l + 2 * (1 - 0.114e0) * u as blue from k), h as (select *, (l - 0.299e0 * red - 0.114e0 * blue) / (1 - 0.299e0 - 0.114e0) as green from f)
+select cast(label as bigint) as label, k as frame_index, x, y, cast(least(greatest(round_even(red, 0), 0), 255) as bigint) as r, cast(least(greatest(round_even(green, 0), 0), 255) as bigint) as g, cast(least(greatest(round_even(blue, 0), 0), 255) as bigint) as b from h"""
+
+
+def clip_files(spark, sf_dir):
+    """Each label's pictures as a GIF by the committing sink, without loss, and read back: pixels and display times."""
+    whole = pictures(spark, sf_dir, solid=True).withColumn("frame_index", F.col("frame_index").cast("long")).withColumns({"importance": F.lit(None).cast("binary"), "dispose": F.lit("keep")})
+    blocks = gif.compressed(palette.assemble(palette.with_palette(whole, palette.MOST_COLOURS - 1))).withColumn("delay", (F.col("frame_index") % 9 + 2).cast("int"))
+    folder = shared.new_path(spark, "gifs")
+    sink.save(blocks, folder)
+    found = gif.read_files(spark, folder).withColumn("clip_id", F.regexp_extract("clip_id", "([^/]*)[.]gif$", 1).cast("long"))
+    times = found.select("clip_id", "frame_index", F.col("delay").cast("long").alias("delay"))
+    rows = frames.pixel_rows(found).join(times, ["clip_id", "frame_index"])
+    return rows.select(F.col("clip_id").alias("label"), "frame_index", *(F.col(c).cast("long").alias(c) for c in "xyrgb"), "delay")
+
+
+GIF_SQL = f"""with {PIXELS_SQL} select cast(label as bigint) as label, row_number() over (partition by label, x, y order by vec_id) - 1 as frame_index, x, y, r, g, b, cast(vec_id % 9 + 2 as bigint) as delay from p"""
+
+
 def any_clear(spark, sf_dir):
     """Of each label: whether any, and whether all of its pixels are clear, and how many are."""
     rows = frames.pixel_rows(pictures(spark, sf_dir)).withColumn("clear", F.col("a") < 128)
@@ -303,6 +336,8 @@ QUERIES = {
     "picture_layouts": (picture_layouts, LAYOUTS_SQL),
     "changed_bbox": (changed_bbox, CHANGED_SQL),
     "video_colours": (video_colours, VIDEO_SQL),
+    "video_files": (video_files, FILES_SQL),
+    "clip_files": (clip_files, GIF_SQL),
     "any_clear": (any_clear, CLEAR_SQL),
     "nearest_colours": (nearest_colours, COLOURS_SQL),
     "resample_even": (resample_even, RESAMPLE_SQL),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from cadenza.functions import pixels
 from cadenza.operators.sampling import natural_key
 
+from . import video
+
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
@@ -113,56 +115,6 @@ def png_sequences(spark: SparkSession, path: str, fps: float = 20.0, speed: floa
     return decode_pictures(frames.select("clip_id", "frame_index", "pts", "png"))
 
 
-def y4m_header(data: bytes) -> dict:
-    """Of the start of an uncompressed video: width, height, fps (two numbers), chroma (width, height, name), sizes of a
-    frame's planes, range and where the header ends. Monochrome and more than 8 bits are errors."""
-    line = data[: data.index(b"\n")].decode()
-    if not line.startswith("YUV4MPEG2"):
-        raise ValueError("not a Y4M file")
-    fields = line.split(" ")[1:]
-    first = lambda k, none: next((f[1:] for f in fields if f[:1] == k), none)
-    w, h, name = int(first("W", "0")), int(first("H", "0")), first("C", "420")
-    if w < 1 or h < 1 or "p1" in name or name.startswith("mono"):
-        raise ValueError(f"unsupported Y4M: {line}")
-    sx, sy = {"444": (1, 1), "422": (2, 1), "420": (2, 2)}[name[:3]]
-    cw, ch = -(-w // sx), -(-h // sy)
-    num, _, den = first("F", "20:1").partition(":")
-    return {"width": w, "height": h, "fps": (int(num), int(den or 1)), "planes": [(h, w), (ch, cw), (ch, cw)] + ([(h, w)] if "alpha" in name else []), "full": "COLORRANGE=FULL" in line, "start": len(line) + 1}
-
-
-def y4m_frames(data: bytes, matrix: str | None = None) -> Iterator[np.ndarray]:
-    """RGBA of every frame, by the colour matrix given or else that of its size."""
-    head = y4m_header(data)
-    matrix = matrix or ("bt601" if head["width"] <= 720 and head["height"] <= 480 else "bt709")
-    at = head["start"]
-    while at < len(data):
-        at = data.index(b"\n", at) + 1
-        planes = []
-        for h, w in head["planes"]:
-            planes.append(np.frombuffer(data, np.uint8, h * w, at).reshape(h, w))
-            at += h * w
-        yield pixels.yuv_to_rgba(*planes[:3], matrix=matrix, full=head["full"])
-
-
 def y4m_videos(spark: SparkSession, path: str, fps: float | None = None, speed: float = 1.0, matrix: str | None = None) -> DataFrame:
-    """Frames of the Y4M files at a path; the clip is the file's path. With ``fps`` frames are dropped to come down to
-    it; what decides is the time as filmed, and only the times that come out are divided by ``speed``."""
-    from fractions import Fraction
-
-    wanted = Fraction(fps).limit_denominator(100_000) if fps else None
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.y4m").load(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["clip_id", "frame_index", "pts", "width", "height", "rgba"], [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
-            for clip, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                own = Fraction(*y4m_header(data)["fps"])
-                k = 0
-                for i, rgba in enumerate(y4m_frames(data, matrix)):
-                    if wanted and own > wanted and i and (i + 1) * wanted // own <= i * wanted // own:
-                        continue
-                    row = (clip, k, float(i / own) / speed, rgba.shape[1], rgba.shape[0], rgba.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
-                    k += 1
-
-    return found.select("path", "content").mapInArrow(run, "clip_id string, frame_index long, pts double, width int, height int, rgba binary")
+    """Frames of the Y4M files at a path, by the splittable source (see ``video.read``)."""
+    return video.read(spark, path, fps, speed, matrix)

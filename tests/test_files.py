@@ -3,7 +3,7 @@ import pytest
 
 from cadenza.operators import frames as fr
 from cadenza.plans.encode import encode_clips
-from cadenza.sources import gif, lzw, stills
+from cadenza.sources import gif, lzw, sink, stills, video
 
 
 def test_lzw_round_trip():
@@ -67,7 +67,7 @@ def test_y4m(spark, tmp_path):
     assert [r["pts"] for r in fewer] == pytest.approx([i / 60 for i in kept])
     for bad in (b"YUV4MPEG2 W4 H3 Cmono\n", b"YUV4MPEG2 W4 H3 C420p10\n"):
         with pytest.raises(ValueError):
-            stills.y4m_header(bad)
+            video.header(bad)
 
 
 def test_clips_become_gifs_and_come_back(spark):
@@ -156,3 +156,84 @@ def test_gif_header_says_how_often():
         data = gif.header(4, 3, repeat) + gif.control_block(7, "background", -1) + gif.frame_block(0, 0, 4, 3, np.zeros(12, np.uint8), np.array([[1, 2, 3]], np.uint8), -1) + b"\x3b"
         width, height, found, frames = gif.read(data)
         assert (width, height, found, frames[0]["delay"], frames[0]["dispose"]) == (4, 3, repeat, 7, "background")
+
+
+def y4m_file(path, frames, w=4, h=3, rate="30:1", chroma="444", mark=b"FRAME\n"):
+    body = [mark + bytes([k % 256]) * (w * h) + bytes([128]) * (2 * w * h) for k in range(frames)]
+    path.write_bytes(f"YUV4MPEG2 W{w} H{h} F{rate} C{chroma} XCOLORRANGE=FULL\n".encode() + b"".join(body))
+
+
+@pytest.mark.parametrize("mark", [b"FRAME\n", b"FRAME Xa=b\n"])
+def test_video_is_read_by_ranges(spark, tmp_path, mark):
+    for name, n in (("a", 50), ("b", 1), ("c", 0)):
+        y4m_file(tmp_path / f"{name}.y4m", n, mark=mark)
+    (tmp_path / "other.txt").write_text("no video")
+    for fps in (None, 7, 100):
+        df = video.read(spark, f"file://{tmp_path}", fps=fps, range_bytes=200)
+        rows = sorted((r.clip_id, r.frame_index, r.rgba[0], r.pts) for r in df.collect())
+        kept = [i for i in range(50) if fps != 7 or not i or (i + 1) * 7 // 30 > i * 7 // 30]
+        assert rows == [(f"file://{tmp_path}/a.y4m", k, i, pytest.approx(i / 30)) for k, i in enumerate(kept)] + [(f"file://{tmp_path}/b.y4m", 0, 0, 0.0)]
+    assert df.rdd.getNumPartitions() > 5
+
+
+def test_ranges_of_files_beyond_two_gigabytes():
+    head = video.header(b"YUV4MPEG2 W1920 H1080 F25:1 C420\n")
+    step, base = video.frame_bytes(head), head["start"]
+    assert step == 6 + 1920 * 1080 * 3 // 2
+    size = base + 10_000 * step + 17  # 31 GB and a frame that was cut off
+    cuts = [*range(0, size, video.RANGE_BYTES), size]
+    found = [i for a, b in zip(cuts, cuts[1:]) for i in video.frames_of_range(a, b, size, head)]
+    assert found == [*range(10_000)] and size > 1 << 34
+
+
+def test_a_cut_frame_and_a_wrong_mark(spark, tmp_path):
+    y4m_file(tmp_path / "a.y4m", 3)
+    whole = (tmp_path / "a.y4m").read_bytes()
+    (tmp_path / "a.y4m").write_bytes(whole[:-5])
+    assert video.read(spark, f"file://{tmp_path}").count() == 2
+    (tmp_path / "a.y4m").write_bytes(whole.replace(b"FRAME\n\x01", b"BADLY\n\x01"))
+    with pytest.raises(Exception, match="frames of one length"):
+        video.read(spark, f"file://{tmp_path}").count()
+
+
+def blocks_of(spark, clips=6):
+    rows = [(f"c/{c}", i, 2, 2, 5, "keep", -1, bytearray(gif_block(c, i))) for c in range(clips) for i in range(3)]
+    return spark.createDataFrame(rows, "clip_id string, frame_index long, screen_width int, screen_height int, delay long, dispose string, clear int, block binary")
+
+
+def gif_block(c, i):
+    return b"," + bytes([0, 0, 0, 0, 2, 0, 2, 0, 0]) + bytes([2, 2, 0x44, c * 16 + i, 0])
+
+
+def test_sink_gives_what_files_give(spark, tmp_path):
+    blocks = blocks_of(spark)
+    sink.save(blocks, f"file://{tmp_path}/out", repeat=3)
+    want = {r.clip_id: bytes(r.gif) for r in gif.files(blocks, 3).collect()}
+    got = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    assert got == {f"{k.replace('/', '%2F')}.gif": v for k, v in want.items()}
+    sink.save(blocks.filter("clip_id = 'c/0'"), f"file://{tmp_path}/out", repeat=None, mode="overwrite")
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["c%2F0.gif"]
+
+
+def test_a_failed_job_leaves_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    blocks = blocks_of(spark).withColumn("delay", F.when((F.col("clip_id") == "c/3") & (F.col("frame_index") == 2), F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("delay")))
+    with pytest.raises(Exception):
+        sink.save(blocks, f"file://{tmp_path}/out")
+    assert not (tmp_path / "out").exists() or [*(tmp_path / "out").iterdir()] == []
+
+
+def test_a_doubled_task_leaves_one_file(spark, tmp_path):
+    batches = lambda: iter(blocks_of(spark, 2).toArrow().to_batches())
+    writer = sink.ClipWriter(f"file://{tmp_path}/out", 0, False)
+    first, second = writer.write(batches()), writer.write(batches())
+    assert len(first.files) == len(second.files) == 2
+    writer.commit([second, None])  # the other attempt is forgotten
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["c%2F0.gif", "c%2F1.gif"]
+    torn = sink.ClipWriter(f"file://{tmp_path}/out", 0, False)
+    with pytest.raises(ValueError, match="one partition"):
+        torn.commit([torn.write(batches()), torn.write(batches())])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["c%2F0.gif", "c%2F1.gif"]
+    with pytest.raises(ValueError, match="missing"):
+        sink.ClipSink({"path": "x"}).writer(blocks_of(spark).drop("delay").schema, False)
