@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -85,9 +85,20 @@ def masks_unchanged(keeps: bool, fast: bool, quality: int, index: int) -> bool:
     return keeps and (fast or (quality < 100 and index % 5 >= max(quality - 80, 0) // 4))
 
 
-def with_palette(frames: DataFrame, colours: int = MOST_COLOURS, fixed: tuple[tuple[int, int, int], ...] = ()) -> DataFrame:
+def weighed(frames: DataFrame) -> DataFrame:
+    """``importance`` only where it holds: of a clip's first frame and of those before which the frame's picture stays
+    (``dispose`` keep). After a frame that was cleared what is to be filled isn't known to it: null, so all pixels weigh
+    alike. Only keys and disposals go through the window."""
+    before = F.lag("dispose").over(Window.partitionBy("clip_id").orderBy("frame_index"))
+    marks = frames.select("clip_id", "frame_index", (before.isNull() | (before == "keep")).alias("__holds"))
+    rows = frames.join(marks, ["clip_id", "frame_index"])
+    return rows.withColumn("importance", F.when(F.col("__holds"), F.col("importance"))).select(*frames.columns)
+
+
+def with_palette(frames: DataFrame, colours: int = MOST_COLOURS, fixed: tuple[tuple[int, int, int], ...] = (), extra: bool = False) -> DataFrame:
     """``palette`` (binary, RGB triples) of every frame on its own; pixels weigh as much as the byte in ``importance`` (a
-    null one: all alike). Clear pixels take no colour."""
+    null one: all alike; see ``weighed``). Clear pixels take no colour. With ``extra`` effort a palette of few or nearly all
+    colours is built again for the power of two that a file stores anyway."""
     keep = np.array(fixed, np.uint8).reshape(-1, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +107,12 @@ def with_palette(frames: DataFrame, colours: int = MOST_COLOURS, fixed: tuple[tu
             for rgba, importance in zip(batch.column("rgba").to_pylist(), batch.column("importance").to_pylist()):
                 x = np.frombuffer(rgba, np.uint8).reshape(-1, 4)
                 w = np.ones(len(x)) if importance is None else np.frombuffer(importance, np.uint8)
-                out.append(build_palette(x[:, :3], np.where(x[:, 3] >= 128, w, 0), colours, keep).tobytes())
+                weights = np.where(x[:, 3] >= 128, w, 0)
+                found = build_palette(x[:, :3], weights, colours, keep)
+                again = second_pass_size(len(found)) if extra and len(found) else None
+                if again and again != len(found):
+                    found = build_palette(x[:, :3], weights, min(again, MOST_COLOURS), keep)
+                out.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "palette"])
 
     return frames.mapInArrow(run, StructType([*frames.schema]).add("palette", "binary"))

@@ -60,12 +60,12 @@ def lossy_level(quality: int) -> int:
     return int((math.ceil(max(20 - quality / 5, 0) ** 1.8) + 10) * 10) if quality < 100 else 0
 
 
-def encode_clips(frames: DataFrame, quality: int = 100, fast: bool = False, repeat: int | None = 0, colours: int | None = None, fixed: tuple[tuple[int, int, int], ...] = (), loss: int | None = None, lossy_quality: int | None = None, folder: str | None = None) -> DataFrame:
+def encode_clips(frames: DataFrame, quality: int = 100, fast: bool = False, repeat: int | None = 0, colours: int | None = None, fixed: tuple[tuple[int, int, int], ...] = (), loss: int | None = None, lossy_quality: int | None = None, folder: str | None = None, extra: bool = False) -> DataFrame:
     """A GIF per clip (clip_id, frames, gif) of frames (clip_id, frame_index, pts, width, height, rgba); with a ``folder``
     files there instead (see ``gif.write_files``).
 
     ``lossy_quality`` (None: as ``quality``) gives the dithering and, unless ``loss`` is given, the loss. Alpha is made solid or clear, pixels are smoothed in time, equal pictures in a row become one (shown for the
-    time of all), each frame gets its palette, only what changes is drawn
+    time of all), each frame gets its palette (with ``extra`` effort built again for a power of two), only what changes is drawn
     (after what turns clear is cleared), and display times are ticks, those beyond one frame's limit carried on. Clustering
     and compression run frame by frame; only smoothing (by tile) and drawing (by clip) follow time.
     """
@@ -85,6 +85,6 @@ def encode_clips(frames: DataFrame, quality: int = 100, fast: bool = False, repe
     timed = timed.select("clip_id", "frame_index", "delay")
     size = colours or (256 if quality >= 50 else min(256, 1 << (max(2 * quality, 5 + len(fixed)) - 1).bit_length()))
     lossy_quality = quality if lossy_quality is None else lossy_quality
-    drawn = palette.assemble(palette.with_palette(kept, min(size, 255), fixed), quality, fast, palette.dither_level(quality, lossy_quality))
+    drawn = palette.assemble(palette.with_palette(palette.weighed(kept), min(size, 255), fixed, extra), quality, fast, palette.dither_level(quality, lossy_quality))
     blocks = gif.compressed(drawn, lossy_level(lossy_quality) if loss is None else loss).join(timed, ["clip_id", "frame_index"])
     return gif.write_files(blocks, folder, repeat) if folder else gif.files(blocks, repeat)

@@ -6,11 +6,11 @@ b = 7 r mod 256 and a = 3 r mod 256. A clip is a label, its frames are ordered b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import pixels
-from cadenza.operators import estimate, frames, palette, ranges, sampling, smooth, timeline
+from cadenza.operators import composite, cuts, dither, estimate, frames, palette, ranges, sampling, smooth, timeline
 from cadenza.sources import gif, shared, sink, video
 from cadenza.streaming import live
 
@@ -229,6 +229,78 @@ SMOOTHED_SQL = f"""with recursive {PIXELS_SQL}, n as (select p.*, case when o.a
 select vec_id, cast(quality as bigint) as quality, x, y, case when shown then sr else 0 end as r, case when shown then sg else 0 end as g, case when shown then sb else 0 end as b, cast(case when shown then 255 else 0 end as bigint) as a, importance from s where t >= 0"""
 
 
+TABLE = [(0, 0, 0), (255, 255, 255), (200, 50, 60), (40, 215, 20), (90, 165, 118), (130, 125, 142), (170, 85, 166), (60, 195, 164)]
+
+
+def diffused_colours(spark, sf_dir):
+    """Each pixel's colour of eight by error diffusion, 8 where it is clear or the picture before already shows it as near."""
+    found = pictures(spark, sf_dir)
+    before = found.select("clip_id", "frame_index", F.lag("frame_index").over(Window.partitionBy("clip_id").orderBy("frame_index")).alias("before"))
+    shown = found.select("clip_id", F.col("frame_index").alias("before"), F.col("rgba").alias("screen"))
+    found = found.join(before, ["clip_id", "frame_index"]).join(shown, ["clip_id", "before"], "left")
+    done = dither.diffused_frames(found.withColumn("palette", F.unhex(F.lit("".join("%02X%02X%02X" % c for c in TABLE)))), 200)
+    return frames.pixel_rows(done, more=("indices",)).select(F.col("frame_index").alias("vec_id"), *(F.col(c).cast("long").alias(c) for c in "xy"), F.col("indices").cast("long").alias("colour"))
+
+
+def _diffused_sql() -> str:
+    """Pixel by pixel: e holds what each pixel still takes, in sixteenths, for each channel a list."""
+    gap = lambda r, g, b: f"2 * ({r} - vr) * ({r} - vr) + 3 * ({g} - vg) * ({g} - vg) + ({b} - vb) * ({b} - vb)"
+    gaps = "[" + ", ".join(gap(*c) for c in TABLE) + "]"
+    pick = lambda c: "[" + ", ".join(str(x["rgb".index(c)]) for x in TABLE) + "]"
+    value = lambda c: f"case when a[k + 1] < 128 then 0 else least(greatest({c}[k + 1] + cast(floor(e{c}[k + 1] * 200 / 4096e0) as bigint), 0), 255) end as v{c}"
+    share = lambda c: f"list_transform(e{c}, lambda v, i: v + d{c} * case when i = k + 2 and k % 8 < 7 then 7 when i = k + 8 and k % 8 > 0 then 3 when i = k + 9 then 5 when i = k + 10 and k % 8 < 7 then 1 else 0 end)"
+    return f"""with recursive {PIXELS_SQL}, l as (select vec_id, label, {', '.join(f'list({c} order by y, x) as {c}' for c in 'rgba')} from p group by vec_id, label),
+  w as (select *, {', '.join(f'lag({c}) over (partition by label order by vec_id) as s{c}' for c in 'rgba')} from l),
+  s as (select vec_id, cast(0 as bigint) as k, {', '.join(f"list_transform({c}, lambda v: cast(0 as bigint)) as e{c}" for c in 'rgb')}, cast(-1 as bigint) as colour from w
+    union all select vec_id, k + 1, {', '.join(share(c) for c in 'rgb')}, colour from (
+      select *, {', '.join(f"case when a[k + 1] < 128 then 0 when colour < 8 then v{c} - {pick(c)}[colour + 1] else v{c} - s{c}[k + 1] end as d{c}" for c in 'rgb')} from (
+        select *, cast(case when a[k + 1] < 128 then 8 when sa is not null and sa[k + 1] >= 128 and {gap('sr[k + 1]', 'sg[k + 1]', 'sb[k + 1]')} <= list_min(gaps) then 8 else list_position(gaps, list_min(gaps)) - 1 end as bigint) as colour from (
+          select *, {gaps} as gaps from (select w.*, s.k, {', '.join(f's.e{c}' for c in 'rgb')}, {', '.join(value(c) for c in 'rgb')} from s join w on w.vec_id = s.vec_id and s.k < 64)))))
+select vec_id, (k - 1) % 8 as x, (k - 1) // 8 as y, colour from s where k > 0"""
+
+
+DIFFUSED_SQL = _diffused_sql()
+
+
+def median_cuts(spark, sf_dir):
+    """A palette of eight colours at most for each picture, by three rounds of halving and one of moving to means."""
+    colours = cuts.histogram(frames.pixel_rows(pictures(spark, sf_dir)), "frame_index")
+    return cuts.palettes(colours, "frame_index", 3).withColumnRenamed("frame_index", "vec_id")
+
+
+def _cuts_sql() -> str:
+    steps = []
+    for k in range(3):
+        spread = lambda c, w: f"{w} * (max({c}) over (partition by vec_id, box) - min({c}) over (partition by vec_id, box)) * (max({c}) over (partition by vec_id, box) - min({c}) over (partition by vec_id, box))"
+        steps.append(f"""a{k} as (select *, case when dr >= dg and dr >= db then r when dg >= db then g else b end as along from (select *, {spread('r', 2)} as dr, {spread('g', 3)} as dg, {spread('b', 1)} as db from b{k})),
+  b{k + 1} as (select vec_id, r, g, b, n, 2 * box + case when 2 * coalesce(sum(n) over (partition by vec_id, box order by along, r, g, b rows between unbounded preceding and 1 preceding), 0) >= sum(n) over (partition by vec_id, box) then 1 else 0 end as box from a{k})""")
+    mean = ", ".join(f"cast(floor(cast(2 * sum(n * {c}) + sum(n) as double) / (2 * sum(n))) as bigint) as {c}" for c in "rgb")
+    return f"""with {PIXELS_SQL}, b0 as (select vec_id, r, g, b, count(*) as n, cast(0 as bigint) as box from p where a >= 128 group by vec_id, r, g, b),
+  {', '.join(steps)}, c as (select vec_id, box, {mean} from b3 group by vec_id, box),
+  d as (select o.vec_id, o.r, o.g, o.b, o.n, c.box, row_number() over (partition by o.vec_id, o.r, o.g, o.b order by 2 * (o.r - c.r) * (o.r - c.r) + 3 * (o.g - c.g) * (o.g - c.g) + (o.b - c.b) * (o.b - c.b), c.box) as place from b0 o join c on c.vec_id = o.vec_id)
+select vec_id, cast(box as bigint) as box, {mean}, cast(sum(n) as bigint) as n from d where place = 1 group by vec_id, box"""
+
+
+CUTS_SQL = _cuts_sql()
+
+
+def composited_pictures(spark, sf_dir):
+    """Parts of pictures put on each label's screen, what is left of each afterwards going by its vector's id."""
+    found = pictures(spark, sf_dir)
+    i = F.col("frame_index")
+    found = found.withColumns({"crop_x": (i % 3).cast("int"), "crop_y": (i % 4).cast("int"), "crop_width": (i % 5 + 1).cast("int"), "crop_height": F.lit(4)})
+    parts = frames.cropped(found).withColumnsRenamed({"crop_x": "left", "crop_y": "top"}).withColumns({"screen_width": F.lit(8), "screen_height": F.lit(8), "dispose": F.element_at(F.array(*map(F.lit, ("keep", "background", "previous"))), (F.col("frame_index") % 7 % 3 + 1).cast("int"))})
+    return composite.composited(parts).select(F.col("frame_index").alias("vec_id"), *(F.col(c).cast("long").alias(c) for c in "xyrgba"))
+
+
+#: For each frame the newest earlier one that left something at a pixel, by its number, and what that was.
+COMPOSITED_SQL = f"""with {PIXELS_SQL}, c as (select *, vec_id % 7 % 3 as d, x between vec_id % 3 and vec_id % 3 + vec_id % 5 and y between vec_id % 4 and vec_id % 4 + 3 as inside from p),
+  e as (select *, inside and a >= 128 as draws, inside and (d = 1 or (d = 0 and a >= 128)) as stays from c),
+  j as (select e.vec_id, e.x, e.y, max(o.vec_id) as last from e left join e o on o.label = e.label and o.x = e.x and o.y = e.y and o.vec_id < e.vec_id and o.stays group by all),
+  f as (select e.vec_id, e.x, e.y, case when e.draws then e.vec_id when o.d = 0 then o.vec_id end as source from e join j on j.vec_id = e.vec_id and j.x = e.x and j.y = e.y left join e o on o.vec_id = j.last and o.x = e.x and o.y = e.y)
+select f.vec_id, f.x, f.y, coalesce(p.r, 0) as r, coalesce(p.g, 0) as g, coalesce(p.b, 0) as b, cast(case when source is null then 0 else 255 end as bigint) as a from f left join p on p.vec_id = source and p.x = f.x and p.y = f.y"""
+
+
 # frames in time
 
 
@@ -338,6 +410,9 @@ QUERIES = {
     "video_colours": (video_colours, VIDEO_SQL),
     "video_files": (video_files, FILES_SQL),
     "clip_files": (clip_files, GIF_SQL),
+    "diffused_colours": (diffused_colours, DIFFUSED_SQL),
+    "median_cuts": (median_cuts, CUTS_SQL),
+    "composited_pictures": (composited_pictures, COMPOSITED_SQL),
     "any_clear": (any_clear, CLEAR_SQL),
     "nearest_colours": (nearest_colours, COLOURS_SQL),
     "resample_even": (resample_even, RESAMPLE_SQL),
