@@ -85,7 +85,7 @@ def unpack(data: bytes, width: int, height: int, layout: str = "rgba", stride: i
         return np.concatenate([out, np.full((height, width, 1), 255, np.uint8)], axis=-1)
     if premultiplied:
         a = out[..., 3:].astype(np.int64)
-        plain = np.minimum((out[..., :3] * 255 + a // 2) // np.maximum(a, 1), 255)
+        plain = np.minimum((out[..., :3].astype(np.int64) * 255 + a // 2) // np.maximum(a, 1), 255)
         out = np.concatenate([np.where(a > 0, plain, 0), a], axis=-1).astype(np.uint8)
     return np.ascontiguousarray(out)
 

@@ -6,6 +6,8 @@ Arguments are columns unless said otherwise; null in, null out. Sizes are in pix
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,19 +114,26 @@ def greatest_common_divisor(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["a"]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def whole_ratio(width: Column, height: Column) -> Column:
     """struct<width, height>: a ratio in least whole numbers."""
-    d = greatest_common_divisor(width, height)
-    return F.struct(_div(width, d).alias("width"), _div(height, d).alias("height"))
+    return once(greatest_common_divisor(width, height), lambda d: F.struct(_div(width, d).alias("width"), _div(height, d).alias("height")))
 
 
 def closest_ratio(width: Column, height: Column, most: int = 99) -> Column:
     """struct<width, height>: the exact ratio if its numbers are 1..``most``, else the nearest such (least denominator first)."""
-    exact = whole_ratio(width, height)
-    target = width / height
-    near = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda d: F.struct(F.abs(F.least(F.greatest(F.round(target * d), F.lit(1.0)), F.lit(float(most))) / d - target).alias("error"), d.alias("height"), _long(F.least(F.greatest(F.round(target * d), F.lit(1.0)), F.lit(float(most)))).alias("width")))
-    best = F.array_min(near)
-    return F.when(exact["width"].between(1, most) & exact["height"].between(1, most), exact).otherwise(F.struct(best["width"].alias("width"), _long(best["height"]).alias("height")))
+
+    def nearest(target: Column) -> Column:
+        over = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda d: F.struct(d.alias("d"), F.least(F.greatest(F.round(target * d), F.lit(1.0)), F.lit(float(most))).alias("n")))
+        best = F.array_min(F.transform(over, lambda x: F.struct(F.abs(x["n"] / x["d"] - target).alias("error"), x["d"].alias("height"), x["n"].alias("width"))))
+        return once(best, lambda b: F.struct(_long(b["width"]).alias("width"), _long(b["height"]).alias("height")))
+
+    fits = lambda e: e["width"].between(1, most) & e["height"].between(1, most)
+    return once(whole_ratio(width, height), lambda e: F.when(fits(e), e).otherwise(once(width / height, nearest)))
 
 
 # quality

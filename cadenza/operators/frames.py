@@ -70,17 +70,20 @@ def cropped(frames: DataFrame) -> DataFrame:
 
 
 def unpacked(raw: DataFrame) -> DataFrame:
-    """Frames from raw rows: data (binary), layout (rgba, argb, bgra, abgr or rgb), stride (pixels; null: width)."""
+    """Frames from raw rows: data (binary), layout (rgba, argb, bgra, abgr or rgb), stride (pixels; null: width) and, if
+    there is such a column, premultiplied (whether colours hold their alpha; null: no)."""
     frames = raw.withColumn("rgba", F.col("data")).drop("data")
+    if "premultiplied" not in frames.columns:
+        frames = frames.withColumn("premultiplied", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("rgba", "width", "height", "layout", "stride")))
-            data = [None if d is None else pixels.unpack(d, w, h, layout, stride).tobytes() for d, w, h, layout, stride in rows]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("rgba", "width", "height", "layout", "stride", "premultiplied")))
+            data = [None if d is None else pixels.unpack(d, w, h, layout, stride, bool(held)).tobytes() for d, w, h, layout, stride, held in rows]
             columns = {n: batch.column(n) for n in batch.schema.names} | {"rgba": pa.array(data, pa.binary())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return frames.mapInArrow(run, frames.schema).drop("layout", "stride")
+    return frames.mapInArrow(run, frames.schema).drop("layout", "stride", "premultiplied")
 
 
 def with_blur(frames: DataFrame, median: bool = False) -> DataFrame:
@@ -128,8 +131,11 @@ def pixel_rows(frames: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 def changed_boxes(frames: DataFrame) -> DataFrame:
     """left, top, box_width, box_height (int): where each frame differs from the one before it in its clip (one pixel if
-    nowhere); a clip's first frame is left out. Other columns go."""
-    pairs = frames.withColumn("__before", F.lag("rgba").over(Window.partitionBy("clip_id").orderBy("frame_index"))).filter("__before is not null")
+    nowhere); a clip's first frame is left out. Other columns go. Numbers alone are put in order; pictures meet the one
+    before by its number, so a long clip's pictures are spread over all tasks."""
+    numbers = frames.select("clip_id", "frame_index").withColumn("__at", F.lag("frame_index").over(Window.partitionBy("clip_id").orderBy("frame_index"))).filter("__at is not null")
+    earlier = frames.select("clip_id", F.col("frame_index").alias("__at"), F.col("rgba").alias("__before"))
+    pairs = frames.select("clip_id", "frame_index", "width", "height", "rgba").join(numbers, ["clip_id", "frame_index"]).join(earlier, ["clip_id", "__at"])
     pairs = pairs.select("clip_id", "frame_index", "width", "height", "rgba", "__before")
     names = ["left", "top", "box_width", "box_height"]
 

@@ -105,6 +105,15 @@ def picture_layouts(spark, sf_dir):
 LAYOUTS_SQL = f"with {PIXELS_SQL} select vec_id, x, y, r, g, b, a from p where x < 7"
 
 
+def premultiplied_layouts(spark, sf_dir):
+    """Pictures from raw bytes whose colours hold their alpha."""
+    found = pictures(spark, sf_dir, "bgra").withColumnsRenamed({"rgba": "data"}).withColumns({"layout": F.lit("bgra"), "stride": F.lit(None).cast("int"), "premultiplied": F.lit(True)})
+    return _rows(frames.unpacked(found))
+
+
+PREMULTIPLIED_SQL = f"""with {PIXELS_SQL} select vec_id, x, y, {', '.join(f'case when a > 0 then least(({c} * 255 + a // 2) // greatest(a, 1), 255) else 0 end as {c}' for c in 'rgb')}, a from p"""
+
+
 def changed_bbox(spark, sf_dir):
     """Where each picture differs from the one before of its label, pixels being told apart in four steps of red."""
     coarse = frames.map_images(pictures(spark, sf_dir), lambda x, _: x // 64 * 64)
@@ -407,6 +416,7 @@ QUERIES = {
     "picture_matte": (picture_matte, MATTE_SQL),
     "picture_layouts": (picture_layouts, LAYOUTS_SQL),
     "changed_bbox": (changed_bbox, CHANGED_SQL),
+    "premultiplied_layouts": (premultiplied_layouts, PREMULTIPLIED_SQL),
     "video_colours": (video_colours, VIDEO_SQL),
     "video_files": (video_files, FILES_SQL),
     "clip_files": (clip_files, GIF_SQL),

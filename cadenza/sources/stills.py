@@ -10,11 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cadenza.functions import pixels
 from cadenza.operators.sampling import natural_key
 
 from . import video
+from .shared import file_system
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -107,12 +109,25 @@ def png_sequences(spark: SparkSession, path: str, fps: float = 20.0, speed: floa
     """Frames of the PNG files at a path: a clip per folder, in the order of the numbers in their names (or of the
     names as they are), frame i at i / (fps speed). All frames are kept."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
-    found = found.select(F.regexp_extract("path", "^(.*)/", 1).alias("clip_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("content").alias("png"))
+    found = found.select(F.regexp_extract("path", "^(.*)/", 1).alias("clip_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "path")
     w = Window.partitionBy("clip_id").orderBy(natural_key(F.col("name")) if sort else F.col("name"), "name")
-    # only names are ordered; pictures are joined again by name
-    order = found.select("clip_id", "name").withColumn("frame_index", (F.row_number().over(w) - 1).cast("long"))
-    frames = found.join(order, ["clip_id", "name"]).withColumn("pts", F.col("frame_index") / F.lit(fps * speed))
-    return decode_pictures(frames.select("clip_id", "frame_index", "pts", "png"))
+    # only names are ordered; what is in a file is fetched by the task that decodes it
+    order = found.select("clip_id", (F.row_number().over(w) - 1).cast("long").alias("frame_index"), "path")
+    named = order.withColumn("pts", F.col("frame_index") / F.lit(fps * speed)).repartition("clip_id", "frame_index")
+    return decode_pictures(fetched(named, "path", "png").drop("path"))
+
+
+def fetched(rows: DataFrame, path: str, out: str) -> DataFrame:
+    """``out`` (binary): what the file at ``path`` holds, one file at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, own in enumerate(batch.column(path).to_pylist()):
+                fs, at = file_system(own)
+                with fs.open_input_stream(at) as data:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([data.read()], pa.binary())], names=[*batch.schema.names, out])
+
+    return rows.mapInArrow(run, StructType([*rows.schema]).add(out, "binary"))
 
 
 def y4m_videos(spark: SparkSession, path: str, fps: float | None = None, speed: float = 1.0, matrix: str | None = None) -> DataFrame:
