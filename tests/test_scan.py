@@ -104,3 +104,17 @@ def test_newest_holding_range_against_loops(spark, block):
     assert got.columns == [*df.columns, "reused"]
     assert {r.id: r.reused for r in got.collect()} == want
     assert ranges.newest_holding(df.limit(0), ["who"], ["at", "id"], "id", "low", "high").collect() == []
+
+
+def test_stored_tables_are_deleted_on_request(spark, monkeypatch):
+    import os
+
+    from cadenza.sources import shared
+
+    monkeypatch.setattr(shared, "_made", [])
+    kept = shared.stored(spark.range(3), "kept")
+    path = shared._made[0].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path) and path.startswith(shared.folder(spark).removeprefix("file://"))
+    shared.new_path(spark, "unwritten")
+    shared.clean_up()
+    assert not os.path.exists(path) and shared._made == []
