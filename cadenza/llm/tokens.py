@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Callable
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
@@ -32,6 +34,8 @@ ODD_SPACE = "\x1c\x1d\x1e\x1f"
 MOST_BYTES, LONGEST_UNIT = 100_000_000, 100
 #: Bytes of an entry beside the characters of its key and the ids of its value, about.
 ENTRY = 200
+#: Whether this machine's own numbers are those that files hold.
+NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def public_path(name: str) -> str:
@@ -62,8 +66,13 @@ class Remembered(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= LONGEST_UNIT:
-            self.remember(key, value)
+        size = len(key)
+        if size <= LONGEST_UNIT:
+            if self.held > self.most:
+                self.remember(key, value)
+            else:
+                self.held += ENTRY + size + len(value)
+                self[key] = value
         return value
 
     def remember(self, key: str, value: bytes) -> None:
@@ -76,7 +85,8 @@ class Remembered(dict):
 
 
 def as_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    """Little-endian unsigned 32-bit numbers."""
+    return array("I", ids).tobytes() if NATIVE else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_symbols() -> list[str]:
@@ -118,12 +128,19 @@ class UnitEncoder:
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = known_pieces(self.tokenizer, byte_level)
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
+        self.tokenize = self.model.tokenize
         self.units = Remembered(self.encode_unit)  # pieces too: a piece is a unit of itself
 
     def encode_whole(self, text: str) -> bytes:
         return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode_unit(self, unit: str) -> bytes:
+        if self.pattern is not None and unit.isascii():  # most units: letters alone, or a space and letters
+            if unit.isalpha():
+                plain = unit if self.byte_level else unit.lower()
+                return self.units[plain] if plain != unit else as_bytes([t.id for t in self.tokenize(unit)])
+            if self.byte_level and unit[0] == " " and unit[1:].isalpha():
+                return as_bytes([t.id for t in self.tokenize(self.symbols[32] + unit[1:])])
         if self.pattern is None or not (unit.isascii() or NOT_SIMPLE.search(unit) is None):
             return self.encode_whole(unit)
         plain = unit if self.byte_level else unit.lower()
