@@ -32,7 +32,7 @@ BLOCK_CHARS = 8_000_000
 #: What a row counts beside its characters.
 ROW_CHARS = 100
 #: Units that are remembered in each of two generations, and characters of text whose units are listed at once.
-MOST_UNITS, AT_ONCE = 250_000, 1_000_000
+MOST_UNITS, AT_ONCE = 350_000, 1_000_000
 #: White space as the byte-level pre-tokenizer sees it (fixed value).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and marks between which neither tokenizer merges.
@@ -86,6 +86,7 @@ class PairAligner:
         self.a_size = np.zeros(1 + max(self.a_bytes), dtype=np.int64)
         self.a_size[[*self.a_bytes]] = [*map(len, self.a_bytes.values())]
         self.b_size = np.array([*map(len, self.b_bytes)], dtype=np.int64)
+        self.text = [*map(str, range(max(len(self.a_size), len(self.b_size))))]
         # where some piece has white space after something else, or a mark after a letter, is no place for a cut
         plain = [p.replace("▁", " ") for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         joined = "".join(sorted({m for p in plain for m in re.findall(f"(?<=[^{SPACE}])[{SPACE}]", p)}))
@@ -126,12 +127,12 @@ class PairAligner:
         """For each unit: n_a, n_b, n_groups, n_links, its groups as ``a1,a2|b1;...`` and its links as pairs of ids
         (little-endian u64: A's id in the upper half); ``BAD`` where a tokenizer's bytes aren't the unit's."""
         data = [u.encode() for u in units]
-        sizes = np.array([*map(len, data)])
-        both = self.tokens_of(units, b"".join(data), sizes)
+        sizes, whole = np.array([*map(len, data)]), b"".join(data)
+        both = self.tokens_of(units, whole, sizes)
         good = np.ones(len(units), dtype=bool)
-        for (ids, unit, _, _), of in zip(both, (self.a_bytes, self.b_bytes)):
+        for (ids, unit, _, _), of, size in zip(both, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size)):
             pieces = [*map(of.__getitem__, ids.tolist())]
-            if b"".join(pieces) != b"".join(data) or (np.bincount(unit, [*map(len, pieces)], len(units)) != sizes).any():
+            if b"".join(pieces) != whole or (np.bincount(unit, size[ids], len(units)) != sizes).any():
                 cuts = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
                 good &= [b"".join(pieces[x:y]) == d for x, y, d in zip(cuts, cuts[1:], data)]
         if not good.all():  # the others alone
@@ -147,9 +148,9 @@ class PairAligner:
         ends = np.cumsum(sizes)
         links = np.searchsorted(every, ends, side="right")  # up to the end of each unit
         groups = np.cumsum(cut)[links - 1]
-        a_text, b_text = [*map(str, a_ids.tolist())], [*map(str, b_ids.tolist())]
+        a_text, b_text = ([*map(self.text.__getitem__, x.tolist())] for x in (a_ids, b_ids))
         i, j = ([0, *(x[cut] + 1).tolist()] for x in (a_at, b_at))
-        parts = [",".join(a_text[p:q]) + "|" + ",".join(b_text[r:t]) for p, q, r, t in zip(i, i[1:], j, j[1:])]
+        parts = [a_text[p] + "|" + b_text[r] if q - p == 1 == t - r else ",".join(a_text[p:q]) + "|" + ",".join(b_text[r:t]) for p, q, r, t in zip(i, i[1:], j, j[1:])]
         found, n_a, n_b = [], np.bincount(a_unit, minlength=len(units)).tolist(), np.bincount(b_unit, minlength=len(units)).tolist()
         for a, b, g, h, k, m in zip(n_a, n_b, [0, *groups[:-1].tolist()], groups.tolist(), [0, *links[:-1].tolist()], links.tolist()):
             found.append((a, b, h - g, m - k, ";".join(parts[g:h]).encode(), pairs[8 * k : 8 * m]))
