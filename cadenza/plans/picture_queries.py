@@ -146,7 +146,7 @@ def video_files(spark, sf_dir):
     folder = shared.new_path(spark, "videos")
     made = video.write_files(video.planes_of(pictures(spark, sf_dir, solid=True)), folder, (30, 1))
     made.write.format("noop").mode("overwrite").save()
-    found = video.read(spark, folder, fps=7, matrix="bt601", range_bytes=2_000)
+    found = video.read(spark, folder, fps=7, matrix="bt601", range_bytes=8_000)
     label = F.regexp_extract("clip_id", "([^/]*)[.]y4m$", 1).cast("long")
     rows = frames.pixel_rows(found.withColumn("clip_id", label))
     return rows.select(F.col("clip_id").alias("label"), "frame_index", *(F.col(c).cast("long").alias(c) for c in "xyrgb"))
